@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, quality, secrets, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +22,39 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def _fold(remainders: int, held: int) -> Column:
+    """Whether doc_id belongs to the held-out fold; rows without an id don't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainders == held, F.lit(False))
+
+
+def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    labels = _table(spark, sf_dir, "labels")
+    return toxicity.learn(toxicity.training_rows(_table(spark, sf_dir, "documents"), labels, ~_fold(3, 1)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(_table(spark, sf_dir, "documents"), toxic_lexicon(spark, sf_dir))
+    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(SECRET_VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_pfair_mix": op3_pfair_mix,
+    "op5_toxicity": op5_toxicity,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_line_quality": op10_line_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_pfair_mix": mixing.ORACLE, "op10_line_quality": quality.ORACLE}
