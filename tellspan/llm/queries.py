@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, toxicity
+from . import bpe, mixing, quality, secrets, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -50,6 +55,7 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_pfair_mix": op3_pfair_mix,
     "op5_toxicity": op5_toxicity,
@@ -57,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_quality": op10_line_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_pfair_mix": mixing.ORACLE, "op10_line_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc_index": warc.ORACLE, "op3_pfair_mix": mixing.ORACLE, "op10_line_quality": quality.ORACLE}
