@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, toxicity, warc
+from . import bpe, forest, mixing, quality, secrets, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(_table(spark, sf_dir, "documents"))
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mix": op3_pfair_mix,
     "op5_toxicity": op5_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_rp_forest": op9_rp_forest,
     "op10_line_quality": op10_line_quality,
 }
 
