@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, mixing, quality, secrets, toxicity, warc
+from . import bpe, forest, jaccard, mixing, quality, secrets, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -42,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(SECRET_VOCABULARY), public_tokenizers.PATTERN)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_pfair_mix": op3_pfair_mix,
     "op5_toxicity": op5_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_rp_forest": op9_rp_forest,
     "op10_line_quality": op10_line_quality,
