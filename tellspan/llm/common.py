@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,6 +36,11 @@ class Scratch:
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def settle(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of steps whose results are written tables by now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark._jvm

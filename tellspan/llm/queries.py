@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, jaccard, mixing, quality, secrets, toxicity, warc
+from . import bpe, forest, jaccard, mixing, quality, secrets, substrings, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,10 @@ def _fold(remainders: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainders == held, F.lit(False))
 
 
+def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
     labels = _table(spark, sf_dir, "labels")
     return toxicity.learn(toxicity.training_rows(_table(spark, sf_dir, "documents"), labels, ~_fold(3, 1)))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_pfair_mix": op3_pfair_mix,
+    "op4_recompression": op4_recompression,
     "op5_toxicity": op5_toxicity,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
