@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, jaccard, mixing, quality, secrets, substrings, toxicity, warc
+from . import bpe, forest, gru, jaccard, mixing, quality, secrets, substrings, toxicity, warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SECRET_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -46,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
 
 
+def op6_gru_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(_table(spark, sf_dir, "documents"), _fold(7, 2))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_documents(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pfair_mix": op3_pfair_mix,
     "op4_recompression": op4_recompression,
     "op5_toxicity": op5_toxicity,
+    "op6_gru_likelihood": op6_gru_likelihood,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_rp_forest": op9_rp_forest,
