@@ -113,7 +113,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int = 5
     own = labels.where(use & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = own.where("y = 1").orderBy(*order).limit(most).unionByName(own.where("y = 0").orderBy(*order).limit(clean_most))
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
 
 
 def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds: float = 3.0, least_gain: float = 30.0) -> Lexicon:
@@ -121,37 +121,39 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds:
 
     A stem is the shortest beginning of three or more letters that sets the classes apart by
     ``least_odds`` (natural log odds) beyond chance (twice the log likelihood gained is at least
-    ``least_gain``), carried on for as long as one letter follows it always.
-    Neighbours that only clean rows have at a stem become exception phrases. Without rows of both
+    ``least_gain``), carried on for as long as one letter follows it always, or mostly and with higher odds.
+    Rows that share the least hash of their long words count as copies of one text, so that a text
+    copied often doesn't lend its words weight. Neighbours that only clean rows have at a stem become exception phrases. Without rows of both
     classes nothing is learnt, and all scores are low.
     """
 
+    spark = rows.sparkSession
+
     def words(batches):
         for batch in batches:
-            ids, tokens, ys = [], [], []
+            tokens, ys = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {w[:12] for w in fold(t.decode()).split()}
                 tokens.extend(own)
                 ys.extend([y] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(ys, pa.int32())], ["w", "y"])
 
-    source = Scratch(rows.sparkSession, "toxicity").put(rows.select(utf8("text").alias("t"), F.col("y").cast("int").alias("y")).dropDuplicates(), "rows")
+    rows = rows.select(utf8("text").alias("t"), F.col("y").cast("int").alias("y"))
+    long_words = F.filter(F.split(F.col("t").cast("string"), r"\s+"), lambda w: F.length(w) >= 9)
+    rows = rows.withColumn("copy", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("t")))
+    source = Scratch(spark, "toxicity").put(rows.dropDuplicates(["copy", "y"]).select("t", "y"), "rows")
     totals = {r["y"]: r["n"] for r in source.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     empty = Lexicon((), (), (-3.0, 1.0, 1.0))
     if not pos or not neg:
         return empty
-    table = source.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")).toPandas()
-    by: dict[str, list[float]] = {}
+    table = source.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    begun = table.select(F.explode(F.expr("transform(sequence(3, greatest(length(w), 3)), k -> substring(w, 1, k))")).alias("s"), "p", "n").groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    apart = F.log((F.col("p") + 0.1) / (pos + 1)) - F.log((F.col("n") + 0.1) / (neg + 1))
+    by = {r["s"]: (float(r["p"]), float(r["n"])) for r in begun.where((F.length("s") >= 3) & (F.col("p") >= least_gain / 4) & (apart >= least_odds - 0.1)).collect()}
     follows: dict[str, dict[str, float]] = {}
-    for w, p, n in zip(table["w"], table["p"], table["n"]):
-        for k in range(3, len(w) + 1):
-            c = by.setdefault(w[:k], [0.0, 0.0])
-            c[0] += p
-            c[1] += n
-            if p:
-                onward = follows.setdefault(w[:k], {})
-                onward[w[k : k + 1]] = onward.get(w[k : k + 1], 0.0) + p
+    for s, c in by.items():
+        follows.setdefault(s[:-1], {})[s[-1]] = c[0]
     odds = lambda c: math.log((c[0] + 0.1) / (pos + 1)) - math.log((c[1] + 0.1) / (neg + 1))
     share = pos / (pos + neg)
 
@@ -165,8 +167,8 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds:
         if any(s[:k] in good for k in range(3, len(s))):
             continue
         while True:
-            letter, mass = max(follows[s].items(), key=lambda x: (x[1], x[0]))
-            if not letter or mass < 0.98 * by[s][0]:
+            letter, mass = max(follows.get(s, {"": 0.0}).items(), key=lambda x: (x[1], x[0]))
+            if mass < 0.98 * by[s][0] and (mass < 0.7 * by[s][0] or odds(by[s + letter]) < odds(by[s]) + 0.5):
                 break
             s += letter
         stems[s] = round(odds(by[s]), 3)
