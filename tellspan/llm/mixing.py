@@ -85,11 +85,16 @@ def schedule(docs: DataFrame, block: int = 16, source_col: str = "source", id_co
     )
 
 
-def mixed(docs: DataFrame, block: int = 16, partitions: int = 64, **options) -> DataFrame:
-    """The rows of ``docs``, each once, in the order of the mix: ranges of slots by partition, sorted within."""
+def mixed(docs: DataFrame, block: int = 16, partitions: int | None = None, **options) -> DataFrame:
+    """The rows of ``docs``, each once, in the order of the mix: ranges of slots by partition, sorted within.
+
+    ``partitions`` defaults to the session's shuffle partitions.
+    """
+    spark = docs.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
     out = schedule(docs, block, carry=others, **options)
-    return out.repartitionByRange(partitions, "slot", "nth").sortWithinPartitions("slot", "nth").select(*docs.columns)
+    return out.repartitionByRange(parts, "slot", "nth").sortWithinPartitions("slot", "nth").select(*docs.columns)
 
 
 ORACLE = """

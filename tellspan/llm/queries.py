@@ -27,7 +27,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-def _fold(remainders: int, held: int) -> Column:
+def fold(remainders: int, held: int) -> Column:
     """Whether doc_id belongs to the held-out fold; rows without an id don't."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainders == held, F.lit(False))
 
@@ -38,16 +38,16 @@ def op4_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
     labels = _table(spark, sf_dir, "labels")
-    return toxicity.learn(toxicity.training_rows(_table(spark, sf_dir, "documents"), labels, ~_fold(3, 1)))
+    return toxicity.learn(toxicity.training_rows(_table(spark, sf_dir, "documents"), labels, ~fold(3, 1)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(_table(spark, sf_dir, "documents"), toxic_lexicon(spark, sf_dir))
-    return scored.select("doc_id", _fold(3, 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", fold(3, 1).alias("held_out"), "score", "predicted")
 
 
 def op6_gru_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gru.score_documents(_table(spark, sf_dir, "documents"), _fold(7, 2))
+    return gru.score_documents(_table(spark, sf_dir, "documents"), fold(7, 2))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
