@@ -8,9 +8,9 @@ common rare token are never looked at, those whose union holds too few are not o
 of opened groups are verified exactly. Documents already connected need no further links, so large
 groups of near copies cost one comparison a document, not one a pair.
 
-Rare tokens: sets with similarity s of at least ``least`` percent share a token among the first
-n - ceil(least n / 100) + 1 of either in any common order. The order here puts tokens of many
-documents last, so common passages bring no candidates.
+Rare tokens: sets with a similarity of at least ``least`` percent share k tokens among the first
+n - ceil(least n / 100) + k of either in any common order. Here k grows with n, and the order puts
+tokens of many documents last, so common passages bring few candidates.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ _KEYS = 6  # min-hash keys of a document
 _GROUP = 64  # members of a group, about
 _HOT = 65_536  # tokens that the order puts last, at most
 _SEND = 400_000  # rows of ids that may be broadcast
+_EACH = 20  # a set of n tokens must share 1 + n // _EACH of its first tokens
 
 
 def token_sets(batch: pa.RecordBatch, column: str, width: int = 5):
@@ -63,7 +64,7 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def profiles(docs: DataFrame, width: int = 5, share: float = 0.002) -> DataFrame:
+def profiles(docs: DataFrame, width: int = 5, share: float = 0.001) -> DataFrame:
     """Of each document (doc, n, c1, c2, keys): set size, 128-bit digest of the set, min-hash keys. Rows with doc null:
     (token, seen), tokens that more than ``share`` of the documents a task read together have."""
     seeds = [np.uint64(mix(np.array([k + 1], np.uint64))[0]) for k in range(_KEYS)]
@@ -119,7 +120,7 @@ def prefixes(docs: DataFrame, hot, least: int, width: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(digest)
-                p = len(s) - -(-least * len(s) // 100) + 1
+                p = len(s) - -(-least * len(s) // 100) + 1 + len(s) // _EACH
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     common = last[at] == s
@@ -236,7 +237,8 @@ def near_documents(documents: DataFrame, least: int = 80, width: int = 5, id_col
     right = cells.join(mixed, "t").select("t", "g", F.col("comp").alias("other"), "lo", "hi")
     queries = lists.join(mixed, "t").select("t", F.col("doc").alias("q"), "n", "comp").distinct()
     meet = queries.join(right, "t").where(f"comp < other and 100 * n >= {least} * lo and 100 * hi >= {least} * n")
-    pairs = scratch.put(meet.select("q", "g").distinct(), "pairs")
+    enough = meet.groupBy("q", "g").agg(F.count("*").alias("c"), F.min(F.least("n", "lo")).alias("least")).where(f"c > least div {_EACH}")
+    pairs = scratch.put(enough.select("q", "g"), "pairs")
     wanted = place.join(pairs.select("g").distinct(), "g").select("doc").union(pairs.select("q")).distinct()
     sets = scratch.put(_sets(docs, scratch.put(wanted, "wanted"), width), "sets")
     groups = sets.join(place.select("doc", "g"), "doc").groupBy("g").agg(F.collect_list(F.struct(F.col("doc").alias("d"), F.col("tokens").alias("s"))).alias("members"))
