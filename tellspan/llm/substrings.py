@@ -8,8 +8,8 @@ looked at; inside a repeat, all symbols whose span of dependence the repeat hold
 both places.
 
 A window of words can repeat only if each such symbol in it, of a sample fixed by name, occurs in
-two documents. Windows that pass (or hold no symbol of the sample) are compared by a 96-bit hash
-of their words, so what is removed is exact.
+two documents. Windows that pass (or hold no symbol of the sample) are verified by a 64-bit hash
+of their 50 words, made apart from the symbols' names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import Scratch, flat_bytes, hashed_words, mix, pieces, utf8
 
 _RUN, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SAMPLE = np.uint64(3)
+_BITS = 27  # of the bitmap of names that occur in two documents: 16 MB
+_SEND = 1 << 23  # names up to which a bitmap stands for them; beyond, each document meets its own
 
 
 def _seed(k: int) -> np.uint64:
@@ -83,8 +85,8 @@ def _sampled(words: np.ndarray, first: np.ndarray, rounds: int):
     return name[keep], low[keep], high[keep]
 
 
-def windows(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, 32 more bits) of each run of ``size`` words, by doubling."""
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words, by doubling."""
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
     block, width, at = words, 1, 0
@@ -97,11 +99,17 @@ def windows(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         if rest:
             block = mix(block[:-width] * _RUN + block[width:] + np.uint64(width))
             width *= 2
-    check = np.zeros(n, np.uint64)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words ^ _PAIR))])
-    check = total[size:] - total[:-size]
-    check += (words[:n] ^ (words[size - 1 :] >> np.uint64(3))) * _RUN
-    return out, (check >> np.uint64(32)).astype(np.uint32)
+    return out
+
+
+def _bitmap(names: DataFrame) -> np.ndarray:
+    """Bits by the low bits of the names; its size is fixed."""
+    low = F.col("name").bitwiseAND(F.lit((1 << _BITS) - 1))
+    rows = names.select(F.shiftright(low, 15).alias("k"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << (_BITS - 15), 1 << 12), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Scratch]:
@@ -134,44 +142,57 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
     facts = scratch.put(docs.mapInArrow(name, "doc bigint, n_words bigint, whole_sha256 string, names array<bigint>"), "facts")
     seen = facts.where(F.col("doc").isNotNull() & (F.col("n_words") >= size)).select("doc", F.explode(F.array_distinct("names")).alias("name"))
     twice = seen.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name")
-    common = scratch.put(seen.join(twice, "name").groupBy("doc").agg(F.collect_set("name").alias("names")), "common")
+    twice = scratch.put(twice, "twice")
     scratch.settle()
+    known = docs.where(F.col("doc").isNotNull())
+    if twice.count() <= _SEND:
+        # A false bit lets a window through that is then compared like any other.
+        shared = spark.sparkContext.broadcast(_bitmap(twice))
+        texts = known.select("doc", "t", F.lit(None).cast("array<bigint>").alias("names"))
+    else:
+        shared = None
+        own = seen.join(twice, "name").groupBy("doc").agg(F.collect_set("name").alias("names"))
+        texts = known.join(own, "doc", "left").select("doc", "t", "names")
 
     def hash_(batches):
+        bits = shared.value if shared is not None else None
         for batch in batches:
-            hs, cs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for part in pieces(batch, "t"):
                 data, offsets = flat_bytes(part.column("t"))
                 h, _, _, first = hashed_words(data, offsets, False)
-                if len(h) < size:
+                n = len(h) - size + 1
+                if n <= 0:
                     continue
-                ids, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
-                value, check = windows(h, size)
-                for i in range(part.num_rows):
-                    a, b = int(first[i]), int(first[i + 1])
-                    if b - a < size:
-                        continue
-                    found, low, high = _sampled(h[a:b], np.array([0, b - a]), rounds)
-                    p = np.arange(b - a - size + 1)
-                    held = lists[i].values
-                    ok = np.isin(found, held.to_numpy().view(np.uint64)) if held is not None and len(held) else np.zeros(len(found), bool)
-                    alone = np.concatenate([[0], np.cumsum(~ok)])
-                    j, k = np.searchsorted(low, p, "left"), np.searchsorted(high, p + size, "right")
-                    p = p[(k <= j) | (alone[np.maximum(k, j)] == alone[j])]
-                    hs.append(value[a + p])
-                    cs.append(check[a + p])
-                    ds.append(np.full(len(p), ids[i], np.int64))
-                    ps.append(p.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs).view(np.int32)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], ["h", "c", "doc", "p"])
-
-    texts = docs.where(F.col("doc").isNotNull()).join(common, "doc", "left").select("doc", "t", "names")
-    found = scratch.put(texts.mapInArrow(hash_, "h bigint, c int, doc bigint, p int"), "windows")
-    scratch.drop("common")
+                found, low, high = _sampled(h, first, rounds)
+                if bits is not None:
+                    x = found & np.uint64((1 << _BITS) - 1)
+                    ok = (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                else:
+                    ok = np.zeros(len(found), bool)
+                    at = np.concatenate([[0], np.cumsum(_count(low, first))])
+                    for i in range(part.num_rows):
+                        held = part.column(2)[i].values
+                        if held is not None and len(held):
+                            ok[at[i] : at[i + 1]] = np.isin(found[at[i] : at[i + 1]], held.to_numpy().view(np.uint64))
+                alone = np.concatenate([[0], np.cumsum(~ok)])
+                p = np.arange(n)
+                j, k = np.searchsorted(low, p, "left"), np.searchsorted(high, p + size, "right")
+                text = np.repeat(np.arange(part.num_rows), np.diff(first))
+                p = p[(text[:n] == text[size - 1 :]) & ((k <= j) | (alone[np.maximum(k, j)] == alone[j]))]
+                hs.append(windows(h, size)[p])
+                ds.append(part.column(0).to_numpy(zero_copy_only=False)[text[p]])
+                ps.append((p - first[text[p]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], ["h", "doc", "p"])
+
+    found = scratch.put(texts.mapInArrow(hash_, "h bigint, doc bigint, p int"), "windows")
+    scratch.settle()
+    least = found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "lo")
+    least = scratch.put(least, "least")
     scratch.settle()
-    least = found.groupBy("h", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "c", "lo")
-    later = found.join(least, ["h", "c"]).where("doc > lo").groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("starts"))
+    later = found.join(least, "h").where("doc > lo").groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("starts"))
     starts = scratch.put(later, "starts")
-    scratch.drop("windows")
+    scratch.drop("windows", "least", "twice")
     scratch.settle()
     return facts.drop("names"), starts, scratch
 
