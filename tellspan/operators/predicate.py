@@ -12,22 +12,26 @@ from ..functions.coerce import NAN, NUMBER, as_bool, as_float, as_int, as_text,
 from ..plans.documents import Term
 from ..schema import BOOL, DOUBLE, FIELDS, INT, STR
 
-NEVER = F.lit(False)
+
+def never() -> Column:
+    return F.lit(False)
+
+
 _COMPARE = {"eq": Column.__eq__, "ne": Column.__ne__, "lt": Column.__lt__, "lte": Column.__le__, "gt": Column.__gt__, "gte": Column.__ge__}
 
 
 def _ordered(col: Column, op: str, value) -> Column:
-    return NEVER if value is None or op == "contains" else _COMPARE[op](col, F.lit(value))
+    return never() if value is None or op == "contains" else _COMPARE[op](col, F.lit(value))
 
 
 def compare(col: Column, kind: str, op: str, value) -> Column:
     """``col op value`` for a column of this kind. Nulls, NaN and values of the wrong kind match nothing, not even ``ne``."""
     if kind == "int":
         v = as_int(value)
-        return _ordered(col, op, v) if v is not None else NEVER
+        return _ordered(col, op, v) if v is not None else never()
     if kind == "double":
         v = as_float(value)
-        return _ordered(col, op, v) & ~F.isnan(col) if v is not None and v == v else NEVER
+        return _ordered(col, op, v) & ~F.isnan(col) if v is not None and v == v else never()
     if kind == "bool":
         return _ordered(col, op, as_bool(value))
     if kind == "id":
@@ -35,9 +39,9 @@ def compare(col: Column, kind: str, op: str, value) -> Column:
     if kind == "str":
         v = as_text(value)
         if v is None:
-            return NEVER
+            return never()
         return col.contains(v) if op == "contains" else _ordered(col, op, v)
-    return NEVER
+    return never()
 
 
 def _text_attr(s: Column, op: str, value) -> Column:
@@ -51,8 +55,8 @@ def _text_attr(s: Column, op: str, value) -> Column:
     if bare is None:
         return _COMPARE[op](s, F.lit(text))
     if bare != bare:
-        return F.when(s.rlike(NUMBER), NEVER).otherwise(_COMPARE[op](s, F.lit(text)))
-    return F.when(s.rlike(NAN), NEVER).when(s.rlike(NUMBER), _COMPARE[op](s.try_cast("double"), F.lit(bare))).otherwise(_COMPARE[op](s, F.lit(text)))
+        return F.when(s.rlike(NUMBER), never()).otherwise(_COMPARE[op](s, F.lit(text)))
+    return F.when(s.rlike(NAN), never()).when(s.rlike(NUMBER), _COMPARE[op](s.try_cast("double"), F.lit(bare))).otherwise(_COMPARE[op](s, F.lit(text)))
 
 
 def attribute(x: Column, term: Term) -> Column:
@@ -65,14 +69,14 @@ def attribute(x: Column, term: Term) -> Column:
         by_kind = by_kind.when(x["type"] == DOUBLE, _ordered(x["d"], term.op, real) & ~F.isnan(x["d"]))
     if truth is not None and term.op != "contains":
         by_kind = by_kind.when(x["type"] == BOOL, _ordered(x["b"], term.op, truth))
-    return (x["key"] == term.name) & F.coalesce(by_kind.otherwise(NEVER), NEVER)
+    return (x["key"] == term.name) & F.coalesce(by_kind.otherwise(never()), never())
 
 
 def any_level(term: Term, levels: Iterable[str], nested: Iterable[str] = ()) -> Column:
     """Whether any attribute of any level satisfies the term; ``nested`` are arrays of children with ``attrs``."""
     tests = [F.exists(F.col(c), lambda x: attribute(x, term)) for c in levels]
     tests += [F.exists(F.col(c), lambda e: F.exists(e["attrs"], lambda x: attribute(x, term))) for c in nested]
-    return reduce(Column.__or__, [F.coalesce(t, NEVER) for t in tests], NEVER)
+    return reduce(Column.__or__, [F.coalesce(t, never()) for t in tests], never())
 
 
 def predicate(found: Iterable[Term], signal: str, columns: Iterable[str]) -> Column:
@@ -81,7 +85,7 @@ def predicate(found: Iterable[Term], signal: str, columns: Iterable[str]) -> Col
     for t in found:
         if t.target == "field":
             name, kind = FIELDS[signal].get(t.name, (None, None))
-            out.append(compare(F.col(name), kind, t.op, t.value) if name in columns else NEVER)
+            out.append(compare(F.col(name), kind, t.op, t.value) if name in columns else never())
         else:
             out.append(any_level(t, [c for c in ("attrs", "resource", "scope") if c in columns], [c for c in ("events", "links") if c in columns]))
     return reduce(Column.__and__, out, F.lit(True))

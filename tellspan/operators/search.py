@@ -99,11 +99,11 @@ def get_trace(spans: DataFrame, trace_id: str, limit: int = 1_000) -> DataFrame:
 def any_value(x: Column) -> Column:
     """An attribute's value as JSON text: 64-bit integers as strings, ids and bytes as hex, NaN and infinities as null."""
     return (
-        F.when(x["type"] == 1, F.to_json(F.struct(x["s"].alias("v"))))
-        .when(x["type"] == 2, F.to_json(F.struct(x["i"].cast("string").alias("v"))))
-        .when(x["type"] == 3, F.when(F.isnan(x["d"]) | (F.abs(x["d"]) == float("inf")), F.lit('{"v":null}')).otherwise(F.to_json(F.struct(x["d"].alias("v")))))
-        .when(x["type"] == 4, F.to_json(F.struct(x["b"].alias("v"))))
-        .when(x["type"] == 5, F.to_json(F.struct(F.lower(F.hex(x["bytes"])).alias("v"))))
+        F.when(x["type"] == 1, F.to_json(F.named_struct(F.lit("v"), x["s"])))
+        .when(x["type"] == 2, F.to_json(F.named_struct(F.lit("v"), x["i"].cast("string"))))
+        .when(x["type"] == 3, F.when(F.isnan(x["d"]) | (F.abs(x["d"]) == float("inf")), F.lit('{"v":null}')).otherwise(F.to_json(F.named_struct(F.lit("v"), x["d"]))))
+        .when(x["type"] == 4, F.to_json(F.named_struct(F.lit("v"), x["b"])))
+        .when(x["type"] == 5, F.to_json(F.named_struct(F.lit("v"), F.lower(F.hex(x["bytes"])))))
         .when(x["type"].isin(6, 7), F.concat(F.lit('{"v":'), F.coalesce(x["json"], F.lit("null")), F.lit("}")))
         .otherwise(F.lit('{"v":null}'))
     )
@@ -112,8 +112,8 @@ def any_value(x: Column) -> Column:
 def _object(attrs: Column) -> Column:
     """Attributes as a JSON object, keys sorted, the last of a repeated key."""
     last = F.filter(attrs, lambda x, i: ~F.exists(F.slice(attrs, i + 2, F.size(attrs)), lambda y: y["key"] == x["key"]))
-    entries = F.array_sort(F.transform(last, lambda x: F.struct(x["key"].alias("k"), F.regexp_extract(any_value(x), r'(?s)^\{"v":(.*)\}$', 1).alias("v"))))
-    quoted = F.transform(entries, lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e["k"].alias("k"))), r'(?s)^\{"k":(.*)\}$', 1), F.lit(":"), e["v"]))
+    entries = F.array_sort(F.transform(last, lambda x: F.named_struct(F.lit("k"), x["key"], F.lit("v"), F.regexp_extract(any_value(x), r'(?s)^\{"v":(.*)\}$', 1))))
+    quoted = F.transform(entries, lambda e: F.concat(F.regexp_extract(F.to_json(F.named_struct(F.lit("k"), e["k"])), r'(?s)^\{"k":(.*)\}$', 1), F.lit(":"), e["v"]))
     return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
@@ -123,6 +123,16 @@ def merged(columns) -> Column:
     return _object(F.concat(*levels))
 
 
+def _child(names: tuple[str, ...]):
+    """A span's event or link as a JSON object with its own attributes."""
+
+    def one(e: Column) -> Column:
+        own = F.to_json(F.named_struct(*(x for n in names for x in (F.lit(n), e[n].cast("string") if n in ("ts_ns", "flags") else e[n]))))
+        return F.concat(F.regexp_replace(own, r"\}$", ""), F.lit(',"attributes":'), _object(e["attrs"]), F.lit("}"))
+
+    return one
+
+
 def render(records: DataFrame, signal: str) -> DataFrame:
     """(cursor, json): each row as the object that searches return. Absent values and empty lists are left out."""
     parts = []
@@ -136,7 +146,7 @@ def render(records: DataFrame, signal: str) -> DataFrame:
     extra = [F.concat(F.lit('"attributes":'), merged(records.columns))]
     for c in ("events", "links"):
         if c in records.columns:
-            child = F.transform(F.col(c), lambda e, c=c: F.concat(F.regexp_replace(F.to_json(F.struct(*(e[n].cast("string").alias(n) if n in ("ts_ns", "flags") else e[n].alias(n) for n in (("ts_ns", "name") if c == "events" else ("trace_id", "span_id", "trace_state", "flags"))))), r"\}$", ""), F.lit(',"attributes":'), _object(e["attrs"]), F.lit("}")))
+            child = F.transform(F.col(c), _child(("ts_ns", "name") if c == "events" else ("trace_id", "span_id", "trace_state", "flags")))
             extra.append(F.when(F.size(F.col(c)) > 0, F.concat(F.lit(f'"{c}":['), F.array_join(child, ","), F.lit("]"))))
     body = F.concat(F.regexp_replace(base, r"\}$", ""), F.when(base != "{}", F.lit(",")).otherwise(F.lit("")), F.concat_ws(",", *extra), F.lit("}"))
     return records.select(F.concat_ws(".", *KEY).alias("cursor"), body.alias("json"))

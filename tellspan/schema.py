@@ -85,4 +85,4 @@ def attributes(*entries: Column) -> Column:
 
 def text_of(attrs: str, key: str) -> Column:
     """The last string value of ``key`` in an attribute list, or null."""
-    return F.expr(f"element_at(filter({attrs}, x -> x.key = '{key}' AND x.type = {STR}), -1).s")
+    return F.expr(f"try_element_at(filter({attrs}, x -> x.key = '{key}' AND x.type = {STR}), -1).s")
