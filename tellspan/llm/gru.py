@@ -175,22 +175,26 @@ class Gru:
         q *= scale
         grad = {"C": H.T @ q, "c": q.sum(0)}
         dH = q @ p["C"].T
-        rows = np.flatnonzero(ids < HEAD)
         grad["H"], grad["d"] = np.zeros_like(p["H"]), np.zeros_like(p["d"])
-        if len(rows):
-            kr, own = kinds[rows], ids[rows] % PER_CLASS
-            y = np.einsum("nh,nhw->nw", H[rows], p["H"][kr]) + p["d"][kr]
+        order = np.argsort(kinds, kind="stable")
+        ends = np.searchsorted(kinds[order], np.arange(_HEAD_CLASSES + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            rows = order[ends[c] : ends[c + 1]]
+            mine, own = np.arange(len(rows)), ids[rows] - c * PER_CLASS
+            y = H[rows] @ p["H"][c]
+            y += p["d"][c]
             y -= y.max(1, keepdims=True)
-            y = np.exp(y)
+            np.exp(y, out=y)
             y /= y.sum(1, keepdims=True)
-            loss -= np.log(y[np.arange(len(rows)), own] + 1e-20).sum()
-            y[np.arange(len(rows)), own] -= 1
+            loss -= np.log(y[mine, own] + 1e-20).sum()
+            y[mine, own] -= 1
             y *= scale
-            np.add.at(grad["H"], kr, H[rows][:, :, None] * y[:, None, :])
-            np.add.at(grad["d"], kr, y)
-            dH[rows] += np.einsum("nw,nhw->nh", y, p["H"][kr])
+            grad["H"][c] = H[rows].T @ y
+            grad["d"][c] = y.sum(0)
+            dH[rows] += y @ p["H"][c].T
         dH = dH.reshape(T, B, k)
-        dU, dtable, dh = np.zeros_like(p["U"]), np.zeros_like(table), np.zeros((B, k), np.float32)
+        dU, dh = np.zeros_like(p["U"]), np.zeros((B, k), np.float32)
+        gates = np.empty((T, B, 3 * k), np.float32)
         for t in range(T - 1, -1, -1):
             before, r, z, n, a = kept[t]
             dh = dh + dH[t]
@@ -199,8 +203,13 @@ class Gru:
             dr = dn * a[:, 2 * k :] * r * (1 - r)
             da = np.concatenate([dr, dz, dn * r], 1)
             dU += before.T @ da
-            np.add.at(dtable, inputs[t], np.concatenate([dr, dz, dn], 1))
+            gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :] = dr, dz, dn
             dh = (dh * z + da @ p["U"].T) * (inputs[t] != END)[:, None]
+        dtable = np.zeros_like(table)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        read = inputs.ravel()[order]
+        heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
+        dtable[read[heads]] = np.add.reduceat(gates.reshape(T * B, -1)[order], heads)
         grad |= {"U": dU, "E": dtable @ p["W"].T, "W": p["E"].T @ dtable, "b": dtable.sum(0)}
         return grad, h, float(loss) / len(ids)
 
