@@ -28,7 +28,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "scum line",
 
 
 def _table() -> dict[int, str]:
-    table = {ord(c): letter for letter, others in LOOKALIKES.items() if letter != "i" for c in others}
+    table = {ord(c): letter for letter, others in LOOKALIKES.items() for c in others}
     for code in range(0xFF21, 0xFF3B):  # full-width letters
         for c in (code, code + 32):
             plain = chr((c - 0xFF21) % 32 + 97)
