@@ -63,11 +63,12 @@ def schedule(docs: DataFrame, block: int = 16, source_col: str = "source", id_co
     bucket, so that a source with a third of all rows is numbered by many tasks.
     """
     d = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), *carry).withColumn("__h", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")))
-    d = d.withColumn("__b", F.substring("__h", 1, _DIGITS))
-    sizes = d.groupBy("__s", "__b").agg(F.count("*").alias("c"))
-    before = sizes.select(F.col("__s").alias("os"), F.col("__b").alias("ob"), F.coalesce(F.sum("c").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
-    within = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", "__id"))
-    numbered = d.withColumn("__n", within).join(before, F.col("__s").eqNullSafe(F.col("os")) & (F.col("__b") == F.col("ob"))).withColumn("__n", F.col("__n") + F.col("off") - 1)
+    # a key that is never null, so that numbering and its join deal the rows out once
+    d = d.withColumns({"__b": F.substring("__h", 1, _DIGITS), "__k": F.coalesce(F.concat(F.lit("="), F.col("__s")), F.lit(""))})
+    sizes = d.groupBy("__k", "__b").agg(F.count("*").alias("c"))
+    before = sizes.select(F.col("__k").alias("ok"), F.col("__b").alias("ob"), F.coalesce(F.sum("c").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    within = F.row_number().over(Window.partitionBy("__k", "__b").orderBy("__h", "__id"))
+    numbered = d.withColumn("__n", within).join(before, (F.col("__k") == F.col("ok")) & (F.col("__b") == F.col("ob"))).withColumn("__n", F.col("__n") + F.col("off") - 1)
     table = period(shares(docs, source_col, weights, alpha, resolution))
     per = table.groupBy(F.col("s").alias("ps")).agg(F.max("q").alias("q"), F.max("total").alias("total"))
     i = F.floor(F.col("__n") / block)
