@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ from .components import components
 _STEP = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB, 0x9FB21C651E98DF25)]
 _KEYS = 6  # min-hash keys of a document
 _GROUP = 64  # members of a group, about
-_HOT = 65_536  # tokens that the order puts last, at most
+_HOT = 1 << 20  # tokens that the order puts last, at most: 8 MB
+_MANY = 24  # documents that make a token one of them
 _SEND = 400_000  # rows of ids that may be broadcast
 _EACH = 20  # a set of n tokens must share 1 + n // _EACH of its first tokens
 
@@ -64,17 +66,17 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def profiles(docs: DataFrame, width: int = 5, share: float = 0.001) -> DataFrame:
-    """Of each document (doc, n, c1, c2, keys): set size, 128-bit digest of the set, min-hash keys. Rows with doc null:
-    (token, seen), tokens that more than ``share`` of the documents a task read together have."""
+def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
+    """Of each document (doc, n, c1, c2, keys): set size, 128-bit digest of the set, min-hash keys. Rows with keys null:
+    (token, seen), tokens that several of the documents a task read together have."""
     seeds = [np.uint64(mix(np.array([k + 1], np.uint64))[0]) for k in range(_KEYS)]
 
     def run(batches):
-        held, n_docs = [], 0
+        held = []
 
         def frequent():
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            ok = c >= max(8, share * n_docs)
+            ok = c >= 2
             k = int(ok.sum())
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(t[ok])), pa.array(c[ok].astype(np.int64))], names)
 
@@ -88,13 +90,12 @@ def profiles(docs: DataFrame, width: int = 5, share: float = 0.001) -> DataFrame
                     c[0, i], c[1, i] = mix(s).sum(dtype=np.uint64), mix(s ^ seeds[0]).sum(dtype=np.uint64)
                     keys[i] = [mix(s ^ seed).min() for seed in seeds]
                     held.append(s)
-                    n_docs += 1
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * _KEYS), pa.array(_signed(keys.ravel())))
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(_signed(c[0])), pa.array(_signed(c[1])), lists, none, none], names)
             if sum(map(len, held)) > 1 << 22:
                 yield frequent()
-                held, n_docs = [], 0
+                held = []
         if held:
             yield frequent()
 
@@ -146,47 +147,72 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "t").join(ids, "doc").mapInArrow(run, "doc bigint, n bigint, tokens array<bigint>").dropDuplicates(["doc"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """(a, b) of the links between queries and members of groups, for pairs (q, g).
+def _groups(sets: DataFrame, place: DataFrame) -> DataFrame:
+    """(g, members): a row of the matrix, with each member's id, component and tokens."""
+    return sets.join(place.select("doc", "g", "comp"), "doc").groupBy("g").agg(F.collect_list(F.struct(F.col("doc").alias("d"), F.col("comp").alias("k"), F.col("tokens").alias("s"))).alias("members"))
 
-    ``groups``: (g, members array of (doc, tokens)). The bound by the union comes first; only groups
-    that pass it are opened.
+
+class _Members:
+    """The members of a column of groups, without copies of their tokens."""
+
+    def __init__(self, column: pa.Array):
+        ends = lambda x: np.concatenate([[0], np.cumsum(pa.compute.list_value_length(x).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = column.flatten()
+        self.rows = ends(column)
+        self.ids, self.comps = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        tokens = flat.field(2)
+        self.ends = ends(tokens)
+        self.tokens = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def of(self, row: int) -> range:
+        return range(self.rows[row], self.rows[row + 1])
+
+    def set(self, i: int) -> np.ndarray:
+        return self.tokens[self.ends[i] : self.ends[i + 1]]
+
+    def union(self, row: int) -> np.ndarray:
+        return np.unique(self.tokens[self.ends[self.rows[row]] : self.ends[self.rows[row + 1]]])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _verify(pairs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the links between members of different components, for pairs of groups (a, b).
+
+    Each member of the one group is a query against the other: the bound by the union comes first,
+    and only groups that pass it are opened.
     """
 
     def run(batches):
         for batch in batches:
+            left, right = _Members(batch.column(0)), _Members(batch.column(1))
+            same = batch.column(2).to_pylist()
             a, b = [], []
-            values, ends = batch.column(1).flatten().to_numpy().view(np.uint64), np.cumsum(np.concatenate([[0], pa.compute.list_value_length(batch.column(1)).to_numpy()]))
-            members = batch.column(2)
-            flat = members.flatten()
-            ids, tokens = flat.field(0).to_numpy(), flat.field(1)
-            inner = tokens.flatten().to_numpy().view(np.uint64)
-            inner_ends = np.cumsum(np.concatenate([[0], pa.compute.list_value_length(tokens).to_numpy()]))
-            group_ends = np.cumsum(np.concatenate([[0], pa.compute.list_value_length(members).to_numpy()]))
-            for i, q in enumerate(batch.column(0).to_numpy()):
-                own = values[ends[i] : ends[i + 1]]
-                lo, hi = group_ends[i], group_ends[i + 1]
-                union = inner[inner_ends[lo] : inner_ends[hi]]
-                if hi - lo > 1:
-                    at = np.searchsorted(own, union)
-                    at[at == len(own)] = 0
-                    if 100 * np.count_nonzero(np.bincount(at[own[at] == union], minlength=len(own))) < least * len(own):
-                        continue
-                for m in range(lo, hi):
-                    other = inner[inner_ends[m] : inner_ends[m + 1]]
-                    small, large = min(len(own), len(other)), max(len(own), len(other))
-                    if 100 * small < least * large or ids[m] == q:
+            for row in range(batch.num_rows):
+                union = right.union(row) if len(right.of(row)) > 1 else None
+                for i in left.of(row):
+                    own = left.set(i)
+                    if union is not None and 100 * _common(own, union) < least * len(own):
                         continue
-                    both = np.concatenate([own, other])
-                    both.sort()
-                    same = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * same >= least * (len(own) + len(other) - same):
-                        a.append(min(q, ids[m]))
-                        b.append(max(q, ids[m]))
+                    for j in right.of(row):
+                        if left.comps[i] == right.comps[j] or same[row] and left.ids[i] >= right.ids[j]:
+                            continue
+                        other = right.set(j)
+                        if 100 * min(len(own), len(other)) < least * max(len(own), len(other)):
+                            continue
+                        n = _common(own, other)
+                        if 100 * n >= least * (len(own) + len(other) - n):
+                            a.append(min(left.ids[i], right.ids[j]))
+                            b.append(max(left.ids[i], right.ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    full = pairs.join(sets.select(F.col("doc").alias("q"), "tokens"), "q").join(groups, "g")
-    return full.select("q", "tokens", "members").mapInArrow(run, "a bigint, b bigint").distinct()
+    full = pairs.join(groups.select(F.col("g").alias("a"), F.col("members").alias("x")), "a").join(groups.select(F.col("g").alias("b"), F.col("members").alias("y")), "b")
+    return full.select("x", "y", (F.col("a") == F.col("b")).alias("same")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_documents(documents: DataFrame, least: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,42 +233,42 @@ def near_documents(documents: DataFrame, least: int = 80, width: int = 5, id_col
     member = scratch.put(usable.select("doc", "n", "c1", "c2", "keys").join(classes, ["n", "c1", "c2"]).select("doc", "rep", "n", "keys"), "member")
     reps = member.where("doc = rep").dropDuplicates(["doc", "n"])
 
-    # Stars: each class looks at the smallest of its min-hash buckets with which it shares most keys.
+    # Stars: each class looks at the smallest of its min-hash buckets, where it shares two keys or more.
     keyed = reps.select("doc", "n", "keys", F.posexplode("keys").alias("k", "key"))
     leader = keyed.groupBy("k", "key").agg(F.min("doc").alias("g"), F.max("doc").alias("top")).where("g < top").select("k", "key", "g")
     shared = keyed.join(leader, ["k", "key"]).where("doc <> g").groupBy(F.col("doc").alias("q"), "g").agg(F.count("*").alias("c"))
-    star = shared.where("c >= 2").groupBy("q").agg(F.max(F.struct("c", -F.col("g"))).alias("x")).select("q", (-F.col("x.col2")).alias("g"))
-    star = scratch.put(star, "star")
+    star = scratch.put(shared.where("c >= 2").select("q", "g"), "star")  # at most half as many as there are keys
     ends = scratch.put(star.select(F.col("q").alias("doc")).union(star.select("g")).distinct(), "star_ids")
     sets = scratch.put(_sets(docs, ends, width), "star_sets")
-    alone = sets.join(star.select(F.col("g").alias("doc")).distinct(), "doc").select(F.col("doc").alias("g"), F.array(F.struct(F.col("doc").alias("d"), F.col("tokens").alias("s"))).alias("members"))
-    first = scratch.put(_verify(star, sets, alone, least), "star_links")
+    alone = _groups(sets, sets.select("doc", F.col("doc").alias("g"), F.col("doc").alias("comp")))
+    first = scratch.put(_verify(star.select(F.col("q").alias("a"), F.col("g").alias("b")), alone, least), "star_links")
     scratch.drop("star_sets")
     near = components(first, scratch, "near")
 
-    # The matrix: groups of what hangs together, met through rare tokens.
-    place = reps.select("doc", "n").join(near.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("comp"))
-    width_of = place.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(_GROUP)).alias("parts"))
-    place = place.join(width_of, "comp").withColumn("g", F.when(F.col("parts") == 1, F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("doc"), "parts"))))
-    place = scratch.put(place.select("doc", "n", "comp", "g"), "place")
-    hot = [r["token"] for r in profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("c")).orderBy(F.desc("c"), "token").limit(_HOT).collect()]
-    hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
+    # The matrix: groups of what hangs together, and of single documents with a min-hash key in common.
+    place = reps.select("doc", "n", F.col("keys")[0].alias("key")).join(near.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", "key", F.coalesce("component", "doc").alias("comp"))
+    members = place.groupBy("comp").agg(F.count("*").alias("m"))
+    place = place.join(members, "comp").withColumn("key", F.when(F.col("m") > 1, F.xxhash64(F.lit(1), "comp")).otherwise(F.xxhash64(F.lit(2), "key")))
+    parts_of = place.groupBy("key").agg(F.ceil(F.count("*") / F.lit(_GROUP)).alias("parts"))
+    place = scratch.put(place.join(parts_of, "key").select("doc", "n", "comp", F.xxhash64("key", F.pmod(F.xxhash64("doc"), "parts")).alias("g")), "place")
+    hot = profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("c")).where(F.col("c") >= _MANY).orderBy(F.desc("c"), "token").limit(_HOT).select("token").toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    scratch.settle()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = prefixes(docs, hot, least, width).where("doc is not null").repartition(parts, "t")
     open_lists = listed.groupBy("t").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("t")
     lists = scratch.put(listed.join(open_lists.hint("shuffle_merge"), "t"), "lists")
     lists = lists.join(member.select("doc", "rep"), "doc").select("t", F.col("rep").alias("doc")).join(place, "doc")
-    cells = scratch.put(lists.groupBy("t", "g", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "cells")
-    mixed = cells.groupBy("t").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("t")
-    right = cells.join(mixed, "t").select("t", "g", F.col("comp").alias("other"), "lo", "hi")
-    queries = lists.join(mixed, "t").select("t", F.col("doc").alias("q"), "n", "comp").distinct()
-    meet = queries.join(right, "t").where(f"comp < other and 100 * n >= {least} * lo and 100 * hi >= {least} * n")
-    enough = meet.groupBy("q", "g").agg(F.count("*").alias("c"), F.min(F.least("n", "lo")).alias("least")).where(f"c > least div {_EACH}")
-    pairs = scratch.put(enough.select("q", "g"), "pairs")
-    wanted = place.join(pairs.select("g").distinct(), "g").select("doc").union(pairs.select("q")).distinct()
+    cells = scratch.put(lists.groupBy("t", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")), "cells")
+    mixed = cells.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
+    cells = cells.join(mixed, "t")
+    side = lambda k: cells.select("t", *(F.col(c).alias(k + c) for c in ("g", "lo", "hi", "c0", "c1")))
+    meet = side("a").join(side("b"), "t").where(f"ag <= bg and 100 * ahi >= {least} * blo and 100 * bhi >= {least} * alo and least(ac0, bc0) < greatest(ac1, bc1)")
+    enough = meet.groupBy("ag", "bg").agg(F.count("*").alias("c"), F.min(F.least("alo", "blo")).alias("least")).where(f"c > least div {_EACH}")
+    pairs = scratch.put(enough.select(F.col("ag").alias("a"), F.col("bg").alias("b")), "pairs")
+    wanted = place.join(pairs.select(F.col("a").alias("g")).union(pairs.select("b")).distinct(), "g").select("doc").distinct()
     sets = scratch.put(_sets(docs, scratch.put(wanted, "wanted"), width), "sets")
-    groups = sets.join(place.select("doc", "g"), "doc").groupBy("g").agg(F.collect_list(F.struct(F.col("doc").alias("d"), F.col("tokens").alias("s"))).alias("members"))
-    second = _verify(pairs, sets, groups, least)
+    second = _verify(pairs, _groups(sets, place), least)
     links = scratch.put(first.unionByName(second), "links")
     scratch.drop("sets", "lists", "cells")
     whole = components(links, scratch, "whole")
