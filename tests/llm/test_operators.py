@@ -149,6 +149,21 @@ def test_forest_against_brute_force(spark):
     assert got[1003]["component_id"] == 0 and not got[1003]["kept"]
 
 
+def test_forest_keeps_a_dense_group_of_unequal_vectors_whole(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((3000, 16))
+    v[:1000] = v[0] / np.linalg.norm(v[0]) + 0.048 * rng.standard_normal((1000, 16))  # mean cosine 0.96
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, v[1].tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in forest.near_vectors(df, leaf_rows=32).collect()}
+    x = np.concatenate([v, v[1:2]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    want, found = near.sum(1), np.array([got[i]["n_links"] for i in [*range(3000), 5000]])
+    assert near.sum() > 500_000 and (found <= want).all()
+    assert found.sum() >= 0.98 * near.sum()
+    assert all(got[i]["component_id"] == 0 for i in range(1000) if want[i])
+
+
 def test_mix_keeps_every_source_within_a_block(spark):
     rows = [(i, "s%d" % (0 if i % 3 else i % 5)) for i in range(3000)] + [(5000 + i, None) for i in range(40)]
     docs = spark.createDataFrame([(i, s, 1) for i, s in rows], "doc_id long, source string, nth int")
