@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, flat_bytes, hashed_words, pieces, utf8
 
-HEAD, PER_CLASS, TAIL = 1024, 32, 32  # frequent words, of which so many in a class; classes of other words
-_HEAD_CLASSES = HEAD // PER_CLASS
-CLASSES = _HEAD_CLASSES + TAIL + 1  # the last holds the end of the text
-END = HEAD + TAIL  # its id, and the start's; ids below HEAD are words, then classes of other words
+SIDE, TAIL = 32, 32  # least number of classes of frequent words, and of words in each; classes of other words
+HEAD = SIDE * SIDE
+END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabulary; ids below HEAD are words, then classes of other words
 _BIG = 150_000  # counts that go to every task; the others are joined
 _END_HASH = 1  # stands for the end among word hashes
 
@@ -66,6 +65,11 @@ def count_words(docs: DataFrame, window: int = 1 << 22) -> DataFrame:
     return docs.select("t").mapInArrow(run, "h bigint, k int, c bigint").groupBy("h").agg(F.first("k").alias("k"), F.sum("c").alias("c"))
 
 
+def side_for(tokens: int) -> int:
+    """Classes of frequent words, and words in each: the fourth root of the corpus, so that its square root is known by word."""
+    return max(SIDE, int(tokens**0.25))
+
+
 class Vocabulary:
     """Ids of frequent words, and what the corpus counts say about all others."""
 
@@ -76,10 +80,13 @@ class Vocabulary:
         self.big, self.big_log = big, np.log10(big_counts + 1.0)
         self.tail_log = np.log10(tail_total + tail_kinds + 1.0)
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
+        self.side = side_for(tokens)
+        self.size = self.side**2
+        self.end = self.size + TAIL
 
     def look(self, h: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Id of each word: frequency rank, or HEAD + class."""
-        out = kinds + HEAD
+        """Id of each word: frequency rank, or size + class."""
+        out = kinds + self.size
         if len(self.head):
             at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
             ok = self.head[at] == h
@@ -95,26 +102,27 @@ class Vocabulary:
         return np.where(ok, self.big_log[at], 0.0), ok
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < HEAD, ids // PER_CLASS, ids - HEAD + _HEAD_CLASSES)
+def class_of(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
+    return np.where(ids < side * side, ids // side, ids - side * side + side)
 
 
 class Gru:
     """The network. Parameters are float32 arrays in ``p``."""
 
-    def __init__(self, hidden: int = 24, embed: int = 16, seed: int = 3):
+    def __init__(self, hidden: int = 24, embed: int = 16, seed: int = 3, side: int = SIDE):
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
-        self.hidden = hidden
+        self.hidden, self.side, self.end = hidden, side, side * side + TAIL
+        classes = side + TAIL + 1  # the last holds the end of the text
         self.p = {
-            "E": draw(END + 1, embed, scale=0.3),
+            "E": draw(self.end + 1, embed, scale=0.3),
             "W": draw(embed, 3 * hidden, scale=embed**-0.5),
             "U": draw(hidden, 3 * hidden, scale=hidden**-0.5),
             "b": np.zeros(3 * hidden, np.float32),
-            "C": draw(hidden, CLASSES),
-            "c": np.zeros(CLASSES, np.float32),
-            "H": draw(_HEAD_CLASSES, hidden, PER_CLASS),
-            "d": np.zeros((_HEAD_CLASSES, PER_CLASS), np.float32),
+            "C": draw(hidden, classes),
+            "c": np.zeros(classes, np.float32),
+            "H": draw(side, hidden, side),
+            "d": np.zeros((side, side), np.float32),
         }
 
     def step(self, g: np.ndarray, h: np.ndarray):
@@ -134,18 +142,18 @@ class Gru:
         """Natural log probability of the next ids' classes, and of frequent words in theirs."""
         x = h @ self.p["C"]
         x += self.p["c"]
-        kinds = class_of(ids)
+        kinds = class_of(ids, self.side)
         out = x[np.arange(len(ids)), kinds]
         np.exp(x, out=x)  # scores stay small: states are within (-1, 1)
         out -= np.log(x.sum(1))
         order = np.argsort(kinds, kind="stable")
-        ends = np.searchsorted(kinds[order], np.arange(_HEAD_CLASSES + 1))
-        for k in range(_HEAD_CLASSES):
+        ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
+        for k in range(self.side):
             rows = order[ends[k] : ends[k + 1]]
             if len(rows):
                 y = h[rows] @ self.p["H"][k]
                 y += self.p["d"][k]
-                own = y[np.arange(len(rows)), ids[rows] - k * PER_CLASS]
+                own = y[np.arange(len(rows)), ids[rows] - k * self.side]
                 np.exp(y, out=y)
                 out[rows] += own - np.log(y.sum(1))
         return out
@@ -157,14 +165,14 @@ class Gru:
         table = p["E"] @ p["W"] + p["b"]
         kept, states = [], []
         for t in range(T):
-            h = h * (inputs[t] != END)[:, None].astype(np.float32)
+            h = h * (inputs[t] != self.end)[:, None].astype(np.float32)
             before = h
             h, r, z, n, a = self.step(table[inputs[t]], h)
             kept.append((before, r, z, n, a))
             states.append(h)
         H = np.concatenate(states)
         ids = targets.ravel()
-        kinds = class_of(ids)
+        kinds = class_of(ids, self.side)
         scale = np.float32(1 / len(ids))
         x = H @ p["C"] + p["c"]
         x -= x.max(1, keepdims=True)
@@ -177,10 +185,10 @@ class Gru:
         dH = q @ p["C"].T
         grad["H"], grad["d"] = np.zeros_like(p["H"]), np.zeros_like(p["d"])
         order = np.argsort(kinds, kind="stable")
-        ends = np.searchsorted(kinds[order], np.arange(_HEAD_CLASSES + 1))
+        ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
         for c in np.flatnonzero(np.diff(ends)):
             rows = order[ends[c] : ends[c + 1]]
-            mine, own = np.arange(len(rows)), ids[rows] - c * PER_CLASS
+            mine, own = np.arange(len(rows)), ids[rows] - c * self.side
             y = H[rows] @ p["H"][c]
             y += p["d"][c]
             y -= y.max(1, keepdims=True)
@@ -204,7 +212,7 @@ class Gru:
             da = np.concatenate([dr, dz, dn * r], 1)
             dU += before.T @ da
             gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :] = dr, dz, dn
-            dh = (dh * z + da @ p["U"].T) * (inputs[t] != END)[:, None]
+            dh = (dh * z + da @ p["U"].T) * (inputs[t] != self.end)[:, None]
         dtable = np.zeros_like(table)
         order = np.argsort(inputs.ravel(), kind="stable")
         read = inputs.ravel()[order]
@@ -213,13 +221,15 @@ class Gru:
         grad |= {"U": dU, "E": dtable @ p["W"].T, "W": p["E"].T @ dtable, "b": dtable.sum(0)}
         return grad, h, float(loss) / len(ids)
 
-    def fit(self, ids: np.ndarray, lanes: int = 32, window: int = 16, rate: float = 0.01) -> None:
-        """One pass over a flat row of ids, cut into lanes. Adam, with gradients clipped."""
-        n = len(ids) // lanes
-        if n < 2:
+    def fit(self, ids: np.ndarray, lanes: int = 512, length: int = 4096, window: int = 16, rate: float = 0.01) -> None:
+        """One pass over a flat row of ids, cut into lanes, fewer if they would be shorter than ``length``. Adam, with gradients clipped."""
+        if not len(ids):
             return
+        lanes = max(1, min(lanes, len(ids) // length))
+        n = -(-len(ids) // lanes)
+        ids = np.resize(ids, n * lanes)  # the last lane is filled up from the start
         grid = ids[: n * lanes].reshape(lanes, n).T
-        inputs = np.concatenate([np.full((1, lanes), END, grid.dtype), grid[:-1]])
+        inputs = np.concatenate([np.full((1, lanes), self.end, grid.dtype), grid[:-1]])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         h = np.zeros((lanes, self.hidden), np.float32)
@@ -257,7 +267,7 @@ class Gru:
         table = self.p["E"] @ self.p["W"] + self.p["b"]
         out = np.zeros(len(ids), np.float32)
         h = np.zeros((lanes, self.hidden), np.float32)
-        last = np.full(lanes, END)
+        last = np.full(lanes, self.end)
         live = lanes
         by_load = np.argsort([-n for n, _ in sorted(load, key=lambda x: x[1])], kind="stable")  # longest lanes first
         place = place[:, by_load]
@@ -265,10 +275,10 @@ class Gru:
             block = place[lo : lo + window]
             live = max(1, int((block[0] >= 0).sum()))
             block, h, last = block[:, :live], h[:live], last[:live]
-            target = np.where(block >= 0, ids[block], END)
+            target = np.where(block >= 0, ids[block], self.end)
             states = np.empty((len(block), live, self.hidden), np.float32)
             for t in range(len(block)):
-                fresh = last == END
+                fresh = last == self.end
                 if fresh.any():
                     h = h * ~fresh[:, None]
                 h = self.step(table[last], h)[0]
@@ -285,21 +295,22 @@ def _ids(part: pa.RecordBatch, vocabulary: Vocabulary):
     h, s, e, first = hashed_words(data, offsets, True)
     ids = vocabulary.look(h, _first_letters(data, s, e))
     n = part.num_rows
-    out = np.full(len(ids) + n, END, np.int64)
+    out = np.full(len(ids) + n, vocabulary.end, np.int64)
     text = np.repeat(np.arange(n), np.diff(first))
     out[np.arange(len(ids)) + text] = ids
     return out, first[1:] + np.arange(1, n + 1), h, first
 
 
-def train(rows: DataFrame, vocabulary, scratch: Scratch, rounds: int = 2, merge: int = 16) -> Gru:
+def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16) -> Gru:
     """Weights averaged over all parts of ``rows`` (t), after so many rounds. ``merge`` bounds what the driver gets."""
-    model = Gru()
+    side = vocabulary.value.side
+    model = Gru(side=side)
     spark = rows.sparkSession
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model.p)
 
         def run(batches):
-            own = Gru()
+            own = Gru(side=side)
             own.p = {k: v.copy() for k, v in shared.value.items()}
             n = 0
             for batch in batches:
@@ -326,11 +337,10 @@ def train(rows: DataFrame, vocabulary, scratch: Scratch, rounds: int = 2, merge:
     return model
 
 
-def score_documents(documents: DataFrame, held_out: Column, share: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``documents``.
 
-    ``held_out``: condition on the id; all other rows are counted, and one in ``share`` of them, by
-    hashed id, is trained on. Null texts count as empty and consist of an end. Scores are log10
+    ``held_out``: condition on the id; all other rows are counted and trained on. Null texts count as empty and consist of an end. Scores are log10
     probabilities: ``base_score`` under add-one unigrams, ``score`` under the model.
     """
     spark = documents.sparkSession
@@ -339,8 +349,9 @@ def score_documents(documents: DataFrame, held_out: Column, share: int = 16, id_
     counts = scratch.put(count_words(docs.where("not held")), "counts")
     scratch.settle()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where("k >= 0").orderBy(F.desc("c"), "h").limit(_BIG).toPandas()
-    head = top["h"].to_numpy(np.int64)[:HEAD].view(np.uint64)
+    size = side_for(int(total["n"] or 0)) ** 2
+    top = counts.where("k >= 0").orderBy(F.desc("c"), "h").limit(max(_BIG, size)).toPandas()
+    head = top["h"].to_numpy(np.int64)[:size].view(np.uint64)
     order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
     in_head = spark.createDataFrame([(int(x),) for x in head.view(np.int64)], "h bigint")
     tails = counts.where("k >= 0").join(F.broadcast(in_head), "h", "left_anti").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
@@ -350,11 +361,11 @@ def score_documents(documents: DataFrame, held_out: Column, share: int = 16, id_
     ends = counts.where("k < 0").first()
     vocabulary = Vocabulary(head, top["h"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order], tail_total, tail_kinds, int(total["n"] or 0), int(total["v"]), int(ends["c"]) if ends else 0)
     shared = spark.sparkContext.broadcast(vocabulary)
-    chosen = scratch.put(docs.where(~F.col("held") & (F.pmod(F.xxhash64("doc"), F.lit(share)) == 0)).select("t"), "chosen")
-    model = spark.sparkContext.broadcast(train(chosen, shared, scratch).p)
+    model = spark.sparkContext.broadcast(train(docs.where("not held").select("t"), shared).p)
 
     def run(batches):
-        own, net = shared.value, Gru()
+        own = shared.value
+        net = Gru(side=own.side)
         net.p = model.value
         end_log = np.log10(own.ends + 1.0)
         for batch in batches:
@@ -366,9 +377,9 @@ def score_documents(documents: DataFrame, held_out: Column, share: int = 16, id_
             n, known, base, extra, rare, rare_n = [], [], [], [], [], []
             for flat, _, h, first in got:
                 logs, ok = own.counts(h)
-                words = flat[flat != END]
-                tail = words >= HEAD
-                log_tail = np.where(tail, logs - own.tail_log[np.maximum(words - HEAD, 0)], 0.0)
+                words = flat[flat != own.end]
+                tail = words >= own.size
+                log_tail = np.where(tail, logs - own.tail_log[np.maximum(words - own.size, 0)], 0.0)
                 add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[first])
                 n.append(np.diff(first) + 1)
                 known.append(add(ok) + (own.ends > 0))

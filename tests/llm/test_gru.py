@@ -64,3 +64,29 @@ def test_base_scores_by_definition_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert gru.score_documents(spark.createDataFrame([], SCHEMA), F.lit(False)).count() == 0
+
+
+def test_every_training_row_trains_and_few_rows_do(spark):
+    # words follow each other in one way only; rows without an id, or few of them, train all the same
+    text = " ".join(["one two three four"] * 40)
+    score = lambda rows: {r["doc_id"]: r["score"] for r in gru.score_documents(spark.createDataFrame(rows, SCHEMA).coalesce(1), F.coalesce(F.col("doc_id") == 1, F.lit(False))).collect()}
+    for i in (None, *range(2, 6)):
+        got = score([(1, text, 1), (i, " ".join([text] * 10), 1)])
+        assert got[1] > 160 * -0.5
+
+
+def test_short_rows_of_ids_train_to_the_last_one():
+    for n in (1, 5, 63, 700):
+        net = gru.Gru()
+        before = {k: v.copy() for k, v in net.p.items()}
+        ids = np.full(n, 7)
+        ids[-1] = 1001
+        net.fit(ids)
+        assert (net.p["d"][1001 // 32, 1001 % 32] > before["d"][1001 // 32, 1001 % 32]).all()
+
+
+def test_the_vocabulary_grows_with_the_corpus():
+    assert gru.side_for(0) == gru.side_for(10**6) == gru.SIDE and gru.side_for(10**8) == 100
+    net = gru.Gru(side=40)
+    h, every = np.zeros((1, net.hidden), np.float32), np.arange(net.end + 1)
+    assert net.end == 1632 and abs(np.exp(net.log_likelihood(np.repeat(h, len(every), 0), every)).sum() - 1) < 1e-4
