@@ -2,32 +2,62 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 
 
-def trace_tree(spans: DataFrame, max_depth: int = 90) -> DataFrame:
-    """Each span of each trace with its depth and path, children by start time.
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def trace_tree(spans: DataFrame, paths: bool = True) -> DataFrame:
+    """Each span of each trace with its depth and, unless ``paths`` is off, its path, children by start time.
 
-    A span whose parent isn't in its trace is a root. Spans on a cycle, which no root leads to, and
-    spans deeper than ``max_depth`` come last with depth null. The recursion is Spark's own and
-    joins by trace and span, so it works on many traces at once.
+    A span whose parent isn't in its trace is a root. Spans on a cycle, and those below one, which no
+    root leads to, have depth null. Each round doubles the way up that a span knows, over a table
+    written under ``spark.checkpoint.dir``, so the rounds grow with the logarithm of the depth. A path
+    names all spans above its own, so paths take as much room as all depths together.
     """
+    spark = spans.sparkSession
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or os.path.join(tempfile.gettempdir(), 'tellspan-scratch')).rstrip('/')}/tree-{uuid.uuid4().hex[:12]}"
     s = spans.where("trace_id is not null and span_id is not null").select("trace_id", "span_id", "parent_span_id", "ts_ns", "row")
     s = s.groupBy("trace_id", "span_id").agg(F.max_by(F.struct("parent_span_id", "ts_ns"), F.struct("ts_ns", "row")).alias("x")).select("trace_id", "span_id", "x.*")
-    spark = spans.sparkSession
-    s.createOrReplaceTempView("tellspan_tree_spans")
-    return spark.sql(
-        f"""WITH RECURSIVE tree(trace_id, span_id, ts_ns, depth, path) MAX RECURSION LEVEL {max_depth + 5} AS (
-          SELECT c.trace_id, c.span_id, c.ts_ns, 0, array(struct(c.ts_ns AS t, c.span_id AS s)) FROM tellspan_tree_spans c
-            LEFT ANTI JOIN tellspan_tree_spans p ON c.trace_id = p.trace_id AND c.parent_span_id = p.span_id AND c.span_id <> c.parent_span_id
-          UNION ALL
-          SELECT c.trace_id, c.span_id, c.ts_ns, t.depth + 1, concat(t.path, array(struct(c.ts_ns AS t, c.span_id AS s))) FROM tellspan_tree_spans c
-            JOIN tree t ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id WHERE t.depth < {max_depth} AND c.span_id <> c.parent_span_id)
-        SELECT s.trace_id, s.span_id, s.ts_ns, t.depth, t.path FROM tellspan_tree_spans s LEFT JOIN tree t USING (trace_id, span_id)"""
-    )
+    s = _written(s, f"{root}/spans")
+    above = s.select("trace_id", F.col("span_id").alias("up"))
+    own = s.select("trace_id", "span_id", "ts_ns", F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id")).alias("up"))
+    # up: the span that is d steps above, null if the way ends at a root, d steps above
+    first = own.join(above.withColumn("known", F.lit(True)), ["trace_id", "up"], "left").select("trace_id", "span_id", "ts_ns", F.when(F.col("known"), F.col("up")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("d"))
+    now = _doubled(_written(first, f"{root}/first"), f"{root}/depth")
+    out = now.select("trace_id", "span_id", "ts_ns", F.when(F.col("up").isNull(), F.col("d")).cast("int").alias("depth"))
+    if not paths:
+        return out
+    known = _written(out.where("depth is not null"), f"{root}/known")
+    step = known.join(s.select("trace_id", "span_id", F.col("parent_span_id").alias("p")), ["trace_id", "span_id"])
+    step = step.select("trace_id", "span_id", "ts_ns", F.when(F.col("depth") > 0, F.col("p")).alias("up"), F.least("depth", F.lit(1)).cast("long").alias("d"), F.array(F.struct(F.col("ts_ns").alias("t"), F.col("span_id").alias("s"))).alias("path"))
+    path = _doubled(_written(step, f"{root}/step"), f"{root}/path")
+    return out.join(path.select("trace_id", "span_id", "path"), ["trace_id", "span_id"], "left")
+
+
+def _doubled(now: DataFrame, path: str) -> DataFrame:
+    """(trace_id, span_id, ts_ns, up, d, maybe path) after as many rounds as let ways end at a root; others lead to cycles."""
+    open_rows, i = now.where("up is not null").count(), 0
+    while open_rows:
+        far = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("d").alias("more"), *([F.col("path").alias("before")] if "path" in now.columns else []))
+        longer = now.where("up is not null").join(far, ["trace_id", "up"])
+        columns = ["trace_id", "span_id", "ts_ns", F.col("next").alias("up"), (F.col("d") + F.col("more")).alias("d"), *([F.concat("before", "path").alias("path")] if "path" in now.columns else [])]
+        now = _written(now.where("up is null").unionByName(longer.select(*columns)), f"{path}-{i}")
+        left, i = now.where("up is not null").count(), i + 1
+        if left == open_rows:  # depths have no gaps, so no later round would end a way
+            break
+        open_rows = left
+    return now
 
 
 def tree_rows(rows: list[dict]) -> list[tuple[int, dict]]:

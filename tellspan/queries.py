@@ -142,7 +142,7 @@ def alert_ticks(spark, sf_dir):
 
 
 def trace_tree(spark, sf_dir):
-    return trace.trace_tree(adapters.convo(spark, sf_dir)).select("trace_id", "span_id", "depth")
+    return trace.trace_tree(adapters.convo(spark, sf_dir), paths=False).select("trace_id", "span_id", "depth")
 
 
 def trace_extents(spark, sf_dir):

@@ -203,3 +203,14 @@ def test_alert_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted((r["at_ns"], r["event"]) for r in spark.table("transitions").collect()) == [(10, "fired"), (11, "resolved")]
+
+
+def test_trace_tree_of_long_chains_and_cycles(spark):
+    span = lambda t, i, p: (t, f"s{i}", None if p is None else f"s{p}", 1_000 + i, i)
+    rows = [span("a", i, i - 1 if i else None) for i in range(300)]  # a chain
+    rows += [span("b", 0, 2), span("b", 1, 0), span("b", 2, 1), span("b", 3, 2), span("b", 4, 4), span("b", 5, 99), span("b", 6, 5)]  # a cycle, one below it, its own parent, an orphan and its child
+    got = {(r["trace_id"], r["span_id"]): r for r in trace.trace_tree(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, ts_ns long, row long")).collect()}
+    assert len(got) == len(rows) and all(got["a", f"s{i}"]["depth"] == i for i in range(300))
+    assert [x["s"] for x in got["a", "s299"]["path"]] == [f"s{i}" for i in range(300)]
+    assert [got["b", f"s{i}"]["depth"] for i in range(7)] == [None, None, None, None, 0, 0, 1]
+    assert got["b", "s3"]["path"] is None and [tuple(x) for x in got["b", "s6"]["path"]] == [(1_005, "s5"), (1_006, "s6")]
