@@ -3,6 +3,7 @@
 Prose and code spend four or more characters on a token; keys and passwords drawn at random spend
 about two, whatever their alphabet. A run of key characters with few characters per token is
 reported unless its shape is that of a digest or an identifier, which look random and are public.
+Words of rare languages come near that ratio, so runs without digits have a stricter one.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ IDENTIFIER = re.compile(
     r"|[\d=+/_-]+"  # number
     r"|[A-Z]{2,5}[-_]?\d{4,}[-_\d]*"  # ticket, catalogue number
 )
+_NO_LETTER = re.compile(r"[^A-Za-z]+")
 _HEX_ANY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
 class Scanner:
-    """``max_ratio``: characters per token from which a run counts as readable."""
+    """``max_ratio``: characters per token from which a run counts as readable; ``letters_ratio``: the same for runs without digits."""
 
-    def __init__(self, vocabulary: str, pattern: str, max_ratio: float = 2.3):
+    def __init__(self, vocabulary: str, pattern: str, max_ratio: float = 2.3, letters_ratio: float = 2.0):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encode = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.max_ratio = max_ratio
+        self.max_ratio, self.letters_ratio = max_ratio, min(max_ratio, letters_ratio)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns, in order."""
@@ -59,12 +61,15 @@ class Scanner:
         return out
 
     def opaque(self, run: str) -> bool:
-        """Whether a run of key characters is random: letters and digits, no known shape, few characters per token."""
-        if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)):
-            return False
+        """Whether a run of key characters is random: no known shape, few characters per token.
+
+        Without digits, short words between separators don't count as a run.
+        """
         if IDENTIFIER.fullmatch(run) or len(run) in DIGEST_LENGTHS and _HEX_ANY.fullmatch(run):
             return False
-        return len(run) < self.max_ratio * len(self.encode(run))
+        if any(map(str.isdigit, run)):
+            return len(run) < self.max_ratio * len(self.encode(run))
+        return max(map(len, _NO_LETTER.split(run))) >= 8 and len(run) < self.letters_ratio * len(self.encode(run))
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans, and all spans: added ones never overlap base ones."""

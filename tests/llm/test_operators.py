@@ -230,6 +230,19 @@ def test_secrets(spark):
     assert clean[2] is None and "hunter22" not in clean[1] and key not in clean[1] and clean[1].startswith("é [secret]")
 
 
+def test_secrets_without_digits(spark):
+    scanner = secrets.Scanner(P.path(queries.SECRET_VOCABULARY), P.PATTERN)
+    rnd, letters = random.Random(5), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters, 195), (letters[:26], 185), (letters[26:], 165), (letters + "0123456789", 200), (letters + "0123456789+/", 195)):
+        for size in (16, 20, 64):
+            assert sum(scanner.opaque("".join(rnd.choice(alphabet) for _ in range(size))) for _ in range(200)) >= least
+    plain = "getElementByIdValueNode internationalization MAX_CONNECTION_POOL_SIZE my-long-kebab-case-name src/main/java/org/apache/spark and/or/not/if/in/on Donaudampfschifffahrtsgesellschaft ---------------- 12345678901234567890"
+    assert not scanner.scan(plain)[1]
+    key = "qZxWvKjTbHgPmRcNdLfYsQkX"
+    docs = frame(spark, [(1, f"the key is {key}, keep it")])
+    assert secrets.redact(docs, P.path(queries.SECRET_VOCABULARY), P.PATTERN).first()["text"] == "the key is [secret], keep it"
+
+
 def test_toxicity(spark):
     rnd = random.Random(3)
     words = [f"plain{i}" for i in range(200)]
