@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import resident, small_batches, utf8
 
 #: Unicode White_Space, as the pattern's \s has it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -33,6 +33,10 @@ _WS = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+_PENDING = 256  # bytes after which tokens that all hypotheses share are emitted
+_SHORT = 64  # characters up to which a chunk or a word is remembered
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -41,7 +45,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes the bytes of one pre-token. ``most`` bounds the pairs remembered; states are at most the vocabulary's prefixes."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks, self.most = ranks, most
         self.bytes_of = {i: t for t, i in ranks.items()}
         self._size = {i: len(t) for t, i in ranks.items()}
@@ -156,6 +160,7 @@ class Transducer:
         if whole is not None:
             return [whole]
         done: list[int] = []
+        limit = _PENDING
         tokens = [-1]  # for each length, the last token of that many bytes' encoding
         at, machine, pairs = 0, self._go.get, self._pair.get
         for byte in piece:
@@ -167,8 +172,9 @@ class Transducer:
                 if ok or ok is None and self._follows(before, token):
                     tokens.append(token)
                     break
-            if len(tokens) > 4096:
+            if len(tokens) > limit:
                 tokens = self._flush(tokens, len(self._names[at]), done)
+                limit = len(tokens) + _PENDING
         done.extend(reversed(self._back(tokens, len(tokens) - 1)))
         return done
 
@@ -231,10 +237,10 @@ class Utf8Stream:
 class Codec(dict):
     """Whole texts to ids and back. As a mapping: a chunk of text to its ids as little-endian 32-bit integers.
 
-    ``most`` bounds the chunks remembered.
+    ``most`` bounds the chunks remembered, and the words; long ones are not.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 150_000):
         super().__init__()
         ranks = load_ranks(path)
         self.most, self.machine = most, Transducer(ranks)
@@ -250,13 +256,17 @@ class Codec(dict):
         for piece in self.find(chunk):
             got = words.get(piece)
             if got is None:
-                if len(words) >= 2 * self.most:
-                    words.clear()
-                got = words[piece] = tuple(self.machine.encode(piece.encode()))
+                got = tuple(self.machine.encode(piece.encode()))
+                if len(piece) <= _SHORT:
+                    if len(words) >= self.most:
+                        words.clear()
+                    words[piece] = got
             ids.extend(got)
-        if len(self) >= self.most:
-            self.clear()
-        out = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= _SHORT:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -270,16 +280,16 @@ class Codec(dict):
         yield stream.close()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each Python worker, so that what it has learnt serves later tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
+
+    def make():
+        out = Codec(path, pattern)
         gc.freeze()  # its tables hold no cycles
         gc.set_threshold(200_000, 50, 100)
-    return _codecs[path, pattern]
+        return out
+
+    return resident(("codec", path, pattern), make)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,6 +310,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), values)], [id_col, "n_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids array<int>")
 
@@ -326,5 +337,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 second.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -1,11 +1,14 @@
-"""What the training-data operators share: scratch tables, whole texts as bytes, hashed words."""
+"""What the training-data operators share: scratch tables, workers' memory, whole texts as bytes, hashed words."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +16,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch, where the session doesn't say otherwise: whole texts are long, and a worker holds some copies of a batch.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has Spark's own default."""
+    key, default, size = BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, size)
+
+
 class Scratch:
     """A folder of intermediate tables under ``spark.checkpoint.dir``.
 
     Written tables cut lineage and survive the loss of executors. The setting is read from the
-    session; a temporary folder stands in only where it is unset, as in tests.
+    session; a temporary folder stands in only where it is unset and all tasks run in the driver's process, as in tests.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = os.path.join(tempfile.gettempdir(), "tellspan-scratch")
             spark.conf.set("spark.checkpoint.dir", base)
+        small_batches(spark)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -42,14 +59,41 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        """Remove tables that no later step reads."""
+        """Remove tables that no later step reads; without names, the whole folder."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for path in map(self.path, names) if names else [self.root]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
 
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """One large object for each Python worker: it serves later tasks of its kind, and goes when a task of another kind begins.
+
+    Workers are used again by all steps of a session, so whatever each of them kept would add up.
+    """
+    if key not in _resident:
+        release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of this worker have kept, and give its memory back."""
+    if _resident:
+        _resident.clear()
+        gc.unfreeze()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not with this C library
+
+
 def utf8(text: Column | str) -> Column:
     """The whole text as UTF-8 bytes; null reads as empty, invalid sequences as U+FFFD."""
     col = F.col(text) if isinstance(text, str) else text
@@ -70,7 +114,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Slices of a batch whose texts hold about ``most`` bytes each (a longer text is a slice of its own)."""
     offsets = flat_bytes(batch.column(column))[1]
     lo = 0
@@ -81,32 +125,15 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
 
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LONG = 64  # bytes of a word that are hashed at once
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACE = _rng.integers(1, 1 << 63, _LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLOCK = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_BYTE[_SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64, kept for the largest n so far."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, 1 << 21)
-        out = np.empty(size, np.uint64)
-        out[0] = 1
-        done = 1
-        step = base
-        while done < size:  # doubling: out[done:2*done] = out[:done] * base**done
-            m = min(done, size - done)
-            np.multiply(out[:m], step, out=out[done : done + m])
-            done += m
-            step = np.uint64((int(step) * int(step)) & 0xFFFFFFFFFFFFFFFF)
-        have = _powers[int(base)] = out
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,16 +169,40 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np
         cut = np.unique(cut)
         starts = np.sort(np.concatenate([starts, cut]))
         ends = np.sort(np.concatenate([ends, cut]))
-    table = _BYTE[_LOWER] if lower else _BYTE
-    value = table[data]
-    value *= _power(_BASE, n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(value, out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_BASE_INV, n)[starts]
+    blocks = (ends - starts + (_LONG - 1)) // _LONG
+    long_words = len(blocks) and int(blocks.max()) > 1
+    if long_words:
+        heads = np.cumsum(blocks) - blocks
+        nth = np.arange(int(blocks.sum())) - np.repeat(heads, blocks)
+        at = np.repeat(starts, blocks) + nth * _LONG
+    else:
+        at = starts
+    if not len(at):
+        return np.zeros(0, np.uint64), starts, ends, np.searchsorted(starts, offsets)
+    # a byte counts by its value and its place in the block; spaces count nothing
+    place = np.arange(n, dtype=np.int32)
+    place[at[0] :] -= np.repeat(at, np.diff(np.append(at, n))).astype(np.int32)
+    place &= _LONG - 1
+    value = (_BYTE[_LOWER] if lower else _BYTE)[data]
+    value *= _PLACE[place]
+    h = np.add.reduceat(value, at)
+    if long_words:  # blocks by number, each well mixed before they are summed
+        h = np.add.reduceat(mix(mix(h) + (nth + 1).astype(np.uint64) * _BLOCK), heads)
     h += (ends - starts).astype(np.uint64)
     return mix(h), starts, ends, np.searchsorted(starts, offsets)
 
 
-def schema_ddl(**fields: str) -> str:
-    return ", ".join(f"{k} {v}" for k, v in fields.items())
+def bitmap(names: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bits by the low ``bits`` bits of a column of longs: 2 ** bits of them, however many rows there are."""
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    rows = names.select(F.shiftright(low, 15).alias("k"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << (bits - 15), 1 << 12), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit in a bitmap."""
+    x = values & np.uint64(8 * len(bits) - 1)
+    return (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1

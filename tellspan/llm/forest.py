@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import Scratch, mix, release
 from .components import components
 
 _QUANTILES = np.linspace(0.1, 0.9, 17)  # where a node may be cut
@@ -195,6 +195,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 5, leaf_r
         return row[order], leaf[order]
 
     def measure(batches):
+        release()
         for batch in batches:
             dims = np.asarray(batch.column(1))
             for d in np.unique(dims):
@@ -206,6 +207,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = 5, leaf_r
     salts = spark.sparkContext.broadcast({(r["dim"], r["leaf"]): -(-r["c"] // block) for r in large})
 
     def place(batches):
+        release()
         for batch in batches:
             dims = np.asarray(batch.column(3))
             for d in np.unique(dims):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_bytes, hashed_words, pieces, utf8
+from .common import Scratch, flat_bytes, hashed_words, pieces, release, utf8
 
 SIDE, TAIL = 32, 32  # least number of classes of frequent words, and of words in each; classes of other words
 HEAD = SIDE * SIDE
@@ -41,6 +41,7 @@ def count_words(docs: DataFrame, window: int = 1 << 22) -> DataFrame:
     """(h, k, c): of each word its hash, class by letters, and count; ends are words of class -1."""
 
     def run(batches):
+        release()
         held, kinds, size, n_docs = [], [], 0, 0
 
         def flush():
@@ -310,6 +311,7 @@ def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16) -> Gru:
         shared = spark.sparkContext.broadcast(model.p)
 
         def run(batches):
+            release()
             own = Gru(side=side)
             own.p = {k: v.copy() for k, v in shared.value.items()}
             n = 0
@@ -364,6 +366,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     model = spark.sparkContext.broadcast(train(docs.where("not held").select("t"), shared).p)
 
     def run(batches):
+        release()
         own = shared.value
         net = Gru(side=own.side)
         net.p = model.value

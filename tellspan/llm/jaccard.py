@@ -21,16 +21,19 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_bytes, hashed_words, mix, pieces, utf8
+from .common import Scratch, bitmap, flat_bytes, hashed_words, marked, mix, pieces, release, utf8
 from .components import components
 
 _STEP = [np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB, 0x9FB21C651E98DF25)]
 _KEYS = 6  # min-hash keys of a document
 _GROUP = 64  # members of a group, about
-_HOT = 1 << 20  # tokens that the order puts last, at most: 8 MB
-_MANY = 24  # documents that make a token one of them
+_MANY = (24, 2000)  # documents from which the order puts a token late, and last
+_BITS = 26  # of the bitmap of either: 8 MB; tokens that share a bit share their place in the order
+_HELD = 1 << 21  # tokens that a task counts together
+_SEEN = 100_000  # sets that a task remembers
 _SEND = 400_000  # rows of ids that may be broadcast
 _EACH = 20  # a set of n tokens must share 1 + n // _EACH of its first tokens
+_BLOCK = 1 << 16  # pairs of groups that one token brings to one task, about
 
 
 def token_sets(batch: pa.RecordBatch, column: str, width: int = 5):
@@ -66,19 +69,30 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+_SEEDS = [np.uint64(mix(np.array([k + 1], np.uint64))[0]) for k in range(_KEYS)]
+
+
+def _digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set; equal sets are one class."""
+    return mix(s).sum(dtype=np.uint64), mix(s ^ _SEEDS[0]).sum(dtype=np.uint64)
+
+
 def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
     """Of each document (doc, n, c1, c2, keys): set size, 128-bit digest of the set, min-hash keys. Rows with keys null:
     (token, seen), tokens that several of the documents a task read together have."""
-    seeds = [np.uint64(mix(np.array([k + 1], np.uint64))[0]) for k in range(_KEYS)]
 
     def run(batches):
-        held = []
+        release()
+        held, size = [], 0
 
         def frequent():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
+            t = np.concatenate(held)
+            t.sort()
+            heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            c = np.diff(np.append(heads, len(t)))
             ok = c >= 2
             k = int(ok.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(t[ok])), pa.array(c[ok].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.list_(pa.int64())), pa.array(_signed(t[heads[ok]])), pa.array(c[ok].astype(np.int64))], names)
 
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
@@ -87,15 +101,16 @@ def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
             for i, s in token_sets(batch, "t", width):
                 n[i] = len(s)
                 if len(s):
-                    c[0, i], c[1, i] = mix(s).sum(dtype=np.uint64), mix(s ^ seeds[0]).sum(dtype=np.uint64)
-                    keys[i] = [mix(s ^ seed).min() for seed in seeds]
+                    c[:, i] = _digest(s)
+                    keys[i] = [mix(s ^ seed).min() for seed in _SEEDS]
                     held.append(s)
+                    size += len(s)
+                if size > _HELD:
+                    yield frequent()
+                    held, size = [], 0
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * _KEYS), pa.array(_signed(keys.ravel())))
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(_signed(c[0])), pa.array(_signed(c[1])), lists, none, none], names)
-            if sum(map(len, held)) > 1 << 22:
-                yield frequent()
-                held = []
         if held:
             yield frequent()
 
@@ -103,53 +118,53 @@ def profiles(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc", "t").mapInArrow(run, "doc bigint, n bigint, c1 bigint, c2 bigint, keys array<bigint>, token bigint, seen bigint")
 
 
-def prefixes(docs: DataFrame, hot, least: int, width: int) -> DataFrame:
-    """(t, doc): the first tokens of each set, in the order that puts ``hot`` (a broadcast sorted array) last.
-    Of equal sets that a task meets, one document stands for all."""
+def prefixes(docs: DataFrame, late, least: int, width: int) -> DataFrame:
+    """(t, c1): the first tokens of each set, in the order that puts the tokens of the bitmaps ``late`` (a broadcast) last,
+    and half of the set's digest. Of equal sets that a task meets, one stands for all."""
 
     def run(batches):
-        last, seen = hot.value, set()
+        release()
+        seen = set()
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            tokens, docs_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, s in token_sets(batch, "t", width):
+            tokens, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, s in token_sets(batch, "t", width):
                 if not len(s):
                     continue
-                digest = (len(s), int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64)))
-                if digest in seen:
+                c1, c2 = _digest(s)
+                if (key := (int(c1), int(c2))) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > _SEEN:
                     seen.clear()
-                seen.add(digest)
+                seen.add(key)
                 p = len(s) - -(-least * len(s) // 100) + 1 + len(s) // _EACH
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[at] == s
-                    s = np.concatenate([s[~common], s[common]])
+                rank = sum(marked(bits, s).astype(np.int8) for bits in late.value)
+                if rank.any():
+                    s = s[np.argsort(rank, kind="stable")]
                 tokens.append(s[:p])
-                docs_.append(np.full(min(p, len(s)), ids[i], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(docs_))], ["t", "doc"])
+                classes.append(np.full(min(p, len(s)), c1))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(_signed(np.concatenate(classes)))], ["t", "c1"])
 
-    return docs.select("doc", "t").mapInArrow(run, "t bigint, doc bigint")
+    return docs.select("t").mapInArrow(run, "t bigint, c1 bigint")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc, n, tokens) of the documents in ``ids``, a written table. Its size decides how it meets the texts."""
+    """(doc, c1, c2, tokens) of the documents in ``ids``, a written table. Its size decides how it meets the texts."""
 
     def run(batches):
+        release()
         for batch in batches:
             got = [s for _, s in token_sets(batch, "t", width)]
-            sizes = np.array([len(s) for s in got], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(_signed(np.concatenate([np.zeros(0, np.uint64), *got]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["doc", "n", "tokens"])
+            c = np.array([_digest(s) for s in got], np.uint64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32)), pa.array(_signed(np.concatenate([np.zeros(0, np.uint64), *got]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(c[:, 0].copy())), pa.array(_signed(c[:, 1].copy())), lists], ["doc", "c1", "c2", "tokens"])
 
     ids = F.broadcast(ids) if ids.count() <= _SEND else ids
-    return docs.select("doc", "t").join(ids, "doc").mapInArrow(run, "doc bigint, n bigint, tokens array<bigint>").dropDuplicates(["doc"])
+    return docs.select("doc", "t").join(ids, "doc").mapInArrow(run, "doc bigint, c1 bigint, c2 bigint, tokens array<bigint>").dropDuplicates(["doc", "c1", "c2"])
 
 
 def _groups(sets: DataFrame, place: DataFrame) -> DataFrame:
     """(g, members): a row of the matrix, with each member's id, component and tokens."""
-    return sets.join(place.select("doc", "g", "comp"), "doc").groupBy("g").agg(F.collect_list(F.struct(F.col("doc").alias("d"), F.col("comp").alias("k"), F.col("tokens").alias("s"))).alias("members"))
+    return sets.join(place.select("doc", "c1", "c2", "g", "comp"), ["doc", "c1", "c2"]).groupBy("g").agg(F.collect_list(F.struct(F.col("doc").alias("d"), F.col("comp").alias("k"), F.col("tokens").alias("s"))).alias("members"))
 
 
 class _Members:
@@ -189,6 +204,7 @@ def _verify(pairs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
     """
 
     def run(batches):
+        release()
         for batch in batches:
             left, right = _Members(batch.column(0)), _Members(batch.column(1))
             same = batch.column(2).to_pylist()
@@ -215,72 +231,106 @@ def _verify(pairs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
     return full.select("x", "y", (F.col("a") == F.col("b")).alias("same")).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _meetings(cells: DataFrame, least: int) -> DataFrame:
+    """(a, b, least): pairs of groups for each token that both have and that members of several components have.
+
+    Within a token, groups of the component that holds most of them meet only the others, and
+    tokens of many groups are dealt over many tasks.
+    """
+    mixed = cells.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
+    cells = cells.join(mixed, "t")
+    most = cells.groupBy("t", "c0").agg(F.sum(F.when(F.col("c0") == F.col("c1"), 1).otherwise(0)).alias("m"), F.count("*").alias("every"))
+    most = most.groupBy("t").agg(F.max_by("c0", F.struct("m", "c0")).alias("main"), F.sum("every").alias("every"), F.max("m").alias("m"))
+    cells = cells.join(most, "t").withColumn("own", (F.col("c0") == F.col("main")) & (F.col("c1") == F.col("main")))
+    parts = F.ceil((F.col("every") - F.col("m")) * F.col("every") / F.lit(_BLOCK))
+    cells = cells.withColumn("parts", F.greatest(parts, F.lit(1)).cast("int"))
+    side = lambda k: ["t", "part", *(F.col(c).alias(k + c) for c in ("g", "lo", "hi", "c0", "c1", "own"))]
+    one = cells.where("not own").withColumn("part", F.pmod(F.xxhash64("g"), "parts").cast("int")).select(*side("a"))
+    other = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*side("b"))
+    meet = one.join(other, ["t", "part"]).where(f"(bown or ag <= bg) and 100 * ahi >= {least} * blo and 100 * bhi >= {least} * alo and least(ac0, bc0) < greatest(ac1, bc1)")
+    return meet.select(F.least("ag", "bg").alias("a"), F.greatest("ag", "bg").alias("b"), F.least("alo", "blo").alias("least"))
+
+
 def near_documents(documents: DataFrame, least: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of ``documents``.
 
     Two documents link if 100 * |intersection| >= ``least`` * |union| of their shingle sets; a
     component's id is the smallest of its documents'. Texts that are null or without words have
     empty sets and link with nothing, as do rows without an id, whose component is null. Rows that
-    repeat an id are one document each; they share a component if the id links at all.
+    repeat an id are one document each, whatever their texts, and share a component unless they have no words. Ids are read as long
+    integers; other columns aren't read.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
+    if documents.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer")
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
     profile = scratch.put(profiles(docs, width), "profiles")
     rows = profile.where("keys is not null")
     usable = rows.where("doc is not null and n > 0")
-    classes = usable.groupBy("n", "c1", "c2").agg(F.min("doc").alias("rep"))
-    member = scratch.put(usable.select("doc", "n", "c1", "c2", "keys").join(classes, ["n", "c1", "c2"]).select("doc", "rep", "n", "keys"), "member")
-    reps = member.where("doc = rep").dropDuplicates(["doc", "n"])
+    # equal sets are one class, which its smallest id stands for; (doc, c1, c2) names it even where ids repeat
+    reps = scratch.put(usable.groupBy("n", "c1", "c2").agg(F.min("doc").alias("doc"), F.max("doc").alias("top"), F.first("keys").alias("keys")), "reps")
+    member = scratch.put(usable.select("doc", "n", "c1", "c2").join(reps.select("n", "c1", "c2", F.col("doc").alias("rep")), ["n", "c1", "c2"]).select("doc", "rep").distinct(), "member")
+    ids = member.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    ids = ids.select("doc", "a").join(member, "doc").where("a < rep").select("a", F.col("rep").alias("b"))  # classes that a repeated id joins
 
     # Stars: each class looks at the smallest of its min-hash buckets, where it shares two keys or more.
-    keyed = reps.select("doc", "n", "keys", F.posexplode("keys").alias("k", "key"))
+    keyed = reps.select("doc", "keys", F.posexplode("keys").alias("k", "key"))
     leader = keyed.groupBy("k", "key").agg(F.min("doc").alias("g"), F.max("doc").alias("top")).where("g < top").select("k", "key", "g")
     shared = keyed.join(leader, ["k", "key"]).where("doc <> g").groupBy(F.col("doc").alias("q"), "g").agg(F.count("*").alias("c"))
     star = scratch.put(shared.where("c >= 2").select("q", "g"), "star")  # at most half as many as there are keys
     ends = scratch.put(star.select(F.col("q").alias("doc")).union(star.select("g")).distinct(), "star_ids")
     sets = scratch.put(_sets(docs, ends, width), "star_sets")
-    alone = _groups(sets, sets.select("doc", F.col("doc").alias("g"), F.col("doc").alias("comp")))
-    first = scratch.put(_verify(star.select(F.col("q").alias("a"), F.col("g").alias("b")), alone, least), "star_links")
+    alone = _groups(sets, reps.select("doc", "c1", "c2", F.col("doc").alias("g"), F.col("doc").alias("comp")))
+    first = scratch.put(_verify(star.select(F.col("q").alias("a"), F.col("g").alias("b")), alone, least).unionByName(ids), "star_links")
     scratch.drop("star_sets")
     near = components(first, scratch, "near")
 
     # The matrix: groups of what hangs together, and of single documents with a min-hash key in common.
-    place = reps.select("doc", "n", F.col("keys")[0].alias("key")).join(near.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", "key", F.coalesce("component", "doc").alias("comp"))
+    place = reps.select("doc", "c1", "c2", "n", F.col("keys")[0].alias("key")).join(near.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "c1", "c2", "n", "key", F.coalesce("component", "doc").alias("comp"))
     members = place.groupBy("comp").agg(F.count("*").alias("m"))
     place = place.join(members, "comp").withColumn("key", F.when(F.col("m") > 1, F.xxhash64(F.lit(1), "comp")).otherwise(F.xxhash64(F.lit(2), "key")))
     parts_of = place.groupBy("key").agg(F.ceil(F.count("*") / F.lit(_GROUP)).alias("parts"))
-    place = scratch.put(place.join(parts_of, "key").select("doc", "n", "comp", F.xxhash64("key", F.pmod(F.xxhash64("doc"), "parts")).alias("g")), "place")
-    hot = profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("c")).where(F.col("c") >= _MANY).orderBy(F.desc("c"), "token").limit(_HOT).select("token").toArrow()
-    hot = spark.sparkContext.broadcast(np.sort(hot.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    place = scratch.put(place.join(parts_of, "key").select("doc", "c1", "c2", "n", "comp", F.xxhash64("key", F.pmod(F.xxhash64("c1"), "parts")).alias("g")), "place")
+    common = scratch.put(profile.where("token is not null").groupBy("token").agg(F.sum("seen").alias("c")).where(F.col("c") >= _MANY[0]), "common")
+    late = spark.sparkContext.broadcast([bitmap(common.where(F.col("c") >= many), "token", _BITS) for many in _MANY])  # of fixed size
     scratch.settle()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listed = prefixes(docs, hot, least, width).where("doc is not null").repartition(parts, "t")
-    open_lists = listed.groupBy("t").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("t")
+    listed = prefixes(docs.where("doc is not null"), late, least, width).repartition(parts, "t")
+    open_lists = listed.groupBy("t").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo < hi").select("t")
     lists = scratch.put(listed.join(open_lists.hint("shuffle_merge"), "t"), "lists")
-    lists = lists.join(member.select("doc", "rep"), "doc").select("t", F.col("rep").alias("doc")).join(place, "doc")
+    # classes that agree in c1 alone are taken for each other here: more groups are opened then, none fewer
+    lists = lists.join(place.select("c1", "g", "n", "comp"), "c1")
     cells = scratch.put(lists.groupBy("t", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")), "cells")
-    mixed = cells.groupBy("t").agg(F.min("c0").alias("x"), F.max("c1").alias("y")).where("x < y").select("t")
-    cells = cells.join(mixed, "t")
-    side = lambda k: cells.select("t", *(F.col(c).alias(k + c) for c in ("g", "lo", "hi", "c0", "c1")))
-    meet = side("a").join(side("b"), "t").where(f"ag <= bg and 100 * ahi >= {least} * blo and 100 * bhi >= {least} * alo and least(ac0, bc0) < greatest(ac1, bc1)")
-    enough = meet.groupBy("ag", "bg").agg(F.count("*").alias("c"), F.min(F.least("alo", "blo")).alias("least")).where(f"c > least div {_EACH}")
-    pairs = scratch.put(enough.select(F.col("ag").alias("a"), F.col("bg").alias("b")), "pairs")
+    enough = _meetings(cells, least).groupBy("a", "b").agg(F.count("*").alias("c"), F.min("least").alias("least")).where(f"c > least div {_EACH}")
+    pairs = scratch.put(enough.select("a", "b"), "pairs")
     wanted = place.join(pairs.select(F.col("a").alias("g")).union(pairs.select("b")).distinct(), "g").select("doc").distinct()
     sets = scratch.put(_sets(docs, scratch.put(wanted, "wanted"), width), "sets")
     second = _verify(pairs, _groups(sets, place), least)
     links = scratch.put(first.unionByName(second), "links")
-    scratch.drop("sets", "lists", "cells")
+    scratch.drop("sets", "lists", "cells", "common")
     whole = components(links, scratch, "whole")
-    known = member.select("doc", "rep").dropDuplicates(["doc", "rep"]).join(whole.withColumnRenamed("id", "rep"), "rep", "left")
+    known = member.join(whole.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = rows.select("doc", "n").join(known, "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(component, "doc").alias("component_id"))
+
 
+def keep_one(documents: DataFrame, least: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, unchanged: that with the smallest id, and of rows that repeat this id, that with the least hashed text.
 
-def keep_one(documents: DataFrame, least: int = 80, width: int = 5) -> DataFrame:
-    """The rows of ``documents`` that are the first of their component (smallest doc_id), and those without an id."""
+    Rows without an id and rows without words (null and empty texts among them) all stay, whatever they repeat.
+    """
     scratch = Scratch(documents.sparkSession, "keep")
-    found = scratch.put(near_documents(documents, least, width).where("component_id <> doc_id").select("doc_id").distinct(), "drop")
-    found = F.broadcast(found) if found.count() <= _SEND else found
-    return documents.join(found, "doc_id", "left_anti")
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= _SEND else ids
+    found = scratch.put(near_documents(documents, least, width, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "drop")
+    worded = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    left = documents.join(sent(found), (F.col(id_col) == F.col("__gone")) & worded, "left_anti")
+    again = documents.where(worded & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
+    again = scratch.put(again, "again")
+    if not again.count():
+        return left
+    repeats = (F.col(id_col) == F.col("__again")) & worded
+    one = left.join(sent(again), repeats, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in documents.columns)), F.xxhash64(text_col)).alias("__row"))
+    return left.join(sent(again), repeats, "left_anti").unionByName(one.select("__row.*"))

@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 _DIGITS = 3
 
 
-def shares(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, resolution: int = 1000) -> DataFrame:
+def shares(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, resolution: int | None = None) -> DataFrame:
     """(s, q): of each source, slots out of sum(q). A null source is a source of its own.
 
     ``weights``: targets by source, which need not sum to one; sources without one get none of
-    their own and share a weight of 1 / resolution. Without ``weights``, targets are the document
-    counts to the power of ``alpha``. Each source gets a slot at least.
+    their own and get one slot each. Without ``weights``, targets are the document
+    counts to the power of ``alpha``. Each source gets a slot at least. ``resolution`` defaults to
+    1000, or to four slots a source where there are more than 250 sources.
     """
     counts = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -33,8 +34,9 @@ def shares(docs: DataFrame, source_col: str = "source", weights: dict[str, float
         w = F.lit(0.0)
         for name, value in weights.items():
             w = F.when(F.col("s") == name, F.lit(float(value))).otherwise(w)
-    every = Window.partitionBy(F.lit(1))
-    return counts.select("s", w.alias("w")).select("s", F.greatest(F.lit(1), F.round(F.lit(resolution) * F.col("w") / F.sum("w").over(every))).cast("long").alias("q"))
+    every = Window.partitionBy(F.lit(1))  # a row for each source
+    slots = F.lit(resolution) if resolution else F.greatest(F.lit(1000), 4 * F.count("*").over(every))
+    return counts.select("s", w.alias("w"), slots.alias("r")).select("s", F.greatest(F.lit(1), F.round(F.col("r") * F.col("w") / F.sum("w").over(every))).cast("long").alias("q"))
 
 
 def period(share: DataFrame, most_sources: int = 4000) -> DataFrame:
@@ -55,47 +57,55 @@ def period(share: DataFrame, most_sources: int = 4000) -> DataFrame:
     return one.select(F.expr("all[k].s").alias("s"), F.expr("all[k].q").alias("q"), "total", (F.row_number().over(nth) - 1).cast("long").alias("j"), F.col("slot").cast("long"))
 
 
-def schedule(docs: DataFrame, block: int = 16, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, alpha: float = 0.5, resolution: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, source, nth, block, release, deadline, slot, *carry), a row for each row of ``docs``.
-
-    Documents of a source are numbered in the order of their hashed ids (null ids first), ``block``
-    to a block. The mix is the order of (slot, nth). Numbers come from counts by source and hash
-    bucket, so that a source with a third of all rows is numbered by many tasks.
-    """
-    d = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), *carry).withColumn("__h", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")))
+def _placed(docs: DataFrame, block: int, source_col: str, id_col: str, whole: bool, options: dict) -> DataFrame:
+    """(__id, __s, __n, __i, __q, __total, __at[, __row]): of each row its number in its source, its block, its source's slots
+    in a period, and the slot of its block there. ``whole``: with the row itself as a struct, so that no name can clash."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")] if whole else []
+    d = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__s"), *row).withColumn("__h", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("")).cast("binary")))
     # a key that is never null, so that numbering and its join deal the rows out once
     d = d.withColumns({"__b": F.substring("__h", 1, _DIGITS), "__k": F.coalesce(F.concat(F.lit("="), F.col("__s")), F.lit(""))})
     sizes = d.groupBy("__k", "__b").agg(F.count("*").alias("c"))
     before = sizes.select(F.col("__k").alias("ok"), F.col("__b").alias("ob"), F.coalesce(F.sum("c").over(Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     within = F.row_number().over(Window.partitionBy("__k", "__b").orderBy("__h", "__id"))
     numbered = d.withColumn("__n", within).join(before, (F.col("__k") == F.col("ok")) & (F.col("__b") == F.col("ob"))).withColumn("__n", F.col("__n") + F.col("off") - 1)
-    table = period(shares(docs, source_col, weights, alpha, resolution))
-    per = table.groupBy(F.col("s").alias("ps")).agg(F.max("q").alias("q"), F.max("total").alias("total"))
-    i = F.floor(F.col("__n") / block)
-    out = numbered.join(F.broadcast(per), F.col("__s").eqNullSafe(F.col("ps"))).withColumn("i", i).withColumn("jj", F.col("i") % F.col("q"))
-    out = out.join(F.broadcast(table.select(F.col("s").alias("ts"), "j", F.col("slot").alias("at"))), F.col("__s").eqNullSafe(F.col("ts")) & (F.col("jj") == F.col("j")))
-    return out.select(
+    table = period(shares(docs.select(F.col(f"`{source_col}`").alias("s")), "s", **options))
+    per = table.groupBy(F.col("s").alias("ps")).agg(F.max("q").alias("__q"), F.max("total").alias("__total"))
+    out = numbered.join(F.broadcast(per), F.col("__s").eqNullSafe(F.col("ps"))).withColumn("__i", F.floor(F.col("__n") / block)).withColumn("__j", F.col("__i") % F.col("__q"))
+    slots = table.select(F.col("s").alias("ts"), F.col("j").alias("tj"), F.col("slot").alias("__at"))
+    return out.join(F.broadcast(slots), F.col("__s").eqNullSafe(F.col("ts")) & (F.col("__j") == F.col("tj")))
+
+
+_SLOT = "(__i div __q) * __total + __at"
+
+
+def schedule(docs: DataFrame, block: int = 16, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, source, nth, block, release, deadline, slot), a row for each row of ``docs``; options as in ``shares``.
+
+    Documents of a source are numbered in the order of their hashed ids (null ids first), ``block``
+    to a block. The mix is the order of (slot, nth). Numbers come from counts by source and hash
+    bucket, so that a source with a third of all rows is numbered by many tasks. A null source is a source of its own; rows
+    that repeat an id are numbered one after the other; other columns are not read. An empty table gives no rows.
+    """
+    return _placed(docs, block, source_col, id_col, False, options).select(
         F.col("__id").alias(id_col),
         F.col("__s").alias(source_col),
         F.col("__n").cast("long").alias("nth"),
-        F.col("i").cast("long").alias("block"),
-        F.expr("(i * total) div q").alias("release"),
-        F.expr("((i + 1) * total + q - 1) div q").alias("deadline"),
-        F.expr("(i div q) * total + at").alias("slot"),
-        *carry,
+        F.col("__i").cast("long").alias("block"),
+        F.expr("(__i * __total) div __q").alias("release"),
+        F.expr("((__i + 1) * __total + __q - 1) div __q").alias("deadline"),
+        F.expr(_SLOT).alias("slot"),
     )
 
 
-def mixed(docs: DataFrame, block: int = 16, partitions: int | None = None, **options) -> DataFrame:
-    """The rows of ``docs``, each once, in the order of the mix: ranges of slots by partition, sorted within.
+def mixed(docs: DataFrame, block: int = 16, partitions: int | None = None, source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, each once and unchanged, in the order of the mix: ranges of slots by partition, sorted within.
 
-    ``partitions`` defaults to the session's shuffle partitions.
+    ``partitions`` defaults to the session's shuffle partitions. Columns may have any names; nulls as in ``schedule``.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    out = schedule(docs, block, carry=others, **options)
-    return out.repartitionByRange(parts, "slot", "nth").sortWithinPartitions("slot", "nth").select(*docs.columns)
+    out = _placed(docs, block, source_col, id_col, True, options).select(F.expr(_SLOT).alias("__slot"), "__n", "__row")
+    return out.repartitionByRange(parts, "__slot", "__n").sortWithinPartitions("__slot", "__n").select("__row.*")
 
 
 ORACLE = """

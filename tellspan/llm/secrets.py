@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import resident, small_batches, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 #: Fixed patterns of the base kinds; the least length is of group 2 for assign, else of the match.
@@ -82,13 +82,8 @@ class Scanner:
         return base, sorted(base + added) if added else base
 
 
-_scanners: dict[tuple, Scanner] = {}
-
-
 def _scanner(*key) -> Scanner:
-    if key not in _scanners:
-        _scanners[key] = Scanner(*key)
-    return _scanners[key]
+    return resident(("scanner", *key), lambda: Scanner(*key))
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
@@ -114,6 +109,7 @@ def scan_documents(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: fl
                 spans.append(_written(every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names)
 
+    small_batches(docs.sparkSession)
     names = [id_col, "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string")
@@ -139,6 +135,7 @@ def redact(docs: DataFrame, vocabulary: str, pattern: str, mark: str = "[secret]
                 out.append("".join([*parts, text[done:]]) if parts else text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     clean = docs.withColumn(text_col, F.make_valid_utf8(F.col(text_col)))
     return clean.mapInArrow(run, docs.schema)

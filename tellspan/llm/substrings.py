@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat_bytes, hashed_words, mix, pieces, utf8
+from .common import Scratch, bitmap, flat_bytes, hashed_words, marked, mix, pieces, release, utf8
 
 _RUN, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SAMPLE = np.uint64(3)
@@ -102,16 +102,6 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _bitmap(names: DataFrame) -> np.ndarray:
-    """Bits by the low bits of the names; its size is fixed."""
-    low = F.col("name").bitwiseAND(F.lit((1 << _BITS) - 1))
-    rows = names.select(F.shiftright(low, 15).alias("k"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros((1 << (_BITS - 15), 1 << 12), np.uint8)
-    for r in rows.toLocalIterator():
-        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Scratch]:
     """(facts, starts): (doc, n_words, whole_sha256) of every row with words' digest, and (doc, starts), the sorted
     places of the windows of ``size`` words that also start in a document with a smaller id. Both are written tables."""
@@ -120,6 +110,7 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
 
     def name(batches):
+        release()
         for batch in batches:
             n, digests, names, sizes = [], [], [np.zeros(0, np.uint64)], []
             for part in pieces(batch, "t"):
@@ -147,7 +138,7 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
     known = docs.where(F.col("doc").isNotNull())
     if twice.count() <= _SEND:
         # A false bit lets a window through that is then compared like any other.
-        shared = spark.sparkContext.broadcast(_bitmap(twice))
+        shared = spark.sparkContext.broadcast(bitmap(twice, "name", _BITS))
         texts = known.select("doc", "t", F.lit(None).cast("array<bigint>").alias("names"))
     else:
         shared = None
@@ -155,6 +146,7 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
         texts = known.join(own, "doc", "left").select("doc", "t", "names")
 
     def hash_(batches):
+        release()
         bits = shared.value if shared is not None else None
         for batch in batches:
             hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -166,8 +158,7 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
                     continue
                 found, low, high = _sampled(h, first, rounds)
                 if bits is not None:
-                    x = found & np.uint64((1 << _BITS) - 1)
-                    ok = (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    ok = marked(bits, found)
                 else:
                     ok = np.zeros(len(found), bool)
                     at = np.concatenate([[0], np.cumsum(_count(low, first))])
@@ -217,6 +208,7 @@ def removed(documents: DataFrame, size: int = 50, rounds: int = 4, texts: bool =
     facts, starts, _ = repeats(documents, size, rounds, id_col, text_col)
 
     def cut(batches):
+        release()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)

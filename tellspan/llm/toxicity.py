@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, hashed_words, mix, release, small_batches, utf8
 
 #: Look-alikes by the letter they imitate.
 LOOKALIKES = {
@@ -108,23 +108,37 @@ def _curve(curve: tuple[float, float, float], hits: float, words: int) -> float:
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int = 5000, clean_most: int = 10000, label: str = "toxic") -> DataFrame:
     """(doc_id, text, y): at most ``most`` toxic and ``clean_most`` clean labelled rows, those with the least hashed id.
 
-    ``use``: condition on doc_id that says which rows labels may be learnt from.
+    ``use``: condition on doc_id that says which rows labels may be learnt from. An id that has both labels counts as toxic.
     """
-    own = labels.where(use & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    own = labels.where(use & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = own.where("y = 1").orderBy(*order).limit(most).unionByName(own.where("y = 0").orderBy(*order).limit(clean_most))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the two limits
 
 
-def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds: float = 3.0, least_gain: float = 30.0) -> Lexicon:
-    """A lexicon from (text, y) rows; their number bounds what comes to the driver.
+def _copies(batches):
+    """(t, y, copy): texts with a mark that copies have in common, near ones mostly: three min-hashes of runs of five folded words."""
+    seeds = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
+    release()
+    for batch in batches:
+        marks = []
+        for t in batch.column(0).to_pylist():
+            words = " ".join(fold(t.decode()).split()).encode()
+            h, _, _, _ = hashed_words(np.frombuffer(words, np.uint8), np.array([0, len(words)]), False)
+            runs = mix(sum((h[k : max(k, len(h) - 4 + k)] * np.uint64(2 * k + 3) for k in range(1, 5)), h[: max(0, len(h) - 4)].copy())) if len(h) > 4 else h
+            marks.append(b"".join(mix(runs ^ s).min().tobytes() if len(runs) else b"" for s in seeds))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], ["t", "y", "copy"])
+
+
+def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds: float = 3.0, least_gain: float = 30.0, longest: int = 24) -> Lexicon:
+    """A lexicon from (text, y) rows; their number bounds what comes to the driver. The order of rows makes no difference.
 
     A stem is the shortest beginning of three or more letters that sets the classes apart by
     ``least_odds`` (natural log odds) beyond chance (twice the log likelihood gained is at least
-    ``least_gain``), carried on for as long as one letter follows it always, or mostly and with higher odds.
-    Rows that share the least hash of their long words count as copies of one text, so that a text
+    ``least_gain``), carried on for as long as one letter follows it always, or mostly and with higher odds, up to ``longest`` letters.
+    Rows of one label that agree in three min-hashes of their five-word runs are copies of one text and count once, so that a text
     copied often doesn't lend its words weight. Neighbours that only clean rows have at a stem become exception phrases. Without rows of both
-    classes nothing is learnt, and all scores are low.
+    classes nothing is learnt, and all scores are low. Null texts count as empty.
     """
 
     spark = rows.sparkSession
@@ -133,19 +147,20 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds:
         for batch in batches:
             tokens, ys = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {w[:12] for w in fold(t.decode()).split()}
+                own = {w[:longest] for w in fold(t.decode()).split()}
                 tokens.extend(own)
                 ys.extend([y] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(ys, pa.int32())], ["w", "y"])
 
     rows = rows.select(utf8("text").alias("t"), F.col("y").cast("int").alias("y"))
-    long_words = F.filter(F.split(F.col("t").cast("string"), r"\s+"), lambda w: F.length(w) >= 9)
-    rows = rows.withColumn("copy", F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("t")))
-    source = Scratch(spark, "toxicity").put(rows.dropDuplicates(["copy", "y"]).select("t", "y"), "rows")
+    single = rows.mapInArrow(_copies, "t binary, y int, copy binary").groupBy("copy", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
+    scratch = Scratch(spark, "toxicity")
+    source = scratch.put(single.select("t", "y"), "rows")
     totals = {r["y"]: r["n"] for r in source.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     empty = Lexicon((), (), (-3.0, 1.0, 1.0))
     if not pos or not neg:
+        scratch.drop()
         return empty
     table = source.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     begun = table.select(F.explode(F.expr("transform(sequence(3, greatest(length(w), 3)), k -> substring(w, 1, k))")).alias("s"), "p", "n").groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -177,12 +192,15 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, least_odds:
     lexicon = Lexicon(lexicon.stems, (*lexicon.exceptions, *learnt), lexicon.curve)
 
     def features(batches):
+        release()
         matcher = lexicon.matcher()
         for batch in batches:
             got = [matcher.features(t.decode()) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], ["h", "n", "y"])
 
     pdf = source.mapInArrow(features, "h double, n bigint, y int").toPandas()
+    pdf = pdf.sort_values(["h", "n", "y"])
+    scratch.drop()
     return Lexicon(lexicon.stems, lexicon.exceptions, _fit(pdf["h"].to_numpy(), pdf["n"].to_numpy(), pdf["y"].to_numpy(float)))
 
 
@@ -226,23 +244,27 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
     """
 
     def run(batches):
+        release()
         matcher = lexicon.matcher()
         for batch in batches:
             scores = np.array([matcher.score(t.as_py().decode()) for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), utf8(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    """The rows of ``docs`` that score below ``threshold``, unchanged. Null and empty texts have the score of no hits; repeated rows all count."""
 
     def run(batches):
+        release()
         matcher = lexicon.matcher()
         for batch in batches:
             keep = [matcher.score(t.as_py() or "") < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     return docs.withColumn(text_col, F.make_valid_utf8(F.col(text_col))).mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, utf8
+from .common import Scratch, release, utf8
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 1000
@@ -97,6 +97,7 @@ def write_archive(pages: DataFrame, scratch: Scratch, date: str = "2024-01-01T00
     root = scratch.path("warc")
 
     def run(batches):
+        release()
         fs, folder = _files(root)
         fs.create_dir(folder, recursive=True)
         out = name = None
@@ -279,14 +280,24 @@ def fetch(located: DataFrame, scratch: Scratch, partitions: int = 32, gap: int =
     return ordered.mapInArrow(run, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
-def archive_and_read(pages: DataFrame, shards: int = 32) -> DataFrame:
-    """Write ``pages`` to archives, index them, look every page up and read its record back, as ``fetch`` returns it."""
-    scratch = Scratch(pages.sparkSession, "warc")
+def archive_and_read(pages: DataFrame, shards: int | None = None, shard_lines: int = 500_000, part_bytes: int = 1 << 28) -> DataFrame:
+    """Write ``pages`` to archives, index them, look every page up and read its record back, as ``fetch`` returns it.
+
+    A row for each row of ``pages``: null html is an empty payload, null urls have the key ``-``, and rows that repeat a
+    page_id and url, or lack an id, have a record each. Other columns are not read; an empty table gives no rows.
+    ``shards`` defaults to one for each ``shard_lines`` captures, and reads are dealt into parts of ``part_bytes`` of
+    archive, both the session's number of partitions at least.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "warc")
     captures = write_archive(pages, scratch)
-    index = build_index(captures, scratch, shards)
+    size = captures.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = build_index(captures, scratch, shards or max(usual, -(-size["n"] // shard_lines)))
     wanted = pages.select(url_key(F.col("url")).alias("key"), "page_id")
-    located = scratch.put(locate(wanted, scratch, index, shards), "located")
-    return fetch(located, scratch, shards)
+    located = scratch.put(locate(wanted, scratch, index, shards or max(usual, len(index))), "located")
+    scratch.drop("captures", "shards")
+    return fetch(located, scratch, max(usual, -(-size["b"] // part_bytes)))
 
 
 ORACLE = """

@@ -125,6 +125,36 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.near_documents(frame(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_where_ids_repeat_with_other_texts(spark):
+    w, x = (" ".join(f"{k}{i}" for i in range(40)) for k in "wx")
+    rows = [(1, w), (2, x), (5, w + " more"), (5, x + " more"), (8, w), (9, x), (9, x), (9, None), (9, ""), (7, "one two"), (7, "one two"), (None, w)]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.near_documents(frame(spark, rows)).collect())
+    assert got == sorted([(1, 36, 1), (2, 36, 1), (5, 37, 1), (5, 37, 1), (8, 36, 1), (9, 36, 1), (9, 36, 1), (9, 0, 9), (9, 0, 9), (7, 1, 7), (7, 1, 7), (0, 36, 0)])
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted([("1", w), ("9", ""), ("9", ""), ("7", "one two"), ("None", w)])
+    # two classes that only a repeated id joins
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_documents(frame(spark, [(1, w), (2, x), (5, w), (5, x)])).collect()}
+    assert got == {1: 1, 2: 1, 5: 1}
+
+
+def test_tokens_of_many_groups_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "_GROUP", 2)
+    test_jaccard_against_brute_force(spark)
+
+
+def test_long_words_that_differ_in_structure_have_other_hashes():
+    import pyarrow as pa
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    words = [word, word.translate(str.maketrans("ab", "ba")), word[:-1], word[1:], "a" * 64, "a" * 65, "a" * 64 + "b", "b" + "a" * 64, "a" * 64 + "b" + "a" * 63, "a" * 128]
+    data, offsets = flat_bytes(pa.array([" ".join(words).encode(), words[0].encode()], pa.binary()))
+    h = hashed_words(data, offsets, False)[0].tolist()
+    assert len(set(h)) == len(words) and h[-1] == h[0]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 100), (300, 300)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t")).collect()))
@@ -184,6 +214,13 @@ def test_mix_keeps_every_source_within_a_block(spark):
     assert q["s0"] == 750 and q["s3"] == 250 and q[None] == 1
     whole = mixing.mixed(docs.withColumnRenamed("nth", "text"), 4)
     assert whole.columns == ["doc_id", "source", "text"] and whole.count() == len(rows)
+    clashing = "slot nth q total release deadline block at j i ps ts s k __n off c SLOT_ a.b".split()
+    odd = docs.select("source", "doc_id", *(F.lit(k).alias(c) for k, c in enumerate(clashing)))
+    whole = mixing.mixed(odd, 4)
+    assert whole.schema.names == odd.schema.names and sorted(map(str, whole.collect())) == sorted(map(str, odd.collect()))
+    assert mixing.mixed(odd.limit(0), 4).count() == 0 and mixing.schedule(odd, 4).count() == len(rows)
+    many = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
+    assert mixing.schedule(many, 1).select("slot").distinct().count() == 600
     assert mixing.schedule(docs.limit(0)).count() == 0
 
 
@@ -265,6 +302,41 @@ def test_toxicity(spark):
     assert shut.score("a trash can") < 0.5 < shut.score("you trash, a trash can")
 
 
+def test_toxicity_learns_where_texts_share_a_long_word_and_in_any_order(spark):
+    rnd = random.Random(4)
+    words = [f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(words) for _ in range(30)] + ["copyright"]
+        if i % 4 == 0:
+            w[rnd.randrange(30)] = "idiot" if i % 8 else "pathologicallyverylonginsultingwordthatgoeson"
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    rows += [(500 + i, rows[0][1], 1) for i in range(300)]  # one text, copied often
+    learn = lambda r: toxicity.learn(spark.createDataFrame(r, "doc_id long, text string, y int"))
+    lexicon = learn(rows)
+    assert {s for s, _ in lexicon.stems} == {toxicity.fold("idiot").strip(), toxicity.fold("pathologicallyverylonginsultingwordthatgoeson").strip()[:24]}
+    assert learn(rows[::-1]) == lexicon and learn(rnd.sample(rows, len(rows))) == lexicon
+
+
+def test_toxicity_scores_by_definition():
+    """Weights of the stems that begin a folded word outside exception phrases, without an automaton."""
+    lexicon = toxicity.Lexicon((("idi", 2.0), ("idiot", 5.0), ("scum", 3.0), ("trash", 4.0)), ("trash can", "scum line"), (-4.0, 1.5, 0.75))
+    matcher, rnd = lexicon.matcher(), random.Random(2)
+    bits = ["idiot", "1D10T", "idi", "ідіоt", "trash", "can", "cans", "scum", "5cum", "line", "plain", "no-trash", "trash, can", "", "\n", "x" * 50, "(scum)", "subidiot", "é"]
+    for n in [0, 1, 2, 3, *range(4, 60), 5000]:
+        text = " ".join(rnd.choice(bits) for _ in range(n))
+        folded = toxicity.fold(text)
+        shut = [(i, i + len(p)) for p in (" " + toxicity.fold(e).strip() for e in lexicon.exceptions) for i in range(len(folded)) if folded.startswith(p, i)]
+        hits = 0.0
+        for i in range(len(folded)):
+            own = [w for s, w in lexicon.stems if folded.startswith(" " + s, i)]
+            if own and not any(a <= i < b for a, b in shut):
+                hits += max(own)
+        words = len(folded.split())
+        z = -4.0 + 1.5 * np.log1p(hits) + 0.75 * np.log1p(100 * hits / (words + 10))
+        assert abs(matcher.score(text) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_quality_on_odd_rows(spark):
     good = "This line says something in plain words. " * 2
     rows = [(1, "\n".join(f"{good}{i} and more of it, said once only." for i in "abcdefgh")), (2, None), (3, ""), (4, " | ".join(["Home", "About"] * 20)), (5, "same words here " * 40), (None, "x"), (1, "y")]
