@@ -83,10 +83,11 @@ def resident(key: Any, make: Callable[[], Any]) -> Any:
 
 def release() -> None:
     """Let go of what earlier tasks of this worker have kept, and give its memory back."""
-    if _resident:
-        _resident.clear()
-        gc.unfreeze()
-        gc.collect()
+    if not _resident:
+        return
+    _resident.clear()
+    gc.unfreeze()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -186,8 +187,8 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np
     value = (_BYTE[_LOWER] if lower else _BYTE)[data]
     value *= _PLACE[place]
     h = np.add.reduceat(value, at)
-    if long_words:  # blocks by number, each well mixed before they are summed
-        h = np.add.reduceat(mix(mix(h) + (nth + 1).astype(np.uint64) * _BLOCK), heads)
+    if long_words:  # blocks by number, each well mixed before they are summed; a word of one block hashes as it would alone
+        h = np.where(blocks > 1, np.add.reduceat(mix(mix(h) + (nth + 1).astype(np.uint64) * _BLOCK), heads), h[heads])
     h += (ends - starts).astype(np.uint64)
     return mix(h), starts, ends, np.searchsorted(starts, offsets)
 

@@ -6,8 +6,8 @@ letters, in which they share out the probability by their counts in the whole tr
 a word never seen having the share of one more word. The state is carried from window to window,
 so a text is scored as a whole, however long.
 
-Training is local: every part of the training documents runs truncated backpropagation from common
-weights, and the weights are averaged, round after round.
+Training is local: the training documents are dealt into parts by their hashes, every part runs
+truncated backpropagation from common weights, and the weights are averaged, round after round.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,87 +140,104 @@ class Gru:
         n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
         return n + z * (h - n), r, z, n, a
 
+    def _softmax(self, h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exponentials, their sums) of scores; ``h`` ends with a column of ones, ``weights`` with a row of biases."""
+        x = h @ weights
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+        if not np.isfinite(total.sum()):  # states are within (-1, 1), so scores stay small as a rule
+            x = np.exp(np.minimum(h @ weights, 60))
+            total = x.sum(1)
+        return x, total
+
+    def _output(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes, and of words in each, with a last row of biases."""
+        return np.concatenate([self.p["C"], self.p["c"][None]]), np.concatenate([self.p["H"], self.p["d"][:, None]], 1)
+
     def log_likelihood(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of the next ids' classes, and of frequent words in theirs."""
-        x = h @ self.p["C"]
-        x += self.p["c"]
+        classes, words = self._output()
+        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
         kinds = class_of(ids, self.side)
-        out = x[np.arange(len(ids)), kinds]
-        np.exp(x, out=x)  # scores stay small: states are within (-1, 1)
-        out -= np.log(x.sum(1))
+        x, total = self._softmax(h, classes)
+        out = np.log(x[np.arange(len(ids)), kinds] / total + 1e-30)
         order = np.argsort(kinds, kind="stable")
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
-        for k in range(self.side):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows):
-                y = h[rows] @ self.p["H"][k]
-                y += self.p["d"][k]
-                own = y[np.arange(len(rows)), ids[rows] - k * self.side]
-                np.exp(y, out=y)
-                out[rows] += own - np.log(y.sum(1))
+        order = order[: ends[-1]]
+        h, own, got = h[order], ids[order] % self.side, np.empty(len(order), out.dtype)
+        for k in np.flatnonzero(np.diff(ends)):
+            a, b = ends[k], ends[k + 1]
+            x, total = self._softmax(h[a:b], words[k])
+            got[a:b] = x[np.arange(b - a), own[a:b]] / total
+        out[order] += np.log(got + 1e-30)
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
         """(gradients, last state, loss) of a window [T, B], the state before it taken as given."""
         p, k = self.p, self.hidden
         T, B = inputs.shape
-        table = p["E"] @ p["W"] + p["b"]
-        kept, states = [], []
+        kind = p["C"].dtype
+        words_in = p["E"][inputs.ravel()]
+        read = (words_in @ p["W"] + p["b"]).reshape(T, B, 3 * k)
+        going = (inputs != self.end)[:, :, None].astype(kind)
+        kept, before, states = [], np.empty((T, B, k), kind), np.ones((T, B, k + 1), kind)
         for t in range(T):
-            h = h * (inputs[t] != self.end)[:, None].astype(np.float32)
-            before = h
-            h, r, z, n, a = self.step(table[inputs[t]], h)
-            kept.append((before, r, z, n, a))
-            states.append(h)
-        H = np.concatenate(states)
+            before[t] = h * going[t]
+            h, r, z, n, a = self.step(read[t], before[t])
+            kept.append((r, z, n, a[:, 2 * k :]))
+            states[t, :, :k] = h
+        H = states.reshape(T * B, k + 1)
         ids = targets.ravel()
         kinds = class_of(ids, self.side)
-        scale = np.float32(1 / len(ids))
-        x = H @ p["C"] + p["c"]
-        x -= x.max(1, keepdims=True)
-        q = np.exp(x)
-        q /= q.sum(1, keepdims=True)
-        loss = -np.log(q[np.arange(len(ids)), kinds] + 1e-20).sum()
-        q[np.arange(len(ids)), kinds] -= 1
-        q *= scale
-        grad = {"C": H.T @ q, "c": q.sum(0)}
-        dH = q @ p["C"].T
-        grad["H"], grad["d"] = np.zeros_like(p["H"]), np.zeros_like(p["d"])
+        scale, every = kind.type(1 / len(ids)), np.arange(len(ids))
+        classes, words = self._output()
+        x, total = self._softmax(H, classes)
+        loss = (np.log(total) - np.log(x[every, kinds] + 1e-30)).sum()
+        x *= (scale / total)[:, None]
+        x[every, kinds] -= scale
+        top = H.T @ x
+        grad = {"C": top[:k], "c": top[k]}
+        dH = x @ p["C"].T
         order = np.argsort(kinds, kind="stable")
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
+        order = order[: ends[-1]]
+        own_h, own, down, inner = H[order], ids[order] % self.side, np.empty((len(order), k), kind), np.zeros_like(words)
         for c in np.flatnonzero(np.diff(ends)):
-            rows = order[ends[c] : ends[c + 1]]
-            mine, own = np.arange(len(rows)), ids[rows] - c * self.side
-            y = H[rows] @ p["H"][c]
-            y += p["d"][c]
-            y -= y.max(1, keepdims=True)
-            np.exp(y, out=y)
-            y /= y.sum(1, keepdims=True)
-            loss -= np.log(y[mine, own] + 1e-20).sum()
-            y[mine, own] -= 1
-            y *= scale
-            grad["H"][c] = H[rows].T @ y
-            grad["d"][c] = y.sum(0)
-            dH[rows] += y @ p["H"][c].T
+            a, b = ends[c], ends[c + 1]
+            y, total = self._softmax(own_h[a:b], words[c])
+            hit = y[every[: b - a], own[a:b]]
+            loss += (np.log(total) - np.log(hit + 1e-30)).sum()
+            y *= (scale / total)[:, None]
+            y[every[: b - a], own[a:b]] -= scale
+            inner[c] = own_h[a:b].T @ y
+            down[a:b] = y @ p["H"][c].T
+        grad["H"], grad["d"] = inner[:, :k], inner[:, k]
+        dH[order] += down
         dH = dH.reshape(T, B, k)
-        dU, dh = np.zeros_like(p["U"]), np.zeros((B, k), np.float32)
-        gates = np.empty((T, B, 3 * k), np.float32)
+        dh = np.zeros((B, k), kind)
+        gates, through = np.empty((T, B, 3 * k), kind), np.empty((T, B, 3 * k), kind)
+        back = np.ascontiguousarray(p["U"].T)
         for t in range(T - 1, -1, -1):
-            before, r, z, n, a = kept[t]
-            dh = dh + dH[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * a[:, 2 * k :] * r * (1 - r)
-            da = np.concatenate([dr, dz, dn * r], 1)
-            dU += before.T @ da
-            gates[t, :, :k], gates[t, :, k : 2 * k], gates[t, :, 2 * k :] = dr, dz, dn
-            dh = (dh * z + da @ p["U"].T) * (inputs[t] != self.end)[:, None]
-        dtable = np.zeros_like(table)
+            r, z, n, a = kept[t]
+            dh += dH[t]
+            rest = dh * (1 - z)
+            dn = rest * (1 - n * n)
+            g, da = gates[t], through[t]
+            np.multiply(dn * a, r * (1 - r), out=g[:, :k])
+            np.multiply(rest, (before[t] - n) * z, out=g[:, k : 2 * k])
+            g[:, 2 * k :] = dn
+            da[:, : 2 * k] = g[:, : 2 * k]
+            np.multiply(dn, r, out=da[:, 2 * k :])
+            dh = (dh * z + da @ back) * going[t]
+        dU = before.reshape(T * B, k).T @ through.reshape(T * B, 3 * k)
+        gates = gates.reshape(T * B, 3 * k)
+        down = gates @ p["W"].T
         order = np.argsort(inputs.ravel(), kind="stable")
         read = inputs.ravel()[order]
         heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
-        dtable[read[heads]] = np.add.reduceat(gates.reshape(T * B, -1)[order], heads)
-        grad |= {"U": dU, "E": dtable @ p["W"].T, "W": p["E"].T @ dtable, "b": dtable.sum(0)}
+        dE = np.zeros_like(p["E"])
+        dE[read[heads]] = np.add.reduceat(down[order], heads)
+        grad |= {"U": dU, "E": dE, "W": words_in.T @ gates, "b": np.ones(T * B, kind) @ gates}
         return grad, h, float(loss) / len(ids)
 
     def fit(self, ids: np.ndarray, lanes: int = 512, length: int = 4096, window: int = 16, rate: float = 0.01) -> None:
@@ -236,15 +254,23 @@ class Gru:
         h = np.zeros((lanes, self.hidden), np.float32)
         for i, lo in enumerate(range(0, n, window), 1):
             grad, h, _ = self.gradients(inputs[lo : lo + window], grid[lo : lo + window], h)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
             step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i) / max(1.0, i / 100) ** 0.5
             for k, g in grad.items():
                 g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                m[k] += np.float32(0.1) * (g - m[k])
-                v[k] += np.float32(0.001) * (g * g - v[k])
-                self.p[k] -= np.float32(step) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
-
-    def score(self, ids: np.ndarray, ends: np.ndarray, lanes: int = 256, window: int = 32) -> np.ndarray:
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * g
+                v[k] *= np.float32(0.999)
+                g *= g
+                g *= np.float32(0.001)
+                v[k] += g
+                np.sqrt(v[k], out=g)
+                g += np.float32(1e-8)
+                np.divide(m[k], g, out=g)
+                g *= np.float32(step)
+                self.p[k] -= g
+
+    def score(self, ids: np.ndarray, ends: np.ndarray, lanes: int = 512, window: int = 32) -> np.ndarray:
         """Sum of natural logs for each text; ``ends``: where each one's ids (its end included) stop.
 
         Texts are dealt to lanes, longest first, and follow each other there; a new text starts from the zero state.
@@ -302,48 +328,105 @@ def _ids(part: pa.RecordBatch, vocabulary: Vocabulary):
     return out, first[1:] + np.arange(1, n + 1), h, first
 
 
-def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16) -> Gru:
-    """Weights averaged over all parts of ``rows`` (t), after so many rounds. ``merge`` bounds what the driver gets."""
+def lessons(rows: DataFrame, vocabulary) -> DataFrame:
+    """(part, key, ids): the rows (part, key, t) as ids."""
+
+    def run(batches):
+        release()
+        kind = np.uint16 if vocabulary.value.end < 1 << 16 else np.uint32
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                ids, stops, _, _ = _ids(part, vocabulary.value)
+                edges = np.concatenate([[0], stops]) * np.dtype(kind).itemsize
+                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("key"), data], ["part", "key", "ids"])
+
+    return rows.select("part", "key", "t").mapInArrow(run, "part int, key bigint, ids binary")
+
+
+def _summed(trained: DataFrame, into: int) -> DataFrame:
+    """(part, n, w): sums of weights, a row for each of ``into`` tasks, each of which holds one sum at a time."""
+
+    def run(batches):
+        total, out, first = 0, None, 0
+        for batch in batches:
+            for part, n, w in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                p = pickle.loads(w)
+                if out is None:
+                    out, first = {k: v.astype(np.float64) for k, v in p.items()}, part
+                else:
+                    for k in p:
+                        out[k] += p[k]
+                total += n
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total], pa.int64()), pa.array([pickle.dumps(out)], pa.binary())], ["part", "n", "w"])
+
+    dealt = trained.repartition(1) if into == 1 else trained.repartition(into, F.pmod("part", F.lit(into)))
+    return dealt.sortWithinPartitions("part").mapInArrow(run, "part int, n bigint, w binary")
+
+
+def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16, part_tokens: int = 1 << 20, scratch: Scratch | None = None) -> Gru:
+    """Weights learnt from all ``rows`` (doc, t) in one pass: each row belongs to one part of one round by its hash. A part learns from its
+    rows in the order of their hashes, and at the end of a round weights are averaged by tokens. Parts hold about ``part_tokens``
+    tokens, so their number grows with the corpus, and a small corpus is one part that all rounds read; nothing depends on how the
+    rows lie. ``merge``: tasks that add weights up before one does; the driver gets one sum."""
     side = vocabulary.value.side
     model = Gru(side=side)
     spark = rows.sparkSession
+    parts = round(vocabulary.value.tokens / part_tokens / rounds)
+    key = F.xxhash64("doc", "t")
+    keyed = rows.select("t", key.alias("key"), F.pmod(key, F.lit(max(1, parts * rounds))).cast("int").alias("part"))
+    kind = np.uint16 if vocabulary.value.end < 1 << 16 else np.uint32
     for r in range(rounds):
+        given = lessons(keyed.where(F.col("part") % rounds == r) if parts else keyed, vocabulary)
         shared = spark.sparkContext.broadcast(model.p)
 
-        def run(batches):
-            release()
+        def learn(table):
+            order = np.argsort(table.column("key").to_numpy(), kind="stable")
+            data, at = flat_bytes(table.column("ids"))
+            ids = np.concatenate([data[at[i] : at[i + 1]] for i in order]).view(kind).astype(np.int64)
             own = Gru(side=side)
             own.p = {k: v.copy() for k, v in shared.value.items()}
-            n = 0
-            for batch in batches:
-                ids = np.concatenate([_ids(part, vocabulary.value)[0] for part in pieces(batch, "t")])
-                own.fit(ids)
-                n += len(ids)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n % merge], pa.int32()), pa.array([n], pa.int64()), pa.array([pickle.dumps(own.p)], pa.binary())], ["m", "n", "w"])
-
-        def average(table):
-            total, out = 0, None
-            for n, w in zip(table.column("n").to_pylist(), table.column("w")):
-                p = {k: v * np.float64(n) for k, v in pickle.loads(w.as_py()).items()}
-                out = p if out is None else {k: out[k] + p[k] for k in p}
-                total += n
-            return pa.table({"n": pa.array([total], pa.int64()), "w": pa.array([pickle.dumps(out)], pa.binary())})
+            own.fit(ids)
+            weights = {k: v * np.float32(len(ids)) for k, v in own.p.items()}
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int64()), "w": pa.array([pickle.dumps(weights)], pa.binary())})
+
+        trained = given.groupBy("part").applyInArrow(learn, "part int, n bigint, w binary")
+        got = _summed(_summed(trained, merge) if parts > merge else trained, 1).collect()
+        if scratch is not None:
+            scratch.settle()
+        if not got:
+            continue
+        model.p = {k: (v / got[0]["n"]).astype(np.float32) for k, v in pickle.loads(got[0]["w"]).items()}
+    return model
+
 
-        got = rows.mapInArrow(run, "m int, n bigint, w binary").groupBy("m").applyInArrow(average, "n bigint, w binary").collect()
-        total = sum(x["n"] for x in got)
-        if not total:
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the most frequent words, ``most`` at most, by falling count, then hash.
+
+    A histogram of counts says from which count on words are few enough; only those are collected.
+    """
+    words = counts.where("k >= 0")
+    step = F.floor(16 * F.log2(F.col("c").cast("double"))).cast("int")
+    held, least = 0, None
+    for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect():
+        if held + r["n"] > most:
             break
-        parts = [pickle.loads(x["w"]) for x in got]
-        model.p = {k: (sum(p[k] for p in parts) / total).astype(np.float32) for k in parts[0]}
-    return model
+        held, least = held + r["n"], r["s"]
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = words.where(step >= least).select("h", "c").toArrow()
+    h, c = (got.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.lexsort([h, -c])
+    return h[order], c[order]
 
 
 def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of ``documents``.
 
-    ``held_out``: condition on the id; all other rows are counted and trained on. Null texts count as empty and consist of an end. Scores are log10
-    probabilities: ``base_score`` under add-one unigrams, ``score`` under the model.
+    ``held_out``: condition on the row; all other rows are counted and trained on, whether their ids repeat or are null. Null texts
+    count as empty and consist of an end. Scores are log10 probabilities: ``base_score`` under add-one unigrams, ``score`` under
+    the model; rows with equal texts have equal scores but for rounding, however the rows lie. An empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "gru")
@@ -352,18 +435,18 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     scratch.settle()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     size = side_for(int(total["n"] or 0)) ** 2
-    top = counts.where("k >= 0").orderBy(F.desc("c"), "h").limit(max(_BIG, size)).toPandas()
-    head = top["h"].to_numpy(np.int64)[:size].view(np.uint64)
-    order = np.argsort(top["h"].to_numpy(np.int64).view(np.uint64))
-    in_head = spark.createDataFrame([(int(x),) for x in head.view(np.int64)], "h bigint")
+    top_h, top_c = _frequent(counts, max(_BIG, 2 * size))
+    head = top_h[:size].view(np.uint64)
+    order = np.argsort(top_h.view(np.uint64))
+    in_head = spark.createDataFrame(pa.table({"h": pa.array(top_h[:size])}))
     tails = counts.where("k >= 0").join(F.broadcast(in_head), "h", "left_anti").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     tail_total, tail_kinds = np.zeros(TAIL), np.zeros(TAIL)
     for r in tails:
         tail_total[r["k"]], tail_kinds[r["k"]] = r["c"], r["v"]
     ends = counts.where("k < 0").first()
-    vocabulary = Vocabulary(head, top["h"].to_numpy(np.int64).view(np.uint64)[order], top["c"].to_numpy(np.int64)[order], tail_total, tail_kinds, int(total["n"] or 0), int(total["v"]), int(ends["c"]) if ends else 0)
+    vocabulary = Vocabulary(head, top_h.view(np.uint64)[order], top_c[order], tail_total, tail_kinds, int(total["n"] or 0), int(total["v"]), int(ends["c"]) if ends else 0)
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast(train(docs.where("not held").select("t"), shared).p)
+    model = spark.sparkContext.broadcast(train(docs.where("not held").select("doc", "t"), shared, scratch=scratch).p)
 
     def run(batches):
         release()
@@ -371,6 +454,7 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
         net = Gru(side=own.side)
         net.p = model.value
         end_log = np.log10(own.ends + 1.0)
+        place, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             got = [_ids(part, own) for part in pieces(batch, "t")]
             shift = np.cumsum([0] + [len(g[0]) for g in got])
@@ -392,14 +476,17 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
                 rare_n.append(add(~ok))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rare_n))]).astype(np.int32)), pa.array(np.concatenate(rare).view(np.int64)))
             columns = [np.concatenate(n).astype(np.int64), np.concatenate(known).astype(np.int64), np.concatenate(base), neural + np.concatenate(extra)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), lists], ["doc", "held", "n", "known", "base", "score", "rare"])
+            rows = place + done + np.arange(batch.num_rows)
+            done += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), *map(pa.array, columns), lists], ["row", "doc", "held", "n", "known", "base", "score", "rare"])
 
+    # ``row`` names a row of this written table, since ids may repeat or be null
     kind = documents.schema[id_col].dataType.simpleString()
-    part = scratch.put(docs.mapInArrow(run, f"doc {kind}, held boolean, n bigint, known bigint, base double, score double, rare array<bigint>"), "part")
+    part = scratch.put(docs.mapInArrow(run, f"row bigint, doc {kind}, held boolean, n bigint, known bigint, base double, score double, rare array<bigint>"), "part")
     scratch.settle()
-    words = part.select("doc", F.explode("rare").alias("h")).groupBy("doc", "h").agg(F.count("*").alias("m"))
-    rest = words.join(counts.select("h", "c"), "h").groupBy("doc").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("m").alias("seen"))
-    out = part.drop("rare").join(rest, "doc", "left")
+    words = part.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("m"))
+    rest = words.join(counts.select("h", "c"), "h").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("m").alias("seen"))
+    out = part.drop("rare").join(rest, "row", "left")
     n_all, v_all = vocabulary.tokens, vocabulary.distinct
     more = F.coalesce("more", F.lit(0.0))
     return out.select(

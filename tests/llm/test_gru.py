@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tellspan.llm import gru
@@ -41,12 +42,19 @@ def test_scores_don_t_depend_on_windows_and_add_up_to_one():
     assert abs(np.exp(net.log_likelihood(np.repeat(h, len(every), 0), every)).sum() - 1) < 1e-4
 
 
-def test_base_scores_by_definition_and_odd_rows(spark):
+@pytest.mark.parametrize("known", [gru._BIG, 5])
+def test_base_scores_by_definition_and_odd_rows(spark, monkeypatch, known):
+    """``known``: counts that go to every task; the others are joined, and ids repeat with other texts or are null."""
+    monkeypatch.setattr(gru, "_BIG", known)
+    monkeypatch.setattr(gru, "SIDE", 2)
+    monkeypatch.setattr(gru, "HEAD", 4)
     words = "the cat sat on THE mat É é x".split(" ")
     texts = [" ".join(words[(i * k) % len(words)] for k in range(1, 5 + i % 30)) for i in range(120)]
-    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(200, None, 1), (201, "", 1), (202, " \n\t", None), (203, "unseen" * 3000, 1), (None, "the cat", 1), (5, texts[5], 1)]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(200, None, 1), (201, "", 1), (202, " \n\t", None), (203, "unseen" * 3000, 1), (None, "the cat", 1), (5, texts[5], 1), (3, "mat mat rare", 1), (None, "x É sat the other", 1)]
+    rows = [(i, t, k) for k, (i, t, _) in enumerate(rows)]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    got = gru.score_documents(spark.createDataFrame(rows, SCHEMA), held).collect()
+    docs = spark.createDataFrame([(i, t, k) for i, t, k in rows], SCHEMA)
+    got = gru.score_documents(docs, held).collect()
     assert len(got) == len(rows)
     tokens = lambda t: (t or "").encode().lower().split() + [None]
     counts = collections.Counter()
@@ -54,12 +62,26 @@ def test_base_scores_by_definition_and_odd_rows(spark):
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update(tokens(t))
     n, v = sum(counts.values()), len(counts)
-    by = {i: t for i, t, _ in rows}
-    for r in got:
-        own = tokens(by[r["doc_id"]])
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
-        assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
-        assert r["score"] <= 0 and math.isfinite(r["score"])
+    want = []
+    for i, t, _ in rows:
+        own = tokens(t)
+        want.append((str(i), len(own), sum(counts[w] > 0 for w in own), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), 6)))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
+    assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_scores_don_t_depend_on_how_rows_lie(spark, monkeypatch):
+    from tellspan.llm import common
+
+    rnd = np.random.default_rng(5)
+    rows = [(i if i % 9 else None, " ".join(f"w{int(x)}" for x in rnd.zipf(1.5, 30) % 500), 1) for i in range(300)]
+    score = lambda n: sorted((str(r["doc_id"]), round(r["score"], 2)) for r in gru.score_documents(spark.createDataFrame(rows, SCHEMA).repartition(n, F.rand(n)), F.lit(False)).collect())
+    train = gru.train
+    monkeypatch.setattr(gru, "train", lambda *a, **k: train(*a, **k, part_tokens=1500))
+    one, eight = score(1), score(8)
+    assert [x[0] for x in one] == [x[0] for x in eight] and np.allclose([x[1] for x in one], [x[1] for x in eight], atol=0.05)
+    assert common.resident("x", dict) is common.resident("x", dict)
+    common.release()
 
 
 def test_empty_table(spark):

@@ -153,6 +153,12 @@ def test_long_words_that_differ_in_structure_have_other_hashes():
     data, offsets = flat_bytes(pa.array([" ".join(words).encode(), words[0].encode()], pa.binary()))
     h = hashed_words(data, offsets, False)[0].tolist()
     assert len(set(h)) == len(words) and h[-1] == h[0]
+    # a word hashes alike whatever stands beside it
+    words += ["short", "x", "a" * 63]
+    alone = [int(hashed_words(*flat_bytes(pa.array([w.encode()], pa.binary())), False)[0][0]) for w in words]
+    for k in (1, 3, len(words)):
+        for i in range(0, len(words), k):
+            assert hashed_words(*flat_bytes(pa.array([" \n".join(words[i : i + k]).encode()], pa.binary())), False)[0].tolist() == alone[i : i + k]
 
 
 def test_components(spark):
