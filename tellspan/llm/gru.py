@@ -111,7 +111,7 @@ def class_of(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
 class Gru:
     """The network. Parameters are float32 arrays in ``p``."""
 
-    def __init__(self, hidden: int = 24, embed: int = 16, seed: int = 3, side: int = SIDE):
+    def __init__(self, hidden: int = 16, embed: int = 12, seed: int = 3, side: int = SIDE):
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
         self.hidden, self.side, self.end = hidden, side, side * side + TAIL
@@ -365,7 +365,7 @@ def _summed(trained: DataFrame, into: int) -> DataFrame:
     return dealt.sortWithinPartitions("part").mapInArrow(run, "part int, n bigint, w binary")
 
 
-def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16, part_tokens: int = 1 << 20, scratch: Scratch | None = None) -> Gru:
+def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16, part_tokens: int = 1 << 21, scratch: Scratch | None = None) -> Gru:
     """Weights learnt from all ``rows`` (doc, t) in one pass: each row belongs to one part of one round by its hash. A part learns from its
     rows in the order of their hashes, and at the end of a round weights are averaged by tokens. Parts hold about ``part_tokens``
     tokens, so their number grows with the corpus, and a small corpus is one part that all rounds read; nothing depends on how the
