@@ -27,6 +27,7 @@ SIDE, TAIL = 32, 32  # least number of classes of frequent words, and of words i
 HEAD = SIDE * SIDE
 END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabulary; ids below HEAD are words, then classes of other words
 _BIG = 150_000  # counts that go to every task; the others are joined
+_ROWS = 1024  # whose scores are held at once
 _END_HASH = 1  # stands for the end among word hashes
 
 
@@ -111,7 +112,7 @@ def class_of(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
 class Gru:
     """The network. Parameters are float32 arrays in ``p``."""
 
-    def __init__(self, hidden: int = 16, embed: int = 12, seed: int = 3, side: int = SIDE):
+    def __init__(self, hidden: int = 24, embed: int = 16, seed: int = 3, side: int = SIDE):
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
         self.hidden, self.side, self.end = hidden, side, side * side + TAIL
@@ -159,8 +160,11 @@ class Gru:
         classes, words = self._output()
         h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
         kinds = class_of(ids, self.side)
-        x, total = self._softmax(h, classes)
-        out = np.log(x[np.arange(len(ids)), kinds] / total + 1e-30)
+        out = np.empty(len(ids), h.dtype)
+        for lo in range(0, len(ids), _ROWS):
+            x, total = self._softmax(h[lo : lo + _ROWS], classes)
+            out[lo : lo + _ROWS] = x[np.arange(len(x)), kinds[lo : lo + _ROWS]] / total
+        np.log(out + 1e-30, out=out)
         order = np.argsort(kinds, kind="stable")
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
         order = order[: ends[-1]]
@@ -191,13 +195,18 @@ class Gru:
         kinds = class_of(ids, self.side)
         scale, every = kind.type(1 / len(ids)), np.arange(len(ids))
         classes, words = self._output()
-        x, total = self._softmax(H, classes)
-        loss = (np.log(total) - np.log(x[every, kinds] + 1e-30)).sum()
-        x *= (scale / total)[:, None]
-        x[every, kinds] -= scale
-        top = H.T @ x
+        # gradients of scores are (x - total at the target) * scale / total; the factor goes to the narrow side of each product
+        loss, top, dH = 0.0, np.zeros_like(classes), np.empty((T * B, k), kind)
+        for lo in range(0, T * B, _ROWS):
+            part = slice(lo, lo + _ROWS)
+            x, total = self._softmax(H[part], classes)
+            hit = x[every[: len(x)], kinds[part]]
+            loss += (np.log(total) - np.log(hit + 1e-30)).sum()
+            x[every[: len(x)], kinds[part]] = hit - total
+            factor = (scale / total)[:, None]
+            top += (H[part] * factor).T @ x
+            np.multiply(x @ p["C"].T, factor, out=dH[part])
         grad = {"C": top[:k], "c": top[k]}
-        dH = x @ p["C"].T
         order = np.argsort(kinds, kind="stable")
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
         order = order[: ends[-1]]
@@ -207,10 +216,10 @@ class Gru:
             y, total = self._softmax(own_h[a:b], words[c])
             hit = y[every[: b - a], own[a:b]]
             loss += (np.log(total) - np.log(hit + 1e-30)).sum()
-            y *= (scale / total)[:, None]
-            y[every[: b - a], own[a:b]] -= scale
-            inner[c] = own_h[a:b].T @ y
-            down[a:b] = y @ p["H"][c].T
+            y[every[: b - a], own[a:b]] = hit - total
+            factor = (scale / total)[:, None]
+            inner[c] = (own_h[a:b] * factor).T @ y
+            np.multiply(y @ p["H"][c].T, factor, out=down[a:b])
         grad["H"], grad["d"] = inner[:, :k], inner[:, k]
         dH[order] += down
         dH = dH.reshape(T, B, k)
