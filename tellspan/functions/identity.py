@@ -16,8 +16,9 @@ LADDER = (
 )
 
 
-def _last(attrs: Column, key: str) -> Column:
-    return F.try_element_at(F.filter(attrs, lambda x: (x["key"] == key) & (x["type"] != 0)), F.lit(-1))
+def _first(attrs: Column, key: str) -> Column:
+    """The first entry of a key, whatever its value."""
+    return F.get(F.filter(attrs, lambda x: x["key"] == key), 0)
 
 
 def entity_key(resource: Column | str) -> Column:
@@ -29,7 +30,7 @@ def entity_key(resource: Column | str) -> Column:
     col = F.col(resource) if isinstance(resource, str) else resource
     rungs = []
     for n, (required, optional) in enumerate(LADDER, 1):
-        found = {k: _last(col, k) for k in (*required, *optional)}
+        found = {k: _first(col, k) for k in (*required, *optional)}
         text = {k: F.concat(F.lit(f"|{k}="), v["type"].cast("string"), F.lit(":"), F.coalesce(v["s"], v["i"].cast("string"), v["d"].cast("string"), v["b"].cast("string"), F.hex(v["bytes"]), v["json"], F.lit(""))) for k, v in found.items()}
         whole = F.lit(True)
         for k in required:

@@ -12,6 +12,7 @@ from ..functions.coerce import MAX, MIN
 from ..functions.identity import entity_key
 from ..plans.documents import Correlate, Search, Step
 from ..schema import text_of
+from .predicate import predicate
 from .search import matching, window
 
 MAX_TRACES, MAX_ENTITIES = 1_000, 256
@@ -24,6 +25,8 @@ class Frame:
     entities: tuple[str, ...] = ()
     traces: tuple[str, ...] = ()
     truncated: bool = False
+    matched: int | None = None
+    scanned: int | None = None
 
 
 def anchor_traces(records: DataFrame, query: Search) -> DataFrame:
@@ -42,11 +45,16 @@ def _first(found: DataFrame, key: str, most: int) -> tuple[list[str], bool]:
     return rows[:most], len(rows) > most
 
 
-def anchor(records: DataFrame, query: Search) -> Frame:
-    """The frame of a search: its own window, its first traces and entities. Limit and cursor don't matter."""
+def anchor(records: DataFrame, query: Search, stats: bool = False) -> Frame:
+    """The frame of a search: its own window, its first traces and entities. Limit and cursor don't matter.
+
+    ``stats``: with the numbers of rows that match, and that the window holds.
+    """
     traces, a = _first(anchor_traces(records, query), "trace_id", MAX_TRACES)
     entities, b = _first(anchor_entities(records, query), "entity", MAX_ENTITIES)
-    return Frame(query.start, query.end, tuple(entities), tuple(traces), a or b)
+    test = F.coalesce(window(query.start, query.end, records.columns) & predicate(query.terms, query.signal, records.columns), F.lit(False))
+    seen = records.where(window(query.start, query.end, records.columns)).agg(F.count_if(test).alias("matched"), F.count("*").alias("scanned")).first() if stats else {"matched": None, "scanned": None}
+    return Frame(query.start, query.end, tuple(entities), tuple(traces), a or b, seen["matched"], seen["scanned"])
 
 
 def trace_extent(spans: DataFrame, traces: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..plans.documents import DocumentError, Search, bounds, flag, instant, known, load, search, trace
 from ..schema import LOGS, attributes, kv
 from .alerts import rule, shown
-from .search import matching
+from .predicate import predicate
+from .search import window
 
 _LISTS = ("impact", "ruled_out", "contributing", "remediation", "verification")
 
@@ -96,15 +97,15 @@ def verify(found: WriteUp, tables: dict[str, DataFrame]) -> WriteUp:
     for signal, t in tables.items():
         own = [i for i, f in enumerate(found.evidence) if f.query.signal == signal]
         if own:
-            tests = [matching(t, found.evidence[i].query) for i in own]
-            every = tests[0].agg(F.lit(own[0]).alias("i"), F.count("*").alias("n"))
-            for i, d in zip(own[1:], tests[1:]):
-                every = every.unionByName(d.agg(F.lit(i).alias("i"), F.count("*").alias("n")))
-            counts |= {r["i"]: r["n"] for r in every.collect()}
+            cited = [found.evidence[i].query for i in own]
+            low, high = min(q.start for q in cited), max(q.end for q in cited)
+            tests = [F.coalesce(window(q.start, q.end, t.columns) & predicate(q.terms, q.signal, t.columns), F.lit(False)) for q in cited]
+            row = t.where(window(low, high, t.columns)).agg(*(F.count_if(x).alias(f"n{i}") for i, x in zip(own, tests))).first()
+            counts |= {i: row[f"n{i}"] for i in own}
     out = replace(found, evidence=tuple(replace(f, found=counts.get(i)) for i, f in enumerate(found.evidence)))
-    dead = [f"{f.claim} ({f.label}) {'could not be read' if f.found is None else 'matches no records'}" for f in out.evidence if not f.found]
+    dead = [f"{f.claim} ({f.label}) {'has no table' if f.found is None else 'is found nowhere'}" for f in out.evidence if not f.found]
     if dead:
-        raise DocumentError(f"nothing was rendered: {len(dead)} of {len(out.evidence)} citations do not hold: " + "; ".join(dead))
+        raise DocumentError(f"evidence without records, {len(dead)} of {len(out.evidence)}: " + "; ".join(dead))
     return out
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions.coerce import MAX, MIN
@@ -60,18 +61,25 @@ class Page:
     next: str | None
     matched: int | None = None
     scanned: int | None = None
+    elapsed_us: int | None = None
 
 
 def page(records: DataFrame, query: Search, stats: bool = False) -> Page:
     """Rows of a page, and the next page's cursor if this one is full (the page after an exactly full last one is empty)."""
-    rows = search(records, query).collect() if query.limit else []
+    seen = None
+    if stats:  # counted on the way, in the scan that finds the rows
+        test = F.coalesce(window(query.start, query.end, records.columns) & predicate(query.terms, query.signal, records.columns) & behind(query.after), F.lit(False))
+        seen = Observation()
+        records = records.observe(seen, F.count("*").alias("scanned"), F.count_if(test).alias("matched"))
+    began = time.monotonic_ns()
+    rows = search(records, query).collect() if query.limit else records.agg(F.count("*")).collect()[1:]
+    elapsed = (time.monotonic_ns() - began) // 1_000
     following = None
     if query.limit and len(rows) == query.limit:
         following = str(Cursor(*(rows[-1][c] for c in KEY)))
-    if not stats:
+    if seen is None:
         return Page(rows, following)
-    one = records.agg(F.count("*").alias("scanned"), F.count_if(F.coalesce(window(query.start, query.end, records.columns) & predicate(query.terms, query.signal, records.columns) & behind(query.after), F.lit(False))).alias("matched")).first()
-    return Page(rows, following, one["matched"], one["scanned"])
+    return Page(rows, following, seen.get["matched"], seen.get["scanned"], elapsed)
 
 
 def recent_first(records: DataFrame, query: Search, first_hours: int = 1) -> list[Row]:

@@ -46,13 +46,13 @@ def newest(found: DataFrame, most: int) -> DataFrame:
     """The newest ``most`` values of each series, with ``dropped_points``, the number of others in it."""
     by = Window.partitionBy("series")
     ranked = found.withColumn("rank", F.row_number().over(by.orderBy(F.desc("ts_ns"), F.desc("node"), F.desc("seq"), F.desc("row"))))
-    sized = found.groupBy("series").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped_points"))
-    return ranked.where(F.col("rank") <= most).drop("rank").join(sized, "series")
+    sized = ranked.withColumn("dropped_points", F.greatest(F.count("*").over(by) - most, F.lit(0)))
+    return sized.where(F.col("rank") <= most).drop("rank")
 
 
 def first_series(found: DataFrame, most: int) -> DataFrame:
     """The rows of the ``most`` smallest series keys."""
-    keys = found.select("series").distinct().orderBy("series").limit(most)
+    keys = found.drop("exemplars").select("series").distinct().orderBy("series").limit(most)
     return found.join(F.broadcast(keys), "series", "left_semi")
 
 

@@ -26,7 +26,9 @@ def _hops(spans: DataFrame, start: int, end: int, max_spans: int | None) -> Data
     if max_spans is not None:
         own = own.orderBy(F.desc("ts_ns"), F.desc("row")).limit(max_spans)
     own = own.select(_key().alias("entity"), _name().alias("name"), "parent_span_id", "duration_ns", (F.col("status_code") == 2).cast("long").alias("error"))
-    parents = spans.where(F.col("span_id").isNotNull()).groupBy(F.col("span_id").alias("parent_span_id")).agg(F.max_by(_key(), F.struct("node", "seq", "row")).alias("caller"))
+    # of all spans of all time, only those that a span of the window names are aggregated
+    named = own.select(F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
+    parents = spans.select("span_id", "resource", "node", "seq", "row").join(named, "span_id", "left_semi").groupBy(F.col("span_id").alias("parent_span_id")).agg(F.max_by(_key(), F.struct("node", "seq", "row")).alias("caller"))
     return own.join(parents, "parent_span_id", "left")
 
 

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from ..schema import ATTRS, LOGS, attributes, kv
 
-_EVENT = "metadata struct<uid string, name string, namespace string, creationTimestamp string>, type string, reason string, message string, eventTime string, firstTimestamp string, lastTimestamp string, count bigint, involvedObject struct<kind string, name string, namespace string, uid string>"
-_STATE = "terminated: struct<exitCode: bigint, reason: string, message: string, startedAt: string, finishedAt: string>, waiting: struct<reason: string, message: string>"
-_POD = f"metadata struct<uid string, name string, namespace string>, status struct<containerStatuses array<struct<name: string, restartCount: bigint, state: struct<{_STATE}>, lastState: struct<{_STATE}>>>>"
+_EVENT = (
+    "metadata struct<uid string, name string, namespace string, creationTimestamp string>, type string, reason string, action string, message string, eventTime string, firstTimestamp string, "
+    "lastTimestamp string, count bigint, reportingComponent string, source struct<component string, host string>, involvedObject struct<kind string, name string, namespace string, uid string>"
+)
+_ENDED = "terminated: struct<exitCode: bigint, signal: bigint, reason: string, message: string, finishedAt: string>"
+_STATUS = f"array<struct<name: string, image: string, restartCount: bigint, state: struct<waiting: struct<reason: string, message: string>>, lastState: struct<{_ENDED}>>>"
+_POD = f"metadata struct<uid string, name string, namespace string>, status struct<hostIP string, containerStatuses {_STATUS}, initContainerStatuses {_STATUS}>"
 #: Fixed reasons for which a waiting container counts as stuck.
-STUCK = ("CrashLoopBackOff", "ImagePullBackOff", "ErrImagePull", "CreateContainerConfigError", "CreateContainerError", "InvalidImageName", "RunContainerError")
+STUCK = ("CrashLoopBackOff", "ImagePullBackOff", "ErrImagePull", "CreateContainerConfigError", "CreateContainerError", "InvalidImageName", "ErrImageNeverPull")
+#: Fixed names of the attribute that names an object, by kind; other kinds have ``k8s.object.name``.
+NAME_KEYS = {k: f"k8s.{k.lower()}.name" for k in ("Pod", "Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job", "CronJob", "Node")}
 
 
 def _ns(text: Column) -> Column:
@@ -22,10 +28,26 @@ def _finish(rows: DataFrame) -> DataFrame:
     return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOGS))
 
 
+def _some(col: Column) -> Column:
+    return F.nullif(col, F.lit(""))
+
+
+def _object(kind: Column, name: Column, uid: Column, namespace: Column) -> Column:
+    """The resource of an object: namespace, kind, name under its kind's key, and a pod's uid; empty ones are left out."""
+    known = kind.isin(*NAME_KEYS)
+    names = [F.when(kind == k, kv(key, _some(name), "str")) for k, key in NAME_KEYS.items()]
+    other = F.when(F.coalesce(~known, F.lit(True)), kv("k8s.object.name", _some(name), "str"))
+    return attributes(kv("k8s.namespace.name", _some(namespace), "str"), kv("k8s.object.kind", _some(kind), "str"), *names, other, F.when(kind == "Pod", kv("k8s.pod.uid", _some(uid), "str")))
+
+
 def events(objects: DataFrame, now_ns: int, column: str = "value") -> DataFrame:
-    """A log record for each Event: warnings are 13, all else 9. Time is the last of the times that it has, in a fixed order."""
+    """A log record for each Event: warnings are 13, all else 9; its reason is the event's name.
+
+    Time is the first there is of event time, last and first time seen, and creation; an Event without any is no record.
+    A count is kept only of an Event that was repeated.
+    """
     e = objects.select(F.from_json(column, _EVENT).alias("e")).where("e is not null").select("e.*")
-    when = F.coalesce(_ns(F.col("eventTime")), _ns(F.col("lastTimestamp")), _ns(F.col("firstTimestamp")), _ns(F.col("metadata.creationTimestamp")), F.lit(now_ns))
+    when = F.coalesce(_ns(F.col("eventTime")), _ns(F.col("lastTimestamp")), _ns(F.col("firstTimestamp")), _ns(F.col("metadata.creationTimestamp")))
     warning = F.col("type") == "Warning"
     o = F.col("involvedObject")
     out = e.select(
@@ -33,32 +55,63 @@ def events(objects: DataFrame, now_ns: int, column: str = "value") -> DataFrame:
         F.lit(now_ns).alias("observed_ns"),
         F.when(warning, 13).otherwise(9).alias("severity_number"),
         F.when(warning, "WARN").otherwise("INFO").alias("severity_text"),
-        F.lit("k8s.event").alias("event_name"),
-        F.col("message").alias("body"),
-        attributes(kv("k8s.namespace.name", o["namespace"], "str"), F.when(o["kind"] == "Pod", kv("k8s.pod.uid", o["uid"], "str")), F.when(o["kind"] == "Pod", kv("k8s.pod.name", o["name"], "str"))).alias("resource"),
-        attributes(kv("k8s.event.reason", F.col("reason"), "str"), kv("k8s.event.count", F.col("count"), "int"), kv("k8s.event.uid", F.col("metadata.uid"), "str"), kv("k8s.object.kind", o["kind"], "str"), kv("k8s.object.name", o["name"], "str")).alias("attrs"),
+        _some(F.col("reason")).alias("event_name"),
+        F.coalesce("message", F.lit("")).alias("body"),
+        _object(o["kind"], o["name"], o["uid"], o["namespace"]).alias("resource"),
+        attributes(
+            kv("k8s.event.reason", _some(F.col("reason")), "str"),
+            kv("k8s.event.action", _some(F.col("action")), "str"),
+            kv("k8s.event.count", F.when(F.col("count") > 1, F.col("count").cast("string")), "str"),
+            kv("k8s.event.reporting_controller", F.coalesce(_some(F.col("reportingComponent")), F.col("source.component")), "str"),
+            kv("k8s.node.name", F.col("source.host"), "str"),
+        ).alias("attrs"),
     )
-    return _finish(out)
+    return _finish(out.where("ts_ns >= 0"))
 
 
 def pod_status(objects: DataFrame, now_ns: int, column: str = "value") -> DataFrame:
-    """A log record for each container that ended badly or is stuck, once for each such state (``token``)."""
-    p = objects.select(F.from_json(column, _POD).alias("p")).where("p is not null").select("p.metadata", F.explode("p.status.containerStatuses").alias("c"))
-    ended = F.filter(F.array(F.col("c.state.terminated"), F.col("c.lastState.terminated")), lambda t: t.isNotNull() & (t["exitCode"] != 0))
-    bad = F.transform(ended, lambda t: F.struct(F.lit("terminated").alias("what"), t["reason"].alias("reason"), F.concat(F.lit("exit code "), t["exitCode"].cast("string"), F.coalesce(F.concat(F.lit(": "), t["message"]), F.lit(""))).alias("text"), _ns(t["finishedAt"]).alias("at"), t["exitCode"].alias("code")))
-    w = F.col("c.state.waiting")
-    stuck = F.when(w["reason"].isin(*STUCK), F.array(F.struct(F.lit("waiting").alias("what"), w["reason"].alias("reason"), F.coalesce(w["message"], w["reason"]).alias("text"), F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("code"))))
-    s = p.select("metadata", "c", F.explode(F.concat(bad, F.coalesce(stuck, F.slice(bad, 1, 0)))).alias("s"))
-    token = F.concat_ws("/", "metadata.uid", "c.name", "s.what", "s.reason", F.coalesce(F.col("s.at").cast("string"), F.col("c.restartCount").cast("string")))
-    out = s.withColumn("token", token).dropDuplicates(["token"]).select(
+    """A log record for each container, init containers among them, that has ended before or is stuck, once for each such state.
+
+    How a container last ended comes before what it waits for; one that ended well is information. A state that
+    was delivered before has the same token, by pod, container and state. Stuck containers have no time of their own but ``now_ns``.
+    """
+    p = objects.select(F.from_json(column, _POD).alias("p")).where("p is not null").select("p.metadata", "p.status.hostIP", "p.status.containerStatuses", "p.status.initContainerStatuses")
+    none = F.array().cast(p.schema["containerStatuses"].dataType)
+    s = p.select("metadata", "hostIP", F.explode(F.concat(F.coalesce("containerStatuses", none), F.coalesce("initContainerStatuses", none))).alias("c"))
+    t, w = F.col("c.lastState.terminated"), F.col("c.state.waiting")
+    said = lambda x: F.coalesce(F.concat(F.lit(" — "), x["message"]), F.lit(""))
+    why = F.coalesce(t["reason"], F.lit("Terminated"))
+    signal = F.coalesce(F.concat(F.lit(", signal "), t["signal"].cast("string")), F.lit(""))
+    ended = F.struct(
+        why.alias("reason"),
+        F.when(t["exitCode"] == 0, 9).otherwise(17).alias("severity"),
+        F.concat(F.lit("container "), "c.name", F.lit(" last terminated: exit code "), t["exitCode"].cast("string"), signal, said(t)).alias("text"),
+        _ns(t["finishedAt"]).alias("at"),
+        F.concat_ws("/", "c.name", F.concat_ws(":", F.lit("last"), why, t["exitCode"].cast("string"), F.coalesce(F.floor(_ns(t["finishedAt"]) / 1_000_000_000), F.lit(0)).cast("string"))).alias("token"),
+    )
+    stuck = F.struct(
+        w["reason"].alias("reason"),
+        F.lit(17).alias("severity"),
+        F.concat(F.lit("container "), "c.name", F.lit(" is not starting: "), w["reason"], said(w)).alias("text"),
+        F.lit(None).cast("bigint").alias("at"),
+        F.concat_ws("/", "c.name", F.concat(F.lit("waiting:"), w["reason"])).alias("token"),
+    )
+    s = s.withColumn("s", F.when(t.isNotNull(), ended).when(w["reason"].isin(*STUCK), stuck)).where("s is not null")
+    out = s.withColumns({"uid": F.coalesce("metadata.uid", F.lit("")), "token": F.col("s.token")}).dropDuplicates(["uid", "token"]).select(
         F.coalesce("s.at", F.lit(now_ns)).alias("ts_ns"),
         F.lit(now_ns).alias("observed_ns"),
-        F.lit(17).alias("severity_number"),
-        F.lit("ERROR").alias("severity_text"),
-        F.concat(F.lit("k8s.container."), F.col("s.what")).alias("event_name"),
+        F.col("s.severity").alias("severity_number"),
+        F.when(F.col("s.severity") == 17, "ERROR").otherwise("INFO").alias("severity_text"),
+        _some(F.col("s.reason")).alias("event_name"),
         F.col("s.text").alias("body"),
-        attributes(kv("k8s.namespace.name", F.col("metadata.namespace"), "str"), kv("k8s.pod.uid", F.col("metadata.uid"), "str"), kv("k8s.pod.name", F.col("metadata.name"), "str"), kv("k8s.container.name", F.col("c.name"), "str")).alias("resource"),
-        attributes(kv("reason", F.col("s.reason"), "str"), kv("exit_code", F.col("s.code"), "int"), kv("restarts", F.col("c.restartCount"), "int"), kv("token", F.col("token"), "str")).alias("attrs"),
+        _object(F.lit("Pod"), F.col("metadata.name"), F.col("metadata.uid"), F.col("metadata.namespace")).alias("resource"),
+        attributes(
+            kv("k8s.container.name", F.col("c.name"), "str"),
+            kv("k8s.container.restart_count", F.coalesce("c.restartCount", F.lit(0)).cast("string"), "str"),
+            kv("k8s.event.reason", F.col("s.reason"), "str"),
+            kv("container.image.name", _some(F.col("c.image")), "str"),
+            kv("k8s.pod.host_ip", _some(F.col("hostIP")), "str"),
+        ).alias("attrs"),
     )
     return _finish(out)
 

@@ -15,13 +15,14 @@ def stamped(records: DataFrame) -> DataFrame:
 
 
 def publish(records: DataFrame, path: str, seq: int, node: int = 0, expected_ids: int = 1_000_000) -> None:
-    """Append a batch. Rows get their place in it (``row``), so that their order is total and stays.
+    """Store a batch. Rows get their place in it (``row``), so that their order is total and stays.
 
-    Trace ids get Bloom filters; rows are sorted by time, so that statistics skip row groups.
+    A batch has a folder of its own in each hour, so one that is run again takes the place of its first run. An hour that most
+    rows belong to is split over tasks. Trace ids get Bloom filters; rows are sorted by time, so that statistics skip row groups.
     """
-    out = stamped(records).repartition("p").sortWithinPartitions("ts_ns")
-    out = out.withColumns({"node": F.lit(node).cast("long"), "seq": F.lit(seq).cast("long"), "row": F.monotonically_increasing_id()})
-    writer = out.write.mode("append").partitionBy("p")
+    out = stamped(records).hint("rebalance", "p").sortWithinPartitions("p", "ts_ns")
+    out = out.withColumns({"node": F.lit(node).cast("long"), "seq": F.lit(seq).cast("long"), "row": F.monotonically_increasing_id(), "batch": F.lit(f"{node}-{seq}")})
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p", "batch")
     for c in ("trace_id", "span_id"):
         if c in records.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(expected_ids))
@@ -30,7 +31,7 @@ def publish(records: DataFrame, path: str, seq: int, node: int = 0, expected_ids
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The table under ``path``. Columns that older files lack are null."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("p", T.LongType())])).parquet(path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("p", T.LongType()), T.StructField("batch", T.StringType())])).parquet(path).drop("batch")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,8 +70,10 @@ def reclaim(spark: SparkSession, paths: list[str], free: int, total: int, least_
 def compact(spark: SparkSession, path: str, before_ns: int, most: int = 8) -> list[int]:
     """Rewrite up to ``most`` hours that ended before ``before_ns`` as one sorted zstd file set each.
 
-    A marker file says that an hour is done. The new files are written beside the old ones and swapped by rename.
+    A marker file says that an hour is done. The new files are written beside the old ones and swapped by rename; what a
+    crash between the renames leaves is set right by ``recover``, which runs first.
     """
+    recover(spark, path)
     done = []
     for h in hours(spark, path):
         if (h + 1) * HOUR_NS > before_ns or len(done) == most:
@@ -79,7 +82,8 @@ def compact(spark: SparkSession, path: str, before_ns: int, most: int = 8) -> li
         if fs.exists(marker):
             continue
         new, old = f"{path}/_compact-{h}", f"{path}/p={h}"
-        spark.read.parquet(old).repartitionByRange("ts_ns").sortWithinPartitions("ts_ns").write.mode("overwrite").option("compression", "zstd").parquet(new)
+        whole = spark.read.parquet(old).withColumn("batch", F.lit("compacted"))
+        whole.repartitionByRange("ts_ns").sortWithinPartitions("ts_ns").write.mode("overwrite").option("compression", "zstd").partitionBy("batch").parquet(new)
         path_of = spark._jvm.org.apache.hadoop.fs.Path
         aside = path_of(f"{path}/_old-{h}")
         fs.rename(path_of(old), aside)
@@ -90,6 +94,25 @@ def compact(spark: SparkSession, path: str, before_ns: int, most: int = 8) -> li
     return done
 
 
+def recover(spark: SparkSession, path: str) -> list[int]:
+    """Hours whose compaction was cut short, put back: the old files where the new ones hadn't come yet, else the old ones go."""
+    fs, root = _fs(spark, path)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    back = []
+    for n in names:
+        if n.startswith("_old-"):
+            hour = path_of(f"{path}/p={n[5:]}")
+            if fs.exists(hour):
+                fs.delete(path_of(f"{path}/{n}"), True)
+            else:
+                fs.rename(path_of(f"{path}/{n}"), hour)
+                back.append(int(n[5:]))
+        elif n.startswith("_compact-"):
+            fs.delete(path_of(f"{path}/{n}"), True)
+    return sorted(back)
+
+
 def offload(spark: SparkSession, path: str, hour: int, store: str) -> str:
     """Copy an hour to another store, through a temporary name. An hour that is there already is refused."""
     source, p = _fs(spark, f"{path}/p={hour}")

@@ -59,10 +59,15 @@ def test_cursors_steps_sizes():
 
 def test_filter_bar_both_ways():
     fields = ("severity_number", "body")
-    terms = D.filter_bar('severity_number>=17 service.name = checkout attr:body!="a b" timeout half=', fields)
-    assert terms == [D.Term("field", "severity_number", "gte", 17), D.Term("attr", "service.name", "eq", "checkout"), D.Term("attr", "body", "ne", "a b"), D.Term("field", "body", "contains", "timeout")]
+    terms = D.filter_bar('severity_number>=17 service.name=tickets attr:body!="a b" timeout half=', fields)
+    assert terms == [D.Term("field", "severity_number", "gte", 17), D.Term("attr", "service.name", "eq", "tickets"), D.Term("attr", "body", "ne", "a b"), D.Term("field", "body", "contains", "timeout")]
     with pytest.raises(D.DocumentError):
         D.filter_bar("half=", fields, strict=True)
-    assert D.bar_text(terms[:2]) == "severity_number>=17 service.name=checkout"
+    assert D.bar_text(terms[:2]) == "severity_number>=17 service.name=tickets"
     assert D.add_term(terms, terms[0])[-1] == terms[0] and len(D.add_term(terms, terms[0])) == 4
     assert [t.value for t in D.with_service(terms, "pay") if t.name == "service.name"] == ["pay"]
+
+
+def test_filter_bar_keeps_ids_as_text():
+    terms = D.filter_bar("span_id=1234567890123456 session.id=7 code=7 a = b", ("span_id", "body"))
+    assert [(t.target, t.name, t.value) for t in terms] == [("field", "span_id", "1234567890123456"), ("attr", "session.id", "7"), ("attr", "code", 7), ("field", "body", "a"), ("field", "body", "b")]

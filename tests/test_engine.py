@@ -22,7 +22,7 @@ def text_attr(k, v):
 
 @pytest.fixture(scope="module")
 def records(spark):
-    requests = [(generator.logs_request("checkout", 1_000, 10),), (generator.logs_request("payments", 2_000, 4),)]
+    requests = [(generator.logs_request("tickets", 1_000, 10),), (generator.logs_request("refunds", 2_000, 4),)]
     rows = otlp_json.logs(spark.createDataFrame(requests, "value string"), 7).withColumns({"node": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "row": F.monotonically_increasing_id()})
     return rows.persist()
 
@@ -30,16 +30,16 @@ def records(spark):
 @pytest.fixture(scope="module")
 def chain(spark):
     def span(service, sid, parent, at):
-        return {"resource": {"attributes": [text_attr("service.name", service)]}, "scopeSpans": [{"spans": [{"trace_id": "4b" * 16, "spanId": sid * 16, "parent_span_id": parent * 16 if parent else "", "name": service, "kind": "SPAN_KIND_SERVER", "startTimeUnixNano": at, "endTimeUnixNano": str(at + 500), "status": {"code": "STATUS_CODE_ERROR" if service == "db" else 0}}]}]}
+        return {"resource": {"attributes": [text_attr("service.name", service)]}, "scopeSpans": [{"spans": [{"trace_id": "7e" * 16, "spanId": sid * 16, "parent_span_id": parent * 16 if parent else "", "name": service, "kind": "SPAN_KIND_SERVER", "startTimeUnixNano": at, "endTimeUnixNano": str(at + 500), "status": {"code": "STATUS_CODE_ERROR" if service == "stock" else 0}}]}]}
 
-    doc = {"resourceSpans": [span("gateway", "1", "", 1_000), span("api", "2", "1", 1_100), span("db", "3", "2", 1_200)]}
+    doc = {"resourceSpans": [span("edge", "1", "", 1_000), span("cart", "2", "1", 1_100), span("stock", "3", "2", 1_200)]}
     return otlp_json.spans(spark.createDataFrame([(json.dumps(doc),)], "value string")).withColumns({"node": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "row": F.monotonically_increasing_id()}).persist()
 
 
 def test_otlp_json_logs(records):
     assert records.columns == [f.name for f in LOGS]
     r = records.orderBy("ts_ns").first()
-    assert (r["ts_ns"], r["severity_number"], r["body"], r["trace_id"]) == (1_000, 17, "checkout handled request 0", "ab" * 16)
+    assert (r["ts_ns"], r["severity_number"], r["body"], r["trace_id"]) == (1_000, 17, "tickets handled request 0", "ab" * 16)
     assert r["scope"][0]["s"] == "demo" and records.count() == 14
 
 
@@ -75,21 +75,21 @@ def test_otlp_protobuf(spark):
 
 def test_frame_walk_and_service_map(spark, records, chain):
     assert chain.columns == [f.name for f in SPANS]
-    q = D.Search("traces", 1_150, 1_250, (D.Term("field", "name", "eq", "db"),))
+    q = D.Search("traces", 1_150, 1_250, (D.Term("field", "name", "eq", "stock"),))
     f = frame.anchor(chain, q)
-    assert f.traces == ("4b" * 16,) and len(f.entities) == 1
+    assert f.traces == ("7e" * 16,) and len(f.entities) == 1
     wide = frame.expand(frame.expand(f, D.Step("traces"), chain), D.Step("peers"), chain)
     assert (wide.start, wide.end, len(wide.entities), wide.truncated) == (1_000, 1_700, 3, False)
     first = frame.correlate(chain, chain, D.Correlate(q, (D.Step("around", 100), D.Step("traces"))))
     second = frame.correlate(chain, chain, D.Correlate(q, (D.Step("traces"), D.Step("around", 100))))
     assert (first.start, second.start) == (1_000, 900)
     names = frame.names_of(wide, [chain])
-    assert sorted(names.values()) == ["api", "db", "gateway"] and json.loads(frame.frame_json(wide, names))["from"] == "1000"
-    edges = {(r["caller"][-7:], r["callee"][-7:]): r["errors"] for r in services.map_edges(chain, 0, 10**6).collect()}
-    assert edges[("entry", "gateway")] == 0 and len(edges) == 3
+    assert sorted(names.values()) == ["cart", "edge", "stock"] and json.loads(frame.frame_json(wide, names))["from"] == "1000"
+    edges = {(r["caller"].rpartition(":")[2], r["callee"].rpartition(":")[2]): r["errors"] for r in services.map_edges(chain, 0, 10**6).collect()}
+    assert edges[("entry", "edge")] == 0 and len(edges) == 3
     assert tuple(services.map_unresolved(chain, 0, 10**6).first()) == (3, 0)
     rows = [r.asDict() for r in chain.collect()]
-    assert [(d, r["name"]) for d, r in trace.tree_rows(rows)] == [(0, "gateway"), (1, "api"), (2, "db")]
+    assert [(d, r["name"]) for d, r in trace.tree_rows(rows)] == [(0, "edge"), (1, "cart"), (2, "stock")]
     loop = [{"span_id": "a", "parent_span_id": "b", "ts_ns": 1}, {"span_id": "b", "parent_span_id": "a", "ts_ns": 2}]
     assert [d for d, _ in trace.tree_rows(loop)] == [0, 0]
     assert trace.map_layers([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")])["c"] >= 1
@@ -98,15 +98,15 @@ def test_frame_walk_and_service_map(spark, records, chain):
 
 def test_series_of_all_kinds(spark):
     attrs = [text_attr("m", "GET")]
-    ex = [{"timeUnixNano": 8_900, "asDouble": 29.5, "traceId": "ab" * 16, "spanId": "cd" * 8}]
-    hist = {"dataPoints": [{"timeUnixNano": "9000", "count": "42", "sum": 1234.5, "bucketCounts": ["10", "20"], "explicitBounds": [1.0], "attributes": attrs, "exemplars": ex}], "aggregationTemporality": 2}
+    ex = [{"timeUnixNano": 6_400, "asDouble": 17.25, "traceId": "ab" * 16, "spanId": "cd" * 8}]
+    hist = {"dataPoints": [{"timeUnixNano": "6500", "count": "31", "sum": 808.75, "bucketCounts": ["11", "20"], "explicitBounds": [3.0], "attributes": attrs, "exemplars": ex}], "aggregationTemporality": 2}
     total = {"dataPoints": [{"timeUnixNano": str(t), "asInt": str(t), "attributes": attrs} for t in (1_000, 1_001, 5_000, 5_001)], "isMonotonic": True, "aggregationTemporality": "AGGREGATION_TEMPORALITY_CUMULATIVE"}
     doc = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "h", "unit": "ms", "histogram": hist}, {"name": "c", "sum": total}, {"name": "h.count2", "gauge": {"dataPoints": [{"timeUnixNano": 1, "asDouble": 2.0}]}}]}]}]}
     p = otlp_json.points(spark.createDataFrame([(json.dumps(doc),)], "value string")).withColumns({c: F.lit(0).cast("long") for c in ("node", "seq", "row")}).persist()
     got = {r["name"]: r for r in series.series(p, D.SeriesQuery()).collect()}
     assert set(got) == {"h.count", "h.sum", "c", "h.count2"}
-    assert got["h.count"]["points"][0]["v_int"] == 42 and got["h.sum"]["points"][0]["v_dbl"] == 1234.5
-    assert [e["d"] for e in got["h.sum"]["exemplars"]] == [29.5] == [e["d"] for e in got["h.count"]["exemplars"]]
+    assert got["h.count"]["points"][0]["v_int"] == 31 and got["h.sum"]["points"][0]["v_dbl"] == 808.75
+    assert [e["d"] for e in got["h.sum"]["exemplars"]] == [17.25] == [e["d"] for e in got["h.count"]["exemplars"]]
     one = series.series(p, D.SeriesQuery("c", max_points=2)).first()
     assert [x["ts_ns"] for x in one["points"]] == [5_000, 5_001] and one["dropped_points"] == 2 and one["monotonic"] and one["temporality"] == 2
     assert [r["name"] for r in series.series(p, D.SeriesQuery("h.sum")).collect()] == ["h.sum"]
@@ -116,7 +116,7 @@ def test_series_of_all_kinds(spark):
 
 def test_alert_rules(spark, records):
     tables = {"logs": records}
-    r = alerts.rule({"name": "x", "query": {"where": [{"attr": "service.name", "eq": "checkout"}, {"field": "severity_number", "gte": 17}]}, "of": {"where": [{"attr": "service.name", "eq": "checkout"}]}, "when": "ratio > 5%", "over": "1s"})
+    r = alerts.rule({"name": "x", "query": {"where": [{"attr": "service.name", "eq": "tickets"}, {"field": "severity_number", "gte": 17}]}, "of": {"where": [{"attr": "service.name", "eq": "tickets"}]}, "when": "ratio > 5%", "over": "1s"})
     row = alerts.measure(tables, r, 1_009).first()
     assert (row["matched"], row["total"], r.value(*row), r.breaches(*row)) == (5, 10, 0.5, True)
     assert not r.breaches(0, 0) and alerts.measure(tables, r, -5 * S).first()["total"] == 0
@@ -136,7 +136,7 @@ def test_alert_rules(spark, records):
 
 
 def test_write_ups(spark, records, chain):
-    doc = {"title": "Outage", "from": 0, "to": 90 * S, "summary": "It broke.", "root_cause": "A | bug", "timeline": [{"at": 50 * S, "what": "b"}, {"at": 1, "what": "a|b"}], "evidence": [{"claim": "errors", "query": {"where": [{"field": "severity_number", "gte": 17}]}}, {"claim": "trace", "trace_id": "4b" * 16}], "prevention": {"name": "r", "query": {}, "when": "count > 1"}}
+    doc = {"title": "Outage", "from": 0, "to": 90 * S, "summary": "It broke.", "root_cause": "A | bug", "timeline": [{"at": 50 * S, "what": "b"}, {"at": 1, "what": "a|b"}], "evidence": [{"claim": "errors", "query": {"where": [{"field": "severity_number", "gte": 17}]}}, {"claim": "trace", "trace_id": "7e" * 16}], "prevention": {"name": "r", "query": {}, "when": "count > 1"}}
     w = rca.verify(rca.write_up(json.dumps(doc), 100 * S), {"logs": records, "traces": chain})
     assert [f.found for f in w.evidence] == [7, 3] and [t[1] for t in w.timeline] == ["a|b", "b"]
     text = rca.render(w)
@@ -149,13 +149,46 @@ def test_write_ups(spark, records, chain):
         rca.write_up({**doc, "evidence": [{"claim": "x"}]}, 1)
 
 
-def test_kubernetes_sources(spark):
-    event = {"metadata": {"uid": "u", "namespace": "n", "creationTimestamp": "2024-01-01T00:00:00Z"}, "type": "Warning", "reason": "BackOff", "message": "m", "involvedObject": {"kind": "Pod", "name": "p", "uid": "pu"}}
-    r = kubernetes.events(spark.createDataFrame([(json.dumps(event),)], "value string"), 7).first()
-    assert (r["ts_ns"], r["severity_number"], r["body"]) == (1_704_067_200 * S, 13, "m")
-    pod = {"metadata": {"uid": "pu", "name": "p", "namespace": "n"}, "status": {"containerStatuses": [{"name": "c", "restartCount": 3, "state": {"waiting": {"reason": "CrashLoopBackOff"}}, "lastState": {"terminated": {"exitCode": 137, "reason": "OOMKilled", "finishedAt": "2024-01-01T00:00:01Z"}}}, {"name": "ok", "state": {}}]}}
-    got = kubernetes.pod_status(spark.createDataFrame([(json.dumps(pod),)] * 2, "value string"), 7)
-    assert sorted(r["event_name"] for r in got.collect()) == ["k8s.container.terminated", "k8s.container.waiting"]
+def _frame(spark, *docs):
+    return spark.createDataFrame([(json.dumps(d),) for d in docs], "value string")
+
+
+def _attrs(row, level="attrs"):
+    return {x["key"]: x["s"] for x in row[level]}
+
+
+def test_kubernetes_events(spark):
+    pod = {"kind": "Pod", "name": "p", "uid": "pu"}
+    event = {"metadata": {"uid": "u", "namespace": "n", "creationTimestamp": "2024-01-01T00:00:00Z"}, "type": "Warning", "reason": "BackOff", "message": "m", "involvedObject": {**pod, "namespace": "n"}, "count": 4, "action": "Pulling", "source": {"component": "kubelet", "host": "node-7"}}
+    r = kubernetes.events(_frame(spark, event), 7).first()
+    assert (r["ts_ns"], r["severity_number"], r["body"], r["event_name"]) == (1_704_067_200 * S, 13, "m", "BackOff")
+    assert _attrs(r) == {"k8s.event.reason": "BackOff", "k8s.event.action": "Pulling", "k8s.event.count": "4", "k8s.event.reporting_controller": "kubelet", "k8s.node.name": "node-7"}
+    assert _attrs(r, "resource") == {"k8s.namespace.name": "n", "k8s.object.kind": "Pod", "k8s.pod.name": "p", "k8s.pod.uid": "pu"}
+    later = {"lastTimestamp": "2024-01-01T00:00:05Z", "firstTimestamp": "2024-01-01T00:00:02Z", "count": 1, "type": "Normal", "reportingComponent": "sched", "source": {"component": "other"}, "involvedObject": {"kind": "Gateway", "name": "g"}}
+    r = kubernetes.events(_frame(spark, later), 7).first()
+    assert (r["ts_ns"], r["severity_number"], r["event_name"], r["body"]) == (1_704_067_205 * S, 9, None, "")
+    assert _attrs(r) == {"k8s.event.reporting_controller": "sched"} and _attrs(r, "resource") == {"k8s.object.kind": "Gateway", "k8s.object.name": "g"}
+    assert kubernetes.events(_frame(spark, {"reason": "timeless", "involvedObject": pod}), 7).count() == 0
+
+
+def test_kubernetes_pod_status(spark):
+    ended = lambda code, **k: {"lastState": {"terminated": {"exitCode": code, "finishedAt": "2024-01-01T00:00:01Z", **k}}}
+    waits = lambda reason: {"state": {"waiting": {"reason": reason}}}
+    containers = [
+        {"name": "killed", "restartCount": 3, "image": "i:1", **waits("CrashLoopBackOff"), **ended(137, reason="OOMKilled", signal=9)},
+        {"name": "fine", "restartCount": 1, "state": {"running": {}}, **ended(0, reason="Completed")},
+        {"name": "now", "state": {"terminated": {"exitCode": 1}}},  # not restarted yet
+        {"name": "stuck", **waits("ImagePullBackOff")},
+        {"name": "starting", **waits("ContainerCreating")},
+    ]
+    pod = {"metadata": {"uid": "pu", "name": "p", "namespace": "n"}, "status": {"hostIP": "10.0.0.1", "containerStatuses": containers, "initContainerStatuses": [{"name": "init", **ended(2)}]}}
+    got = kubernetes.pod_status(_frame(spark, pod, pod), 7)
+    rows = {_attrs(r)["k8s.container.name"]: r for r in got.collect()}
+    assert set(rows) == {"killed", "fine", "stuck", "init"} and got.count() == 4
+    assert (rows["killed"]["event_name"], rows["killed"]["severity_number"], rows["killed"]["ts_ns"]) == ("OOMKilled", 17, 1_704_067_201 * S)
+    assert "137, signal 9" in rows["killed"]["body"] and _attrs(rows["killed"])["container.image.name"] == "i:1" and _attrs(rows["killed"])["k8s.container.restart_count"] == "3"
+    assert rows["fine"]["severity_number"] == 9 and (rows["stuck"]["ts_ns"], rows["stuck"]["event_name"]) == (7, "ImagePullBackOff")
+    assert rows["init"]["event_name"] == "Terminated" and _attrs(rows["init"])["k8s.pod.host_ip"] == "10.0.0.1"
     assert kubernetes.by_resource(got).count() == 1
 
 
@@ -173,6 +206,11 @@ def test_storage(spark, tmp_path):
     assert [r["ts_ns"] for r in search.recent_first(t, newest)] == [r["ts_ns"] for r in search.search(t, newest).collect()]
     assert storage.compact(spark, path, 2 * hour) == [0, 1] and storage.compact(spark, path, 2 * hour) == []
     assert storage.read(spark, path, LOGS).count() == 3_000
+    # a crash between the two renames, and one before the last step
+    (tmp_path / "logs" / "p=0").rename(tmp_path / "logs" / "_old-0")
+    (tmp_path / "logs" / "_compact-0").mkdir()
+    assert storage.recover(spark, path) == [0] and storage.hours(spark, path) == [0, 1, 2] and not (tmp_path / "logs" / "_compact-0").exists()
+    assert storage.read(spark, path, LOGS).count() == 3_000 and storage.read(spark, path, LOGS).columns[-1] == "p"
     storage.offload(spark, path, 0, store)
     with pytest.raises(FileExistsError):
         storage.offload(spark, path, 0, store)
@@ -214,3 +252,64 @@ def test_trace_tree_of_long_chains_and_cycles(spark):
     assert [x["s"] for x in got["a", "s299"]["path"]] == [f"s{i}" for i in range(300)]
     assert [got["b", f"s{i}"]["depth"] for i in range(7)] == [None, None, None, None, 0, 0, 1]
     assert got["b", "s3"]["path"] is None and [tuple(x) for x in got["b", "s6"]["path"]] == [(1_005, "s5"), (1_006, "s6")]
+
+
+def test_a_batch_that_runs_again_takes_the_place_of_its_first_run(spark, tmp_path):
+    path, rows = str(tmp_path / "logs"), generator.load(spark, 500, 0)
+    for seq in (1, 2, 1):
+        storage.publish(rows, path, seq)
+    assert storage.read(spark, path, LOGS).groupBy("seq").count().orderBy("seq").collect() == [(1, 500), (2, 500)]
+
+
+def test_protobuf_lands_in_tables_too(spark, tmp_path):
+    import gzip
+
+    log = _field(1, 1, struct.pack("<Q", 42)) + _field(5, 2, _field(1, 2, b"hello"))
+    request = _field(1, 2, _field(2, 2, _field(2, 2, log)))
+    land, path = tmp_path / "in", str(tmp_path / "logs")
+    land.mkdir()
+    for name, data in (("a", request), ("b", gzip.compress(request)), ("c", b"\x0a\xff"), ("d", gzip.compress(bytes(5000)))):
+        (land / name).write_bytes(data)
+    q = ingest.ingest(ingest.binary_requests(spark, str(land)), "logs", path, str(tmp_path / "cp"), lambda: 7, str(tmp_path / "bad"), most_bytes=1000, once=("ts_ns", "body"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [r["body"] for r in storage.read(spark, path, LOGS).collect()] == ["hello"]
+    assert sorted(r["error"][:9] for r in spark.read.json(str(tmp_path / "bad")).collect()) == ["not a req", "too large"]
+
+
+def test_generated_spans_and_metrics(spark):
+    hops = [("edge", None), ("cart", "edge"), ("stock", "cart")]
+    rows = otlp_json.spans(spark.createDataFrame([(generator.spans_request(hops, "5a" * 16, 100),)], "value string"))
+    assert [(r["name"], r["parent_span_id"], r["duration_ns"], r["status_code"]) for r in rows.orderBy("ts_ns").collect()] == [("call edge", None, 1000, 1), ("call cart", f"{1:016x}", 900, 1), ("call stock", f"{2:016x}", 800, 2)]
+    points = otlp_json.points(spark.createDataFrame([(generator.metrics_request("s", 10, 4),)], "value string"))
+    assert {r["name"]: r["count"] for r in points.groupBy("name").count().collect()} == {"queue.depth": 4, "requests": 4, "latency": 4}
+
+
+def test_stream_figures_as_a_table(spark):
+    figures = ingest.Figures()
+    figures._add(("q", "stream.rows", 5.0), ("q", "stream.batch_ms", 2.0))
+    table = figures.table(spark).withColumns({c: F.lit(0).cast("long") for c in ("node", "seq", "row")})
+    assert {r["name"] for r in services.metric_names(table, 0, 1 << 62).collect()} == {"stream.rows", "stream.batch_ms"}
+
+
+def test_statistics_of_searches_and_frames(spark, records):
+    q = D.Search("logs", 1_000, 3_000, (D.Term("field", "severity_number", "gte", 17),), 2)
+    p = search.page(records, q, stats=True)
+    assert (len(p.rows), p.matched, p.scanned) == (2, 7, 14) and p.elapsed_us > 0 and p.next
+    f = frame.anchor(records, q, stats=True)
+    assert (f.matched, f.scanned) == (7, 14)
+
+
+def test_ticks_of_long_windows_are_counted_without_copies(spark, records):
+    r = alerts.rule({"name": "x", "query": {"where": [{"field": "severity_number", "gte": 17}]}, "of": {}, "when": "ratio > 5%", "over": "1s"})
+    from dataclasses import replace
+
+    for over, every in ((200, 10), (1_000, 100), (90, 10)):
+        long_ = replace(r, over=over)
+        got = [tuple(x) for x in alerts.ticks(records, long_, 900, 2_150, every).orderBy("at_ns").collect()]
+        at = [x["ts_ns"] for x in records.collect()]
+        bad = [x["ts_ns"] for x in records.where("severity_number >= 17").collect()]
+        want = [(t, sum(t - over <= x <= t for x in bad), sum(t - over <= x <= t for x in at)) for t in range(900, 2_151, every)]
+        assert got == want
