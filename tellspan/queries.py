@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.identity import entity_key
 from .operators import alerts, frame, search, series, services, trace
+from .operators.predicate import predicate
 from .plans import documents as D
 from .sources import adapters
 
@@ -43,11 +44,15 @@ def search_logs_text(spark, sf_dir):
 
 
 def search_logs_double(spark, sf_dir):
-    return _logs_page(spark, sf_dir, where=[{"attr": "value", "lt": 25.5}, {"attr": "k", "contains": 1}, {"field": "severity_number", "lte": "13"}], limit=10_000)
+    return _logs_page(spark, sf_dir, where=[{"attr": "value", "lt": 25.5}, {"attr": "k", "gt": 10.0}, {"field": "severity_number", "lte": "13"}], limit=10_000)
 
 
 def search_logs_never(spark, sf_dir):
-    return _logs_page(spark, sf_dir, where=[{"field": "severity_number", "eq": 9.5}])
+    """Terms that can't hold, each beside how many rows there are: a fraction against whole numbers, contains on a number, an unknown field, half a byte of an id."""
+    logs = adapters.logs(spark, sf_dir)
+    terms = (D.Term("field", "severity_number", "eq", 9.5), D.Term("field", "severity_number", "contains", "1"), D.Term("field", "no_such", "ne", 1), D.Term("field", "trace_id", "lt", "abc"), D.Term("field", "body", "eq", 5))
+    every = logs.agg(F.count("*").alias("rows"), *(F.count_if(predicate([t], "logs", logs.columns)).alias(f"n{i}") for i, t in enumerate(terms)))
+    return every.select("rows", F.expr(f"stack({len(terms)}, {', '.join(f'{i}, n{i}' for i in range(len(terms)))}) as (term, matched)"))
 
 
 _PAGE = D.Cursor(NOW - 10 * DAY, 0, 0, 5_000)
@@ -85,7 +90,7 @@ def service_map_edges(spark, sf_dir):
 
 
 def service_map_unresolved(spark, sf_dir):
-    return services.map_unresolved(adapters.convo(spark, sf_dir).where("row % 7 <> 3"), -(1 << 63), (1 << 63) - 1)
+    return services.map_unresolved(adapters.convo(spark, sf_dir), -(1 << 63), (1 << 63) - 1)
 
 
 def entities(spark, sf_dir):
@@ -150,7 +155,7 @@ def trace_extents(spark, sf_dir):
 
 
 def root_spans(spark, sf_dir):
-    return trace.root_spans(adapters.convo(spark, sf_dir).where("row % 5 <> 2")).select("trace_id", "span_id")
+    return trace.root_spans(adapters.convo(spark, sf_dir)).select("trace_id", "span_id")
 
 
 def severity_names(spark, sf_dir):
@@ -159,7 +164,7 @@ def severity_names(spark, sf_dir):
 
 def merge_pages(spark, sf_dir):
     logs = adapters.logs(spark, sf_dir)
-    return search.merge_pages([logs.where("row % 3 <> 0"), logs.where("row % 3 <> 1")], 300).select("row", "ts_ns")
+    return search.merge_pages([logs, logs], 300).select("row", "ts_ns")
 
 
 def route_slots(spark, sf_dir):
@@ -197,8 +202,8 @@ ORACLES: dict[str, str] = {
     "search_logs_tail": _page("TRUE", 100),
     "search_logs_window": _with("logs", f'{_PAGE_COLUMNS} WHERE ts_ns BETWEEN {NOW - 3 * DAY} AND {NOW - 2 * DAY} ORDER BY ts_ns DESC, "row" DESC LIMIT 10000'),
     "search_logs_text": _page("contains(body, 'click') AND service <> 'svc-3' AND severity_text = 'INFO'", 500),
-    "search_logs_double": _page("value < 25.5 AND FALSE", 10_000),
-    "search_logs_never": _page("FALSE", 100),
+    "search_logs_double": _page("value < 25.5 AND NOT isnan(value) AND k > 10 AND severity_number <= 13", 10_000),
+    "search_logs_never": _with("logs", "SELECT count(*) AS rows, t.i::INTEGER AS term, count_if(CASE t.i WHEN 0 THEN severity_number = 9.5 ELSE FALSE END)::BIGINT AS matched FROM logs, range(5) t(i) GROUP BY t.i"),
     "search_page2": _page(f'severity_number < 17 AND (ts_ns < {_PAGE.ts} OR (ts_ns = {_PAGE.ts} AND "row" < {_PAGE.row}))', 200),
     "search_docs_body": _with("docs", "SELECT \"row\", ts_ns, length(body)::BIGINT AS size FROM docs WHERE contains(body, 'the') AND toxic <> 0 AND n_chars > 500 ORDER BY ts_ns DESC LIMIT 10000"),
     "count_errors": _with("logs", f"SELECT count(*) AS matched FROM logs WHERE ts_ns BETWEEN {START} AND {NOW} AND severity_number >= 17"),
@@ -206,10 +211,11 @@ ORACLES: dict[str, str] = {
     "service_map_nodes": _with("spans", f"SELECT service AS name, count(*) AS spans, count_if(status_code = 2)::BIGINT AS errors, sum(duration_ns)::BIGINT AS total_ns, (sum(duration_ns) // count(*))::BIGINT AS mean_ns FROM spans WHERE ts_ns BETWEEN {_LO} AND {_HI} GROUP BY service"),
     "service_map_edges": _with("spans", f"""SELECT coalesce(p.service, 'entry') AS caller, c.service AS callee, count(*) AS calls, count_if(c.status_code = 2)::BIGINT AS errors, sum(c.duration_ns)::BIGINT AS total_ns, max(c.duration_ns)::BIGINT AS max_ns
       FROM spans c LEFT JOIN spans p ON c.parent_span_id = p.span_id WHERE c.ts_ns BETWEEN {_LO} AND {_HI} AND (c.parent_span_id IS NULL OR (p.span_id IS NOT NULL AND p.service <> c.service)) GROUP BY 1, 2"""),
-    "service_map_unresolved": _with("convo", ', o AS (SELECT * FROM convo WHERE "row" % 7 <> 3) SELECT count(*) AS spans, count_if(parent_span_id IS NOT NULL AND parent_span_id NOT IN (SELECT span_id FROM o))::BIGINT AS unresolved FROM o'),
+    "service_map_unresolved": _with("convo", 'SELECT count(*) AS spans, count_if(parent_span_id IS NOT NULL AND parent_span_id NOT IN (SELECT span_id FROM convo))::BIGINT AS unresolved FROM convo'),
     "entities": _with("logs", f""", e AS (SELECT {_ENTITY} AS entity, service AS name, ts_ns // 3600000000000 AS h, 0 AS i FROM logs WHERE ts_ns BETWEEN {START} AND {NOW}
       UNION ALL SELECT concat('6|service.name=1:', service), service, ts_ns // 3600000000000, 1 FROM logs WHERE ts_ns BETWEEN {START} AND {NOW}) SELECT entity, min(name) AS name, count(DISTINCT (h, i)) AS blocks FROM e GROUP BY entity"""),
-    "metric_names": "SELECT * FROM (VALUES ('event.value', '1', 'gauge'), ('event.count', '{event}', 'sum')) v(name, unit, kind)",
+    "metric_names": f"""WITH v AS (SELECT epoch_us(ts)*1000 AS ts_ns, unnest([{{'name': 'event.value', 'unit': '1', 'kind': 'gauge'}}, {{'name': 'event.count', 'unit': '{{event}}', 'kind': 'sum'}}]) AS m FROM events)
+      SELECT m.name AS name, arg_min(m.unit, ts_ns) AS unit, arg_min(m.kind, ts_ns) AS kind FROM v WHERE ts_ns BETWEEN {START} AND {NOW} GROUP BY 1""",
     "series_points": f"""WITH v AS (SELECT {_VALUE_ATTRS} AS attributes, epoch_us(ts)*1000 AS ts_ns, value AS v_dbl, event_id FROM events WHERE event_type <> 'view' AND epoch_us(ts)*1000 BETWEEN {START} AND {NOW}),
       r AS (SELECT *, row_number() OVER (PARTITION BY attributes ORDER BY ts_ns DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY attributes) AS c FROM v)
       SELECT 'event.value' AS name, attributes, ts_ns, v_dbl, greatest(c - 50, 0)::BIGINT AS dropped_points FROM r WHERE n <= 50""",
@@ -224,7 +230,7 @@ ORACLES: dict[str, str] = {
       FROM g LEFT JOIN logs ON ts_ns BETWEEN at_ns - {6 * D.HOUR} AND at_ns GROUP BY at_ns"""),
     "trace_tree": _with("convo", ', t AS (SELECT trace_id, span_id, 0 AS depth FROM convo WHERE parent_span_id IS NULL UNION ALL SELECT c.trace_id, c.span_id, depth + 1 FROM convo c JOIN t ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id) SELECT * FROM t', "RECURSIVE "),
     "trace_extents": _with("spans", "SELECT trace_id, min(ts_ns) AS start_ns, max(ts_ns + duration_ns) AS end_ns, count(*) AS spans FROM spans GROUP BY trace_id"),
-    "root_spans": _with("convo", ', o AS (SELECT * FROM convo WHERE "row" % 5 <> 2) SELECT trace_id, span_id FROM o c WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)'),
+    "root_spans": _with("convo", 'SELECT trace_id, span_id FROM convo c WHERE NOT EXISTS (SELECT 1 FROM convo p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)'),
     "severity_names": _with("logs", "SELECT severity_text AS severity, count(*) AS records FROM logs GROUP BY 1"),
     "merge_pages": _with("logs", 'SELECT "row", ts_ns FROM logs ORDER BY ts_ns DESC, "row" DESC LIMIT 300'),
     "route_slots": _with("logs", f"SELECT (('0x' || substr(md5({_ENTITY}), 1, 15))::BIGINT % 8) AS slot, count(*) AS records FROM logs GROUP BY 1"),

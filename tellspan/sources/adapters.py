@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import POINTS, attributes, kv
+from ..schema import EVENT, EXEMPLAR, KV, LINK, POINTS, attributes, kv
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,6 +117,66 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*((F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINTS))
 
 
+def _other(key: str, kind: int, **slots: Column) -> Column:
+    """An attribute of a kind that ``kv`` doesn't make."""
+    return F.struct(F.lit(key).alias("key"), F.lit(kind).cast("tinyint").alias("type"), *(slots.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in KV.fields[2:]))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as log records with attributes of every kind, at all three levels."""
+    size, brand = F.col("p_size"), F.col("p_brand")
+    return _table(spark, sf_dir, "part").select(
+        (F.lit(1_700_000_000_000_000_000) + F.col("p_partkey") * 1_000_000).alias("ts_ns"),
+        F.lit(9).alias("severity_number"),
+        F.col("p_name").alias("body"),
+        _hex(F.col("p_partkey") * 16 + 10, 16).alias("span_id"),
+        attributes(kv("service.name", F.col("p_type"), "str"), kv("tier", size % 3, "int")).alias("resource"),
+        attributes(kv("otel.scope.name", brand, "str"), kv("tier", F.lit("scope"), "str")).alias("scope"),
+        attributes(
+            kv("price", F.when(F.col("p_partkey") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")), "double"),
+            kv("size", size, "int"),
+            kv("large", size > 25, "bool"),
+            kv("label", F.when(size % 2 == 0, size.cast("string")).otherwise(F.concat(F.lit("no. "), size.cast("string"))), "str"),
+            kv("status", F.when(size % 5 == 0, F.lit("200")).otherwise(F.lit("true")), "str"),
+            _other("raw", 5, bytes=F.encode("p_brand", "utf-8")),
+            _other("list", 6, json=F.concat(F.lit("["), size.cast("string"), F.lit("]"))),
+            _other("none", 0),
+            F.when(size % 7 == 0, kv("size", size + 100, "int")),
+        ).alias("attrs"),
+        *_origin(F.col("p_partkey")),
+    )
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spans with two events and, for some, a link, each with attributes of its own."""
+    o = _table(spark, sf_dir, "orders")
+    child = lambda t, cols, attrs: F.struct(*((cols.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in t.fields if f.name != "attrs"), attrs.alias("attrs"))
+    at = _ns(F.col("o_orderdate"))
+    events = F.array(
+        child(EVENT, {"ts_ns": at + 1, "name": F.lit("priority")}, attributes(kv("level", F.substring("o_orderpriority", 1, 1).cast("bigint"), "int"))),
+        child(EVENT, {"ts_ns": at + 2, "name": F.lit("state")}, attributes(kv("state", F.col("o_orderstatus"), "str"))),
+    )
+    link = child(LINK, {"trace_id": _hex(F.col("o_custkey"), 32), "span_id": _hex(F.col("o_custkey"), 16)}, attributes(kv("customer", F.col("o_custkey"), "int")))
+    return o.select(
+        at.alias("ts_ns"), F.lit(1_000).cast("long").alias("duration_ns"), _hex(F.col("o_orderkey"), 32).alias("trace_id"), _hex(F.col("o_orderkey"), 16).alias("span_id"), F.lit("order").alias("name"),
+        events.alias("events"), F.when(F.col("o_custkey") % 4 == 0, F.array(link)).otherwise(F.array().cast(T.ArrayType(LINK))).alias("links"),
+        attributes(kv("service.name", F.lit("orders"), "str")).alias("resource"), attributes().alias("scope"), attributes(kv("level", F.lit(99), "int")).alias("attrs"), *_origin(F.col("o_orderkey")),
+    )
+
+
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as points of a histogram by priority, each with an exemplar; every third has no sum."""
+    key = F.col("o_orderkey")
+    exemplar = F.struct(*(({"ts_ns": F.col("ts_ns") - 1, "d": F.col("o_totalprice"), "span_id": _hex(key, 16)}.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in EXEMPLAR.fields))
+    o = _table(spark, sf_dir, "orders").withColumn("ts_ns", _ns(F.col("o_orderdate")))
+    out = o.select(
+        "ts_ns", F.lit("order.price").alias("name"), F.lit("EUR").alias("unit"), F.lit("histogram").alias("kind"), F.lit(2).alias("temporality"), F.lit(False).alias("monotonic"),
+        (key % 7 + 1).alias("count"), F.when(key % 3 > 0, F.col("o_totalprice")).alias("sum"), attributes(kv("priority", F.col("o_orderpriority"), "str")).alias("attrs"),
+        attributes().alias("resource"), attributes().alias("scope"), attributes().alias("metric_attrs"), F.array(exemplar).alias("exemplars"), *_origin(key),
+    )
+    return out.select(*((F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in POINTS))
+
+
 #: The views in DuckDB's dialect.
 SQL = {
     "logs": """logs AS (SELECT epoch_us(ts)*1000 AS ts_ns, CASE event_type WHEN 'error' THEN 17 WHEN 'purchase' THEN 13 ELSE 9 END AS severity_number,
@@ -129,4 +190,11 @@ SQL = {
     "convo": """convo AS (SELECT 1700000000000000000 + conv_id*1000000000 + turn*1000000 AS ts_ns, (length(text)*1000)::BIGINT AS duration_ns, lpad(lower(to_hex(conv_id)),32,'0') AS trace_id, lpad(lower(to_hex(conv_id*100+turn+1)),16,'0') AS span_id,
   CASE WHEN turn > 0 THEN lpad(lower(to_hex(conv_id*100+turn)),16,'0') END AS parent_span_id, role AS service, conv_id*100+turn AS "row" FROM conversations)""",
     "docs": """docs AS (SELECT 1700000000000000000 + doc_id*1000000 AS ts_ns, text AS body, lang, source, n_chars, quality, toxic, doc_id AS "row" FROM documents LEFT JOIN labels USING (doc_id))""",
+    "parts": """parts AS (SELECT 1700000000000000000 + p_partkey*1000000 AS ts_ns, p_name AS body, lpad(lower(to_hex(p_partkey*16+10)),16,'0') AS span_id, p_type AS service, p_size % 3 AS tier, p_brand AS scope_name,
+  CASE WHEN p_partkey % 10 = 0 THEN 'NaN'::DOUBLE ELSE p_retailprice END AS price, p_size::BIGINT AS size, p_size > 25 AS large, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE concat('no. ', p_size::VARCHAR) END AS label,
+  CASE WHEN p_size % 5 = 0 THEN '200' ELSE 'true' END AS status, CASE WHEN p_size % 7 = 0 THEN p_size + 100 END AS size2, p_partkey AS "row" FROM part)""",
+    "calls": """calls AS (SELECT epoch_us(o_orderdate)*1000 AS ts_ns, lpad(lower(to_hex(o_orderkey)),32,'0') AS trace_id, lpad(lower(to_hex(o_orderkey)),16,'0') AS span_id, substr(o_orderpriority,1,1)::BIGINT AS level, o_orderstatus AS state,
+  CASE WHEN o_custkey % 4 = 0 THEN o_custkey END AS customer, o_orderkey AS "row" FROM orders)""",
+    "prices": """prices AS (SELECT epoch_us(o_orderdate)*1000 AS ts_ns, o_orderkey % 7 + 1 AS n, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS total, o_totalprice AS price, o_orderpriority AS priority,
+  lpad(lower(to_hex(o_orderkey)),16,'0') AS span_id, o_orderkey AS "row" FROM orders)""",
 }
