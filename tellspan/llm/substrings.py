@@ -7,9 +7,10 @@ dictionary. A symbol depends on the words of its own span and on the neighbours
 looked at; inside a repeat, all symbols whose span of dependence the repeat holds are the same in
 both places.
 
-A window of words can repeat only if each such symbol in it, of a sample fixed by name, occurs in
-two documents. Windows that pass (or hold no symbol of the sample) are verified by a 64-bit hash
-of their 50 words, made apart from the symbols' names.
+Of the symbols whose dependence a window of words holds, the one with the least hashed name speaks
+for the window: the same one in every place where the window repeats. So a window can repeat only
+if its symbol speaks for windows of two documents. Windows that pass (or hold no whole symbol) are verified by 128
+bits of hashes of their words, made apart from the symbols' names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, bitmap, flat_bytes, hashed_words, marked, mix, pieces, release, utf8
 
 _RUN, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_SAMPLE = np.uint64(3)
 _BITS = 27  # of the bitmap of names that occur in two documents: 16 MB
 _SEND = 1 << 23  # names up to which a bitmap stands for them; beyond, each document meets its own
 
@@ -79,14 +79,26 @@ def symbols(words: np.ndarray, first: np.ndarray, rounds: int = 4) -> tuple[np.n
     return name, low, high
 
 
-def _sampled(words: np.ndarray, first: np.ndarray, rounds: int):
+def speakers(words: np.ndarray, first: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, text, symbol, whether there is one) of each window of ``size`` words inside a text."""
     name, low, high = symbols(words, first, rounds)
-    keep = mix(name ^ _RUN) % _SAMPLE == 0
-    return name[keep], low[keep], high[keep]
+    score = mix(name ^ _RUN)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    p = np.arange(max(0, len(words) - size + 1))
+    p = p[text[p] == text[p + size - 1]]
+    j, k = np.searchsorted(low, p, "left"), np.searchsorted(high, p + size, "right")
+    held = np.maximum(k - j, 0)
+    out, level, least = np.zeros(len(p), np.uint64), 0, score
+    while (1 << level) <= int(held.max(initial=0)):  # ``least``: of 2 ** level symbols from each on
+        now = np.flatnonzero((held >> level) == 1)
+        out[now] = np.minimum(least[j[now]], least[k[now] - (1 << level)])
+        least = np.minimum(least[: len(least) - (1 << level)], least[1 << level :])
+        level += 1
+    return p, text[p], out, held > 0
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, by doubling."""
+    """A hash of each run of ``size`` words, by doubling; other words of the same places give another."""
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
     block, width, at = words, 1, 0
@@ -103,11 +115,11 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Scratch]:
-    """(facts, starts): (doc, n_words, whole_sha256) of every row with words' digest, and (doc, starts), the sorted
+    """(facts, starts): (doc, k, n_words, whole_sha256) of every row with its text's hash and words' digest, and (doc, k, starts), the sorted
     places of the windows of ``size`` words that also start in a document with a smaller id. Both are written tables."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "repeats")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t")).withColumn("k", F.xxhash64("t"))
 
     def name(batches):
         release()
@@ -118,20 +130,16 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
                 h, _, _, first = hashed_words(data, offsets, False)
                 n.append(np.diff(first))
                 digests += [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in part.column("t").to_pylist()]
-                found, low, _ = _sampled(h, first, rounds)
-                names.append(found)
-                sizes.append(_count(low, first))
+                _, text, symbol, some = speakers(h, first, size, rounds)
+                text, symbol = text[some], symbol[some]
+                heads = np.flatnonzero(np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1])])) if len(text) else np.zeros(0, np.int64)
+                names.append(symbol[heads])
+                sizes.append(np.bincount(text[heads], minlength=part.num_rows))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)), pa.array(np.concatenate(names).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int64)), pa.array(digests), lists], ["doc", "n_words", "whole_sha256", "names"])
-
-    def _count(low, first):
-        """Symbols of each text. One that depends on its text's edge has ``low`` one before the text's first word."""
-        full = np.flatnonzero(np.diff(first) > 0)
-        at = full[np.searchsorted(first[full] - 1, low, "right") - 1] if len(low) else np.zeros(0, np.int64)
-        return np.bincount(at, minlength=len(first) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(n).astype(np.int64)), pa.array(digests), lists], ["doc", "k", "n_words", "whole_sha256", "names"])
 
-    facts = scratch.put(docs.mapInArrow(name, "doc bigint, n_words bigint, whole_sha256 string, names array<bigint>"), "facts")
-    seen = facts.where(F.col("doc").isNotNull() & (F.col("n_words") >= size)).select("doc", F.explode(F.array_distinct("names")).alias("name"))
+    facts = scratch.put(docs.mapInArrow(name, "doc bigint, k bigint, n_words bigint, whole_sha256 string, names array<bigint>"), "facts")
+    seen = facts.where(F.col("doc").isNotNull() & (F.col("n_words") >= size)).select("doc", "k", F.explode(F.array_distinct("names")).alias("name"))
     twice = seen.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name")
     twice = scratch.put(twice, "twice")
     scratch.settle()
@@ -139,49 +147,41 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
     if twice.count() <= _SEND:
         # A false bit lets a window through that is then compared like any other.
         shared = spark.sparkContext.broadcast(bitmap(twice, "name", _BITS))
-        texts = known.select("doc", "t", F.lit(None).cast("array<bigint>").alias("names"))
+        texts = known.select("doc", "t", "k", F.lit(None).cast("array<bigint>").alias("names"))
     else:
         shared = None
-        own = seen.join(twice, "name").groupBy("doc").agg(F.collect_set("name").alias("names"))
-        texts = known.join(own, "doc", "left").select("doc", "t", "names")
+        own = seen.join(twice, "name").groupBy("doc", "k").agg(F.collect_set("name").alias("names"))
+        texts = known.join(own, ["doc", "k"], "left").select("doc", "t", "k", "names")
 
     def hash_(batches):
         release()
         bits = shared.value if shared is not None else None
         for batch in batches:
-            hs, ds, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
             for part in pieces(batch, "t"):
                 data, offsets = flat_bytes(part.column("t"))
                 h, _, _, first = hashed_words(data, offsets, False)
-                n = len(h) - size + 1
-                if n <= 0:
-                    continue
-                found, low, high = _sampled(h, first, rounds)
+                p, text, symbol, some = speakers(h, first, size, rounds)
                 if bits is not None:
-                    ok = marked(bits, found)
+                    ok = marked(bits, symbol)
                 else:
-                    ok = np.zeros(len(found), bool)
-                    at = np.concatenate([[0], np.cumsum(_count(low, first))])
+                    ok, at = np.zeros(len(p), bool), np.searchsorted(text, np.arange(part.num_rows + 1))
                     for i in range(part.num_rows):
-                        held = part.column(2)[i].values
+                        held = part.column(3)[i].values
                         if held is not None and len(held):
-                            ok[at[i] : at[i + 1]] = np.isin(found[at[i] : at[i + 1]], held.to_numpy().view(np.uint64))
-                alone = np.concatenate([[0], np.cumsum(~ok)])
-                p = np.arange(n)
-                j, k = np.searchsorted(low, p, "left"), np.searchsorted(high, p + size, "right")
-                text = np.repeat(np.arange(part.num_rows), np.diff(first))
-                p = p[(text[:n] == text[size - 1 :]) & ((k <= j) | (alone[np.maximum(k, j)] == alone[j]))]
-                hs.append(windows(h, size)[p])
-                ds.append(part.column(0).to_numpy(zero_copy_only=False)[text[p]])
-                ps.append((p - first[text[p]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ps))], ["h", "doc", "p"])
-
-    found = scratch.put(texts.mapInArrow(hash_, "h bigint, doc bigint, p int"), "windows")
+                            ok[at[i] : at[i + 1]] = np.isin(symbol[at[i] : at[i + 1]], held.to_numpy().view(np.uint64))
+                ok |= ~some
+                p, text = p[ok], text[ok]
+                if len(p):
+                    a, b = windows(h, size)[p], windows(mix(h ^ _PAIR), size)[p]
+                    ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((p - first[text]).astype(np.int32))], ["h", "g", "doc", "k", "p"])
+
+    found = scratch.put(texts.mapInArrow(hash_, "h bigint, g bigint, doc bigint, k bigint, p int"), "windows")
     scratch.settle()
-    least = found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "lo")
+    least = found.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "g", "lo")
     least = scratch.put(least, "least")
     scratch.settle()
-    later = found.join(least, "h").where("doc > lo").groupBy("doc").agg(F.array_sort(F.collect_set("p")).alias("starts"))
+    later = found.join(least, ["h", "g"]).where("doc > lo").groupBy("doc", "k").agg(F.array_sort(F.collect_set("p")).alias("starts"))
     starts = scratch.put(later, "starts")
     scratch.drop("windows", "least", "twice")
     scratch.settle()
@@ -202,8 +202,8 @@ def removed(documents: DataFrame, size: int = 50, rounds: int = 4, texts: bool =
     Words covered by a window of ``size`` words that also starts in a document with a smaller id
     are removed; the rest is joined by one space. Windows are judged on the input. ``kept_text`` is
     null where nothing is removed, and everywhere without ``texts``. Null and empty texts have no words; rows without an id lose
-    nothing and nothing is removed on their account. A row for each row of ``documents``; ids are
-    taken to name one text.
+    nothing and nothing is removed on their account. A row for each row of ``documents``; rows that
+    repeat an id are judged each by its own text, and never lose words on each other's account.
     """
     facts, starts, _ = repeats(documents, size, rounds, id_col, text_col)
 
@@ -221,8 +221,8 @@ def removed(documents: DataFrame, size: int = 50, rounds: int = 4, texts: bool =
                     gone.append(int(out.sum()))
                     left.append(kept if texts else None)
                     digests.append(hashlib.sha256(kept).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()), pa.array(digests)], ["doc", "gone", "kept_text", "sha"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()), pa.array(digests)], ["doc", "k", "gone", "kept_text", "sha"])
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
-    less = docs.join(starts, "doc").select("doc", "t", "starts").mapInArrow(cut, "doc bigint, gone bigint, kept_text string, sha string").dropDuplicates(["doc"])
-    return facts.join(less, "doc", "left").select(F.col("doc").alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"), "kept_text")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t")).withColumn("k", F.xxhash64("t"))
+    less = docs.join(starts, ["doc", "k"]).select("doc", "t", "starts", "k").mapInArrow(cut, "doc bigint, k bigint, gone bigint, kept_text string, sha string").dropDuplicates(["doc", "k"])
+    return facts.join(less, ["doc", "k"], "left").select(F.col("doc").alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"), "kept_text")

@@ -74,6 +74,28 @@ def test_substrings_against_brute_force(spark):
     assert substrings.removed(frame(spark, []).limit(0)).count() == 0
 
 
+def test_substrings_where_ids_repeat_with_other_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (2, b), (5, a + " x"), (5, "y " + b), (5, "y " + b), (5, "own words"), (7, a)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.removed(frame(spark, rows)).collect())
+    assert got == [(1, 60, 0), (2, 60, 0), (5, 2, 0), (5, 61, 60), (5, 61, 60), (5, 61, 60), (7, 60, 60)]
+
+
+def test_a_window_has_the_same_speaker_wherever_it_repeats():
+    rng = np.random.default_rng(7)
+    core = rng.integers(0, 60, 90).astype(np.uint64)
+    seen = []
+    for _ in range(3):
+        w = np.concatenate([rng.integers(0, 60, 33).astype(np.uint64), core, rng.integers(0, 60, 21).astype(np.uint64)])
+        p, text, symbol, some = substrings.speakers(w, np.array([0, len(w)]), 50, 4)
+        name, low, high = substrings.symbols(w, np.array([0, len(w)]), 4)
+        for i in range(0, len(p), 7):  # by definition
+            inside = [int(substrings.mix(name[j : j + 1] ^ substrings._RUN)[0]) for j in range(len(name)) if low[j] >= p[i] and high[j] <= p[i] + 50]
+            assert bool(inside) == some[i] and (not inside or min(inside) == symbol[i])
+        seen.append(symbol[33:74].tolist())
+    assert seen[0] == seen[1] == seen[2] and some.mean() > 0.95
+
+
 def test_substrings_where_names_are_joined(spark, monkeypatch):
     rows = [r for r in corpus(9, 30) if r[0] is not None]
     a = sorted(map(tuple, substrings.removed(frame(spark, rows)).collect()), key=str)
