@@ -7,7 +7,7 @@ dictionary. A symbol depends on the words of its own span and on the neighbours
 looked at; inside a repeat, all symbols whose span of dependence the repeat holds are the same in
 both places.
 
-Of the symbols whose dependence a window of words holds, the one with the least hashed name speaks
+Of the symbols whose dependence a window of words holds, the longest (of these, the one with the least hashed name) speaks
 for the window: the same one in every place where the window repeats. So a window can repeat only
 if its symbol speaks for windows of two documents. Windows that pass (or hold no whole symbol) are verified by 128
 bits of hashes of their words, made apart from the symbols' names.
@@ -33,15 +33,15 @@ def _seed(k: int) -> np.uint64:
     return mix(np.array([k + 101], np.uint64))[0]
 
 
-def symbols(words: np.ndarray, first: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, from, to) of the symbols of many texts after so many rounds, in order.
+def symbols(words: np.ndarray, first: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, from, to, words) of the symbols of many texts after so many rounds, in order.
 
     ``first``: index of each text's first word, and the end. From and to bound the words on which
     a symbol depends; they reach out of the text where a neighbour was looked for and not there.
     """
     name = words.copy()
     n = len(name)
-    low, high = np.arange(n), np.arange(1, n + 1)
+    low, high, place = np.arange(n), np.arange(1, n + 1), np.arange(n)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     begins, ends = first[:-1] - 1, first[1:] + 1
     for r in range(rounds):
@@ -58,7 +58,7 @@ def symbols(words: np.ndarray, first: np.ndarray, rounds: int = 4) -> tuple[np.n
             heads = np.flatnonzero(np.concatenate([[True], ~same]))
             size = np.diff(np.concatenate([heads, [len(name)]]))
             name = np.where(size > 1, mix(name[heads] * _RUN + size.astype(np.uint64)), name[heads])
-            low, high, text = left[heads], right[heads + size - 1], text[heads]
+            low, high, text, place = left[heads], right[heads + size - 1], text[heads], place[heads]
             joined = text[1:] == text[:-1]
             before = np.concatenate([[False], joined])
             after = np.concatenate([joined, [False]])
@@ -75,14 +75,19 @@ def symbols(words: np.ndarray, first: np.ndarray, rounds: int = 4) -> tuple[np.n
         merged[heads] = mix(name[heads] * _PAIR + mix(name[heads + 1]) + np.uint64(r))
         stay = np.ones(len(name), bool)
         stay[heads + 1] = False
-        name, low, high, text = merged[stay], low_[stay], high_[stay], text[stay]
-    return name, low, high
+        name, low, high, text, place = merged[stay], low_[stay], high_[stay], text[stay], place[stay]
+    return name, low, high, np.diff(np.append(place, n))
+
+
+def ranked(name: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashed names that put symbols of more words first: the longest symbol is the least likely to occur elsewhere by chance."""
+    return mix(name ^ _RUN) >> np.uint64(4) | (15 - np.minimum(count, 15)).astype(np.uint64) << np.uint64(60)
 
 
 def speakers(words: np.ndarray, first: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, text, symbol, whether there is one) of each window of ``size`` words inside a text."""
-    name, low, high = symbols(words, first, rounds)
-    score = mix(name ^ _RUN)
+    name, low, high, count = symbols(words, first, rounds)
+    score = ranked(name, count)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     p = np.arange(max(0, len(words) - size + 1))
     p = p[text[p] == text[p + size - 1]]

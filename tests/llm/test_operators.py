@@ -88,9 +88,10 @@ def test_a_window_has_the_same_speaker_wherever_it_repeats():
     for _ in range(3):
         w = np.concatenate([rng.integers(0, 60, 33).astype(np.uint64), core, rng.integers(0, 60, 21).astype(np.uint64)])
         p, text, symbol, some = substrings.speakers(w, np.array([0, len(w)]), 50, 4)
-        name, low, high = substrings.symbols(w, np.array([0, len(w)]), 4)
+        name, low, high, count = substrings.symbols(w, np.array([0, len(w)]), 4)
+        score = substrings.ranked(name, count)
         for i in range(0, len(p), 7):  # by definition
-            inside = [int(substrings.mix(name[j : j + 1] ^ substrings._RUN)[0]) for j in range(len(name)) if low[j] >= p[i] and high[j] <= p[i] + 50]
+            inside = [int(score[j]) for j in range(len(name)) if low[j] >= p[i] and high[j] <= p[i] + 50]
             assert bool(inside) == some[i] and (not inside or min(inside) == symbol[i])
         seen.append(symbol[33:74].tolist())
     assert seen[0] == seen[1] == seen[2] and some.mean() > 0.95
@@ -109,7 +110,8 @@ def test_equal_strings_have_equal_interior_symbols():
     seen = []
     for _ in range(2):
         w = np.concatenate([rng.integers(0, 40, 30).astype(np.uint64), core, rng.integers(0, 40, 30).astype(np.uint64)])
-        name, low, high = substrings.symbols(w, np.array([0, len(w)]))
+        name, low, high, count = substrings.symbols(w, np.array([0, len(w)]))
+        assert count.sum() == len(w) and (count <= high - low).all()
         assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
         inside = (low >= 30) & (high <= 230)
         seen.append(list(zip(name[inside].tolist(), low[inside].tolist())))
