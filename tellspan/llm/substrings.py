@@ -9,8 +9,8 @@ both places.
 
 Of the symbols whose dependence a window of words holds, the longest (of these, the one with the least hashed name) speaks
 for the window: the same one in every place where the window repeats. So a window can repeat only
-if its symbol speaks for windows of two documents. Windows that pass (or hold no whole symbol) are verified by 128
-bits of hashes of their words, made apart from the symbols' names.
+if its symbol speaks for windows of two documents. Windows that pass (or hold no whole symbol) are verified by a
+64-bit hash of their words, made apart from the symbols' names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import Scratch, bitmap, flat_bytes, hashed_words, marked, mix, piec
 
 _RUN, _PAIR = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _BITS = 27  # of the bitmap of names that occur in two documents: 16 MB
+_SEND_IDS = 400_000  # ids that may be broadcast
 _SEND = 1 << 23  # names up to which a bitmap stands for them; beyond, each document meets its own
 
 
@@ -103,7 +104,7 @@ def speakers(words: np.ndarray, first: np.ndarray, size: int, rounds: int) -> tu
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` words, by doubling; other words of the same places give another."""
+    """A hash of each run of ``size`` words, by doubling."""
     n = len(words) - size + 1
     out = np.zeros(n, np.uint64)
     block, width, at = words, 1, 0
@@ -120,7 +121,7 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Scratch]:
-    """(facts, starts): (doc, k, n_words, whole_sha256) of every row with its text's hash and words' digest, and (doc, k, starts), the sorted
+    """(facts, starts): (doc, k, n_words, whole_sha256) of every row with its words' digest and, where ids repeat, its text's hash (else 0), and (doc, k, starts), the sorted
     places of the windows of ``size`` words that also start in a document with a smaller id. Both are written tables."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "repeats")
@@ -148,14 +149,17 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
     twice = seen.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name")
     twice = scratch.put(twice, "twice")
     scratch.settle()
-    known = docs.where(F.col("doc").isNotNull())
+    again = scratch.put(facts.where(F.col("doc").isNotNull()).groupBy(F.col("doc").alias("twin")).agg(F.count("*").alias("c")).where("c > 1").select("twin"), "again")
+    again = F.broadcast(again) if again.count() <= _SEND_IDS else again
+    own_text = lambda df: df.join(again, F.col("doc") == F.col("twin"), "left").withColumn("k", F.when(F.col("twin").isNotNull(), F.col("k")).otherwise(F.lit(0))).drop("twin")
+    known = own_text(docs.where(F.col("doc").isNotNull()))
     if twice.count() <= _SEND:
         # A false bit lets a window through that is then compared like any other.
         shared = spark.sparkContext.broadcast(bitmap(twice, "name", _BITS))
         texts = known.select("doc", "t", "k", F.lit(None).cast("array<bigint>").alias("names"))
     else:
         shared = None
-        own = seen.join(twice, "name").groupBy("doc", "k").agg(F.collect_set("name").alias("names"))
+        own = own_text(seen).join(twice, "name").groupBy("doc", "k").agg(F.collect_set("name").alias("names"))
         texts = known.join(own, ["doc", "k"], "left").select("doc", "t", "k", "names")
 
     def hash_(batches):
@@ -177,20 +181,19 @@ def repeats(documents: DataFrame, size: int = 50, rounds: int = 4, id_col: str =
                 ok |= ~some
                 p, text = p[ok], text[ok]
                 if len(p):
-                    a, b = windows(h, size)[p], windows(mix(h ^ _PAIR), size)[p]
                     ids, keys = (part.column(c).to_numpy(zero_copy_only=False)[text] for c in (0, 2))
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((p - first[text]).astype(np.int32))], ["h", "g", "doc", "k", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(windows(h, size)[p].view(np.int64)), pa.array(ids), pa.array(keys), pa.array((p - first[text]).astype(np.int32))], ["h", "doc", "k", "p"])
 
-    found = scratch.put(texts.mapInArrow(hash_, "h bigint, g bigint, doc bigint, k bigint, p int"), "windows")
+    found = scratch.put(texts.mapInArrow(hash_, "h bigint, doc bigint, k bigint, p int"), "windows")
     scratch.settle()
-    least = found.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "g", "lo")
+    least = found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h", "lo")
     least = scratch.put(least, "least")
     scratch.settle()
-    later = found.join(least, ["h", "g"]).where("doc > lo").groupBy("doc", "k").agg(F.array_sort(F.collect_set("p")).alias("starts"))
+    later = found.join(least, "h").where("doc > lo").groupBy("doc", "k").agg(F.array_sort(F.collect_set("p")).alias("starts"))
     starts = scratch.put(later, "starts")
     scratch.drop("windows", "least", "twice")
     scratch.settle()
-    return facts.drop("names"), starts, scratch
+    return own_text(facts.drop("names")), starts, scratch
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -228,6 +231,6 @@ def removed(documents: DataFrame, size: int = 50, rounds: int = 4, texts: bool =
                     digests.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(gone, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()), pa.array(digests)], ["doc", "k", "gone", "kept_text", "sha"])
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t")).withColumn("k", F.xxhash64("t"))
-    less = docs.join(starts, ["doc", "k"]).select("doc", "t", "starts", "k").mapInArrow(cut, "doc bigint, k bigint, gone bigint, kept_text string, sha string").dropDuplicates(["doc", "k"])
+    docs = documents.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
+    less = docs.join(starts, "doc").where((F.col("k") == 0) | (F.col("k") == F.xxhash64("t"))).select("doc", "t", "starts", "k").mapInArrow(cut, "doc bigint, k bigint, gone bigint, kept_text string, sha string").dropDuplicates(["doc", "k"])
     return facts.join(less, ["doc", "k"], "left").select(F.col("doc").alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "whole_sha256").alias("kept_sha256"), "kept_text")
