@@ -74,35 +74,37 @@ def side_for(tokens: int) -> int:
 
 
 class Vocabulary:
-    """Ids of frequent words, and what the corpus counts say about all others."""
+    """Ids of frequent words, and what the corpus counts say about all others.
 
-    def __init__(self, head: np.ndarray, big: np.ndarray, big_counts: np.ndarray, tail_total: np.ndarray, tail_kinds: np.ndarray, tokens: int, distinct: int, ends: int):
-        self.head = np.sort(head)
-        self.id_of = np.empty(len(head), np.int64)  # frequency rank of each head word, in the order of hashes
-        self.id_of[:] = np.argsort(head)
-        self.big, self.big_log = big, np.log10(big_counts + 1.0)
-        self.tail_log = np.log10(tail_total + tail_kinds + 1.0)
+    ``words`` and ``counts``: the words whose counts go to every task, by falling count; the first ones have ids of their own.
+    """
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tail_total: np.ndarray, tail_kinds: np.ndarray, tokens: int, distinct: int, ends: int):
         self.tokens, self.distinct, self.ends = tokens, distinct, ends
         self.side = side_for(tokens)
         self.size = self.side**2
         self.end = self.size + TAIL
-
-    def look(self, h: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Id of each word: frequency rank, or size + class."""
-        out = kinds + self.size
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-            ok = self.head[at] == h
-            out[ok] = self.id_of[at[ok]]
-        return out
-
-    def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10(count + 1), whether it is known here)."""
-        if not len(self.big):
-            return np.zeros(len(h)), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.big, h), len(self.big) - 1)
-        ok = self.big[at] == h
-        return np.where(ok, self.big_log[at], 0.0), ok
+        order = np.argsort(words)
+        self.known = len(words)
+        # one more entry stands for all words that aren't here
+        self.words = np.append(words[order], np.uint64(2**64 - 1))
+        self.ids = np.append(np.where(order < self.size, order, -1), -1)
+        self.logs = np.append(np.log10(counts[order] + 1.0), 0.0)
+        self.tail_log = np.log10(tail_total + tail_kinds + 1.0)
+        # hashes are evenly spread, so their first bits say nearly where they stand
+        bits = max(1, len(words).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.heads = np.searchsorted(self.words[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word, ``known`` if it isn't here."""
+        at = self.heads[(h >> self.shift).astype(np.int64)]
+        late = np.flatnonzero(self.words[at] < h)
+        while len(late):
+            at[late] += 1
+            late = late[self.words[at[late]] < h[late]]
+        at[self.words[at] != h] = self.known
+        return at
 
 
 def class_of(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
@@ -283,10 +285,11 @@ class Gru:
         """Sum of natural logs for each text; ``ends``: where each one's ids (its end included) stop.
 
         Texts are dealt to lanes, longest first, and follow each other there; a new text starts from the zero state.
+        States of ``window`` full steps are compared with their words at once.
         """
         starts = np.concatenate([[0], ends[:-1]])
         sizes = ends - starts
-        lanes = max(1, min(lanes, len(sizes)))
+        most, lanes = window * lanes, max(1, min(lanes, len(sizes)))
         load = [(0, i) for i in range(lanes)]
         rows: list[list[int]] = [[] for _ in range(lanes)]
         for d in np.argsort(-sizes, kind="stable").tolist():
@@ -304,53 +307,78 @@ class Gru:
         out = np.zeros(len(ids), np.float32)
         h = np.zeros((lanes, self.hidden), np.float32)
         last = np.full(lanes, self.end)
-        live = lanes
         by_load = np.argsort([-n for n, _ in sorted(load, key=lambda x: x[1])], kind="stable")  # longest lanes first
         place = place[:, by_load]
-        for lo in range(0, steps, window):
-            block = place[lo : lo + window]
-            live = max(1, int((block[0] >= 0).sum()))
-            block, h, last = block[:, :live], h[:live], last[:live]
-            target = np.where(block >= 0, ids[block], self.end)
-            states = np.empty((len(block), live, self.hidden), np.float32)
-            for t in range(len(block)):
-                fresh = last == self.end
-                if fresh.any():
-                    h = h * ~fresh[:, None]
-                h = self.step(table[last], h)[0]
-                states[t] = h
-                last = target[t]
-            keep = block.ravel() >= 0
-            out[block.ravel()[keep]] = self.log_likelihood(states.reshape(-1, self.hidden)[keep], target.ravel()[keep])
+        states, wanted, held = np.empty((most + lanes, self.hidden), np.float32), np.empty(most + lanes, np.int64), 0
+
+        def settle():  # where few lanes are left, a step gives few rows: they are kept until there are many
+            at = wanted[:held]
+            out[at] = self.log_likelihood(states[:held], ids[at])
+
+        counts = (place >= 0).sum(1)  # lanes that are live at each step: the first ones
+        for step, live in enumerate(counts.tolist()):
+            h, last, at = h[:live], last[:live], place[step, :live]
+            fresh = last == self.end
+            if fresh.any():
+                h = h * ~fresh[:, None]
+            h = self.step(table[last], h)[0]
+            states[held : held + live], wanted[held : held + live] = h, at
+            held += live
+            last = ids[at]
+            if held >= most:
+                settle()
+                held = 0
+        if held:
+            settle()
         return np.add.reduceat(out.astype(np.float64), starts) if len(starts) else np.zeros(0)
 
 
-def _ids(part: pa.RecordBatch, vocabulary: Vocabulary):
-    """(ids with ends, where each text stops, hashes, index of each text's first word)."""
-    data, offsets = flat_bytes(part.column("t"))
-    h, s, e, first = hashed_words(data, offsets, True)
-    ids = vocabulary.look(h, _first_letters(data, s, e))
-    n = part.num_rows
-    out = np.full(len(ids) + n, vocabulary.end, np.int64)
-    text = np.repeat(np.arange(n), np.diff(first))
-    out[np.arange(len(ids)) + text] = ids
-    return out, first[1:] + np.arange(1, n + 1), h, first
-
+def numbered(docs: DataFrame, vocabulary, doc_type: str) -> DataFrame:
+    """(row, key, doc, held, n, known, base, extra, ids, rare): the rows (key, doc, held, t) as ids with an end, n of them.
 
-def lessons(rows: DataFrame, vocabulary) -> DataFrame:
-    """(part, key, ids): the rows (part, key, t) as ids."""
+    ``base`` sums log10(count + 1) of words whose counts are here, ``known`` counts them, and ``rare`` has the hashes of all others;
+    ``extra`` sums the shares of words without an id in their classes. ``row`` names a row once the table is written, as ids may repeat or be null.
+    """
 
     def run(batches):
         release()
-        kind = np.uint16 if vocabulary.value.end < 1 << 16 else np.uint32
+        own = vocabulary.value
+        kind = np.dtype(np.uint16 if own.end < 1 << 16 else np.uint32)
+        end_log = np.log10(own.ends + 1.0)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch, "t"):
-                ids, stops, _, _ = _ids(part, vocabulary.value)
-                edges = np.concatenate([[0], stops]) * np.dtype(kind).itemsize
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("key"), data], ["part", "key", "ids"])
-
-    return rows.select("part", "key", "t").mapInArrow(run, "part int, key bigint, ids binary")
+                rows = part.num_rows
+                data, offsets = flat_bytes(part.column("t"))
+                h, s, e, first = hashed_words(data, offsets, True)
+                at = own.find(h)
+                known, logs, words = at < own.known, own.logs[at], own.ids[at]
+                tail = np.flatnonzero(words < 0)
+                kinds = _first_letters(data, s[tail], e[tail])
+                words[tail] = kinds + own.size
+                extra = np.zeros(len(h))
+                extra[tail] = logs[tail] - own.tail_log[kinds]
+                ids = np.full(len(words) + rows, own.end, kind)
+                ids[np.arange(len(words)) + np.repeat(np.arange(rows), np.diff(first))] = words
+                edges = (first + np.arange(rows + 1)) * kind.itemsize
+                add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
+                lists = np.concatenate([[0], np.cumsum(~known)])[first]
+                columns = {
+                    "row": pa.array(row + np.arange(rows)),
+                    "key": part.column("key"),
+                    "doc": part.column("doc"),
+                    "held": part.column("held"),
+                    "n": pa.array(np.diff(first) + 1),
+                    "known": pa.array(add(known.astype(np.int64)) + int(own.ends > 0)),
+                    "base": pa.array(add(logs).astype(np.float64) + end_log),
+                    "extra": pa.array(add(extra).astype(np.float64)),
+                    "ids": pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    "rare": pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(h[~known].view(np.int64))),
+                }
+                row += rows
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return docs.select("key", "doc", "held", "t").mapInArrow(run, f"row bigint, key bigint, doc {doc_type}, held boolean, n bigint, known bigint, base double, extra double, ids binary, rare array<bigint>")
 
 
 def _summed(trained: DataFrame, into: int) -> DataFrame:
@@ -375,19 +403,18 @@ def _summed(trained: DataFrame, into: int) -> DataFrame:
 
 
 def train(rows: DataFrame, vocabulary, rounds: int = 2, merge: int = 16, part_tokens: int = 1 << 21, scratch: Scratch | None = None) -> Gru:
-    """Weights learnt from all ``rows`` (doc, t) in one pass: each row belongs to one part of one round by its hash. A part learns from its
-    rows in the order of their hashes, and at the end of a round weights are averaged by tokens. Parts hold about ``part_tokens``
+    """Weights learnt from all ``rows`` (key, ids) in one pass: each row belongs to one part of one round by its key, a hash. A part learns from its
+    rows in the order of their keys, and at the end of a round weights are averaged by tokens. Parts hold about ``part_tokens``
     tokens, so their number grows with the corpus, and a small corpus is one part that all rounds read; nothing depends on how the
     rows lie. ``merge``: tasks that add weights up before one does; the driver gets one sum."""
     side = vocabulary.value.side
     model = Gru(side=side)
     spark = rows.sparkSession
     parts = round(vocabulary.value.tokens / part_tokens / rounds)
-    key = F.xxhash64("doc", "t")
-    keyed = rows.select("t", key.alias("key"), F.pmod(key, F.lit(max(1, parts * rounds))).cast("int").alias("part"))
+    keyed = rows.select("key", "ids", F.pmod("key", F.lit(max(1, parts * rounds))).cast("int").alias("part"))
     kind = np.uint16 if vocabulary.value.end < 1 << 16 else np.uint32
     for r in range(rounds):
-        given = lessons(keyed.where(F.col("part") % rounds == r) if parts else keyed, vocabulary)
+        given = keyed.where(F.col("part") % rounds == r) if parts else keyed
         shared = spark.sparkContext.broadcast(model.p)
 
         def learn(table):
@@ -439,63 +466,43 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "gru")
-    docs = documents.select(F.col(id_col).alias("doc"), held_out.alias("held"), utf8(text_col).alias("t"))
+    docs = documents.select(F.col(id_col).alias("doc"), held_out.alias("held"), utf8(text_col).alias("t")).withColumn("key", F.xxhash64("doc", "t"))
     counts = scratch.put(count_words(docs.where("not held")), "counts")
     scratch.settle()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     size = side_for(int(total["n"] or 0)) ** 2
     top_h, top_c = _frequent(counts, max(_BIG, 2 * size))
-    head = top_h[:size].view(np.uint64)
-    order = np.argsort(top_h.view(np.uint64))
     in_head = spark.createDataFrame(pa.table({"h": pa.array(top_h[:size])}))
     tails = counts.where("k >= 0").join(F.broadcast(in_head), "h", "left_anti").groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     tail_total, tail_kinds = np.zeros(TAIL), np.zeros(TAIL)
     for r in tails:
         tail_total[r["k"]], tail_kinds[r["k"]] = r["c"], r["v"]
     ends = counts.where("k < 0").first()
-    vocabulary = Vocabulary(head, top_h.view(np.uint64)[order], top_c[order], tail_total, tail_kinds, int(total["n"] or 0), int(total["v"]), int(ends["c"]) if ends else 0)
+    vocabulary = Vocabulary(top_h.view(np.uint64), top_c, tail_total, tail_kinds, int(total["n"] or 0), int(total["v"]), int(ends["c"]) if ends else 0)
     shared = spark.sparkContext.broadcast(vocabulary)
-    model = spark.sparkContext.broadcast(train(docs.where("not held").select("doc", "t"), shared, scratch=scratch).p)
+    kind = documents.schema[id_col].dataType.simpleString()
+    part = scratch.put(numbered(docs, shared, kind), "ids")
+    scratch.settle()
+    model = spark.sparkContext.broadcast(train(part.where("not held"), shared, scratch=scratch).p)
 
     def run(batches):
         release()
-        own = shared.value
-        net = Gru(side=own.side)
+        net = Gru(side=shared.value.side)
         net.p = model.value
-        end_log = np.log10(own.ends + 1.0)
-        place, done = TaskContext.get().partitionId() << 40, 0
+        size = 2 if net.end < 1 << 16 else 4
         for batch in batches:
-            got = [_ids(part, own) for part in pieces(batch, "t")]
-            shift = np.cumsum([0] + [len(g[0]) for g in got])
-            ids = np.concatenate([g[0] for g in got])
-            stops = np.concatenate([g[1] + s for g, s in zip(got, shift)])
-            neural = net.score(ids, stops) / np.log(10)
-            n, known, base, extra, rare, rare_n = [], [], [], [], [], []
-            for flat, _, h, first in got:
-                logs, ok = own.counts(h)
-                words = flat[flat != own.end]
-                tail = words >= own.size
-                log_tail = np.where(tail, logs - own.tail_log[np.maximum(words - own.size, 0)], 0.0)
-                add = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[first])
-                n.append(np.diff(first) + 1)
-                known.append(add(ok) + (own.ends > 0))
-                base.append(add(logs) + end_log)
-                extra.append(add(log_tail))
-                rare.append(h[~ok])
-                rare_n.append(add(~ok))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(rare_n))]).astype(np.int32)), pa.array(np.concatenate(rare).view(np.int64)))
-            columns = [np.concatenate(n).astype(np.int64), np.concatenate(known).astype(np.int64), np.concatenate(base), neural + np.concatenate(extra)]
-            rows = place + done + np.arange(batch.num_rows)
-            done += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), *map(pa.array, columns), lists], ["row", "doc", "held", "n", "known", "base", "score", "rare"])
-
-    # ``row`` names a row of this written table, since ids may repeat or be null
-    kind = documents.schema[id_col].dataType.simpleString()
-    part = scratch.put(docs.mapInArrow(run, f"row bigint, doc {kind}, held boolean, n bigint, known bigint, base double, score double, rare array<bigint>"), "part")
+            data, edges = flat_bytes(batch.column("ids"))
+            if len(edges) > 1:
+                neural = net.score(data.view(f"u{size}").astype(np.int64), edges[1:] // size) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(neural)], [*own, "neural"])
+
+    own = ["row", "doc", "held", "n", "known", "base", "extra"]
+    taken = part.select(*own, "ids")
+    scored = scratch.put(taken.mapInArrow(run, f"row bigint, doc {kind}, held boolean, n bigint, known bigint, base double, extra double, neural double"), "scored")
     scratch.settle()
     words = part.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("m"))
     rest = words.join(counts.select("h", "c"), "h").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("m").alias("seen"))
-    out = part.drop("rare").join(rest, "row", "left")
+    out = scored.join(rest, "row", "left")
     n_all, v_all = vocabulary.tokens, vocabulary.distinct
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
@@ -505,5 +512,5 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n") * F.lit(float(np.log10(n_all + v_all + 1.0)))).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("neural") + F.col("extra") + more).alias("score"),
     )
