@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Row
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import MAX, MIN
@@ -82,6 +82,28 @@ def page(records: DataFrame, query: Search, stats: bool = False) -> Page:
     return Page(rows, following, seen.get["matched"], seen.get["scanned"], elapsed)
 
 
+def pages(records: DataFrame, query: Search) -> DataFrame:
+    """Every page from the cursor on, as ``page`` tells them one after the other: (page, rows, matched, scanned, next).
+
+    Matches get their places at once: minutes are counted, then rows are numbered inside them. What is read doesn't grow with the number of pages.
+    """
+    test = F.coalesce(window(query.start, query.end, records.columns) & predicate(query.terms, query.signal, records.columns) & behind(query.after), F.lit(False))
+    minute = F.expr("ts_ns - pmod(ts_ns, 60000000000L)")
+    sizes = records.groupBy(minute.alias("minute")).agg(F.count("*").alias("scanned"), F.count_if(test).alias("n"))
+    whole = sizes.agg(F.coalesce(F.sum("scanned"), F.lit(0)).alias("scanned"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    if not query.limit:
+        return whole.select(F.lit(0).alias("page"), F.lit(0).alias("rows"), F.col("n").alias("matched"), "scanned", F.lit(None).cast("string").alias("next"))
+    newer = F.sum("n").over(Window.orderBy(F.desc("minute")).rowsBetween(Window.unboundedPreceding, -1))  # a row for each minute
+    before = sizes.where("n > 0").select("minute", F.coalesce(newer, F.lit(0)).alias("before"))
+    found = records.where(test).select(*KEY, minute.alias("minute"))
+    placed = found.withColumn("i", F.row_number().over(Window.partitionBy("minute").orderBy(*(F.desc(c) for c in KEY)))).join(before, "minute")
+    place = F.col("before") + F.col("i")
+    last = placed.where(place % query.limit == 0).select((place / query.limit - 1).cast("long").alias("page"), F.concat_ws(".", *KEY).alias("next"))
+    every = whole.select("scanned", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / query.limit).cast("long"))).alias("page"))
+    left = F.col("n") - F.col("page") * query.limit
+    return every.join(last, "page", "left").select(F.col("page").cast("int").alias("page"), F.least(left, F.lit(query.limit)).cast("int").alias("rows"), left.alias("matched"), "scanned", "next")
+
+
 def recent_first(records: DataFrame, query: Search, first_hours: int = 1) -> list[Row]:
     """A page of an hour-partitioned table, reading the newest hours first and twice as many each time until it is full."""
     if "p" not in records.columns:

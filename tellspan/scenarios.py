@@ -152,14 +152,8 @@ def filter_bar_search(spark, sf_dir):
 
 def search_pages(spark, sf_dir):
     """Page after page until none follows: rows of each, matches behind its cursor, rows scanned, and the next cursor."""
-    logs = adapters.logs(spark, sf_dir)
-    q, out = D.search({"where": [{"field": "severity_number", "gte": 17}], "from": START, "to": NOW, "limit": 700}, NOW), []
-    while True:
-        p = search.page(logs, q, stats=True)
-        out.append((len(out), len(p.rows), p.matched, p.scanned, p.next))
-        if p.next is None:
-            return spark.createDataFrame(out, "page int, rows int, matched long, scanned long, next string")
-        q = replace(q, after=D.Cursor.parse(p.next))
+    q = D.search({"where": [{"field": "severity_number", "gte": 17}], "from": START, "to": NOW, "limit": 700}, NOW)
+    return search.pages(adapters.logs(spark, sf_dir), q)
 
 
 def attributes_rendered(spark, sf_dir):
