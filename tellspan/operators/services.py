@@ -32,6 +32,12 @@ def _hops(spans: DataFrame, start: int, end: int, max_spans: int | None) -> Data
     return own.join(parents, "parent_span_id", "left")
 
 
+def _total(c: str) -> Column:
+    """An exact sum of longs, which may need more than 64 bits; halves are added apart."""
+    high, low = F.sum(F.shiftright(c, 32)).cast("decimal(20,0)"), F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))).cast("decimal(20,0)")
+    return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(38,0)")
+
+
 def map_nodes(spans: DataFrame, start: int, end: int, max_spans: int | None = None) -> DataFrame:
     """Of each entity: spans, errors and time. Resources without identity are one node, ``0``."""
     own = spans.where(window(start, end, spans.columns))
@@ -42,10 +48,10 @@ def map_nodes(spans: DataFrame, start: int, end: int, max_spans: int | None = No
 
 
 def map_edges(spans: DataFrame, start: int, end: int, max_spans: int | None = None) -> DataFrame:
-    """Of each pair of different entities: calls, errors, total and longest time. A span without a parent is called by ``entry``."""
+    """Of each pair of different entities: calls, errors, total (a decimal) and longest time. A span without a parent is called by ``entry``."""
     hops = _hops(spans, start, end, max_spans).withColumn("caller", F.when(F.col("parent_span_id").isNull(), ENTRY).otherwise(F.col("caller")))
     calls = hops.where("caller is not null and caller <> entity")
-    return calls.groupBy("caller", F.col("entity").alias("callee")).agg(F.count("*").alias("calls"), F.sum(F.coalesce("error", F.lit(0))).alias("errors"), F.sum("duration_ns").alias("total_ns"), F.max("duration_ns").alias("max_ns"))
+    return calls.groupBy("caller", F.col("entity").alias("callee")).agg(F.count("*").alias("calls"), F.sum(F.coalesce("error", F.lit(0))).alias("errors"), _total("duration_ns").alias("total_ns"), F.max("duration_ns").alias("max_ns"))
 
 
 def map_unresolved(spans: DataFrame, start: int, end: int, max_spans: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 from tellspan import queries, scenarios
-from tellspan.operators import search
+from tellspan.operators import search, services
 from tellspan.plans import documents as D
 from tellspan.queries import DAY, NOW
 from tellspan.sources import adapters
@@ -57,3 +57,35 @@ def test_all_pages_in_few_jobs(spark, make):
         after = p.next and D.Cursor.parse(p.next)
     assert walked == want and len(want) > 2
     assert [tuple(r) for r in search.pages(logs.limit(0), q).collect()] == [(0, 0, 0, 0, None)]
+
+
+@pytest.fixture(scope="module")
+def orders(make):
+    """Orders of one segment and priority, with few lines."""
+    n = 150_300
+    return make(
+        orders=f"SELECT i AS o_orderkey, i % 9 AS o_custkey, CASE WHEN i % 5 = 0 THEN 'P' ELSE 'F' END AS o_orderstatus, 10.5 + i AS o_totalprice, make_timestamp(800000000000000 + i * 1000000) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range({n}) t(i)",
+        customer="SELECT i AS c_custkey, 'SHOP' AS c_mktsegment FROM range(9) t(i)",
+        lineitem="SELECT i AS l_orderkey, i AS l_partkey, i % 4 AS l_suppkey, 1 AS l_linenumber, 5.0 + i AS l_quantity, 1.5 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, make_timestamp(800000000000000 + i * 1000000) AS l_shipdate FROM range(90) t(i)",
+        supplier="SELECT i AS s_suppkey, (i % 2)::INTEGER AS s_nationkey FROM range(4) t(i)",
+        nation="SELECT i::INTEGER AS n_nationkey, concat('N', i) AS n_name FROM range(2) t(i)",
+    )
+
+
+def _wide(name):
+    """The SQL of a service map with totals that may need more than 64 bits, which it can't cast to BIGINT."""
+    total = "sum(duration_ns)" if name == "service_map_nodes" else "sum(c.duration_ns)"
+    cast = f"{total}::BIGINT AS total_ns"
+    assert cast in _SQL[name]
+    return _SQL[name].replace(cast, f"{total}::DECIMAL(38,0) AS total_ns")
+
+
+@pytest.mark.parametrize("name", ["service_map_edges"])
+def test_totals_beyond_64_bits(spark, orders, name):
+    got = _same(spark, orders, name, _wide(name))
+    assert any(str(150_300 * 86_400_000_000_000) in r for r in got)
+
+
+def test_totals_are_exact_whatever_their_sign(spark):
+    df = spark.createDataFrame([(1, v) for v in ((1 << 63) - 1, (1 << 63) - 1, -(1 << 63), 7)] + [(2, -5), (2, None), (3, None)], "k int, d long")
+    assert {r["k"]: r["t"] for r in df.groupBy("k").agg(services._total("d").alias("t")).collect()} == {1: (1 << 63) + 5, 2: -5, 3: None}
