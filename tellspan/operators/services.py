@@ -39,12 +39,12 @@ def _total(c: str) -> Column:
 
 
 def map_nodes(spans: DataFrame, start: int, end: int, max_spans: int | None = None) -> DataFrame:
-    """Of each entity: spans, errors and time. Resources without identity are one node, ``0``."""
+    """Of each entity: spans, errors and time (a decimal). Resources without identity are one node, ``0``."""
     own = spans.where(window(start, end, spans.columns))
     if max_spans is not None:
         own = own.orderBy(F.desc("ts_ns"), F.desc("row")).limit(max_spans)
     own = own.select(_key().alias("entity"), _name().alias("name"), "duration_ns", F.when(F.col("status_code") == 2, 1).otherwise(0).alias("error"))
-    return own.groupBy("entity").agg(F.min("name").alias("name"), F.count("*").alias("spans"), F.sum("error").alias("errors"), F.sum("duration_ns").alias("total_ns"), F.expr("sum(duration_ns) div count(*)").alias("mean_ns"))
+    return own.groupBy("entity").agg(F.min("name").alias("name"), F.count("*").alias("spans"), F.sum("error").alias("errors"), _total("duration_ns").alias("total_ns")).withColumn("mean_ns", F.expr("total_ns div spans"))
 
 
 def map_edges(spans: DataFrame, start: int, end: int, max_spans: int | None = None) -> DataFrame:

@@ -181,7 +181,7 @@ def render_calls(spark, sf_dir):
 def map_budget(spark, sf_dir):
     """The service map of the newest 5,000 spans."""
     q = D.service_map({"from": 0, "to": NOW, "max_spans": 5_000}, NOW)
-    return services.map_nodes(adapters.spans(spark, sf_dir), q.start, q.end, q.max_spans).select("name", "spans", "errors", "total_ns")
+    return services.map_nodes(adapters.spans(spark, sf_dir), q.start, q.end, q.max_spans).select("name", "spans", "errors", F.col("total_ns").cast("long").alias("total_ns"))
 
 
 def series_derived(spark, sf_dir):

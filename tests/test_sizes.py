@@ -80,7 +80,7 @@ def _wide(name):
     return _SQL[name].replace(cast, f"{total}::DECIMAL(38,0) AS total_ns")
 
 
-@pytest.mark.parametrize("name", ["service_map_edges"])
+@pytest.mark.parametrize("name", ["service_map_nodes", "service_map_edges"])
 def test_totals_beyond_64_bits(spark, orders, name):
     got = _same(spark, orders, name, _wide(name))
     assert any(str(150_300 * 86_400_000_000_000) in r for r in got)
