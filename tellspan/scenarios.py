@@ -147,7 +147,7 @@ def filter_bar_search(spark, sf_dir):
     found = D.filter_bar(line, LOG_FIELDS)
     found = D.add_term(D.with_service(found, "svc-2"), found[0])
     found = D.filter_bar(D.bar_text(found, LOG_FIELDS), LOG_FIELDS, strict=True)
-    return search.search(adapters.logs(spark, sf_dir), D.Search("logs", START, NOW, tuple(found), 10_000)).select("row", "ts_ns")
+    return search.matching(adapters.logs(spark, sf_dir), D.Search("logs", START, NOW, tuple(found))).select("row", "ts_ns")
 
 
 def search_pages(spark, sf_dir):

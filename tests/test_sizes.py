@@ -89,3 +89,8 @@ def test_totals_beyond_64_bits(spark, orders, name):
 def test_totals_are_exact_whatever_their_sign(spark):
     df = spark.createDataFrame([(1, v) for v in ((1 << 63) - 1, (1 << 63) - 1, -(1 << 63), 7)] + [(2, -5), (2, None), (3, None)], "k int, d long")
     assert {r["k"]: r["t"] for r in df.groupBy("k").agg(services._total("d").alias("t")).collect()} == {1: (1 << 63) + 5, 2: -5, 3: None}
+
+
+def test_filter_bar_has_no_page_limit(spark, make):
+    made = make(events=_events(22_000, NOW - 6 * DAY, 5_000_000).replace("2 + i % 3 * 5", "2").replace("i % 50", "i % 60"))
+    assert len(_same(spark, made, "filter_bar_search")) > 10_000
