@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import as_float
@@ -129,6 +129,11 @@ def measure(tables: dict[str, DataFrame], found: Rule, now: int) -> DataFrame:
     return t.where(test(own, t)).agg(F.count("*").alias("matched")).crossJoin(other.where(test(found.of, other)).agg(F.count("*").alias("total")))  # one row each
 
 
+def _whole(past: str, every: int) -> Column:
+    """How many whole ticks fit into ``past``, rounded down, in integers: decimals and doubles round times beside a tick to it."""
+    return F.expr(f"({past} - pmod({past}, {every}L)) div {every}L")
+
+
 def ticks(table: DataFrame, found: Rule, start: int, end: int, every: int) -> DataFrame:
     """(at_ns, matched, total) at every tick from ``start`` to ``end``: each row counts in all ticks whose inclusive window holds it.
 
@@ -140,8 +145,8 @@ def ticks(table: DataFrame, found: Rule, start: int, end: int, every: int) -> Da
     test = F.coalesce(predicate(found.query.terms, found.query.signal, table.columns), F.lit(False))
     base = F.coalesce(predicate(found.of.terms, found.of.signal, table.columns), F.lit(False)) if found.of else F.lit(True)
     own = table.where(window(start - found.over, end, table.columns) & (test | base) if found.of else window(start - found.over, end, table.columns) & test)
-    first = F.greatest(F.lit(0), F.ceil((F.col("ts_ns") - start).cast("decimal(38,0)") / every).cast("long"))
-    last = F.least(F.lit(n), F.floor((F.col("ts_ns") + found.over - start).cast("decimal(38,0)") / every).cast("long"))
+    first = F.greatest(F.lit(0), -_whole(f"({start}L - ts_ns)", every))
+    last = F.least(F.lit(n), _whole(f"(ts_ns - {start - found.over}L)", every))
     hits = own.select(test.alias("m"), base.alias("b"), first.alias("f"), last.alias("l")).where("f <= l")
     counted = hits.select("m", "b", F.explode(F.sequence("f", "l")).alias("k")).groupBy("k").agg(F.count_if("m").alias("matched"), F.count_if("b").alias("total"))
     grid = table.sparkSession.range(0, n + 1).withColumnRenamed("id", "k")
@@ -156,10 +161,9 @@ def _tick_buckets(table: DataFrame, found: Rule, start: int, n: int, every: int)
     base = F.coalesce(predicate(found.of.terms, found.of.signal, table.columns), F.lit(False)) if found.of else F.lit(True)
     width = found.over // every
     own = table.where(window(start - found.over, start + n * every, table.columns) & ((test | base) if found.of else test))
-    past = (F.col("ts_ns") - start).cast("decimal(38,0)") / every
-    first = F.ceil(past).cast("long")
+    first = -_whole(f"({start}L - ts_ns)", every)
     # in at its first tick, out after the last whose inclusive window holds it
-    moves = F.array(F.struct(F.greatest(first, F.lit(0)).alias("k"), F.lit(1).alias("sign")), F.struct((F.floor(past).cast("long") + width + 1).alias("k"), F.lit(-1).alias("sign")))
+    moves = F.array(F.struct(F.greatest(first, F.lit(0)).alias("k"), F.lit(1).alias("sign")), F.struct((_whole(f"(ts_ns - {start}L)", every) + width + 1).alias("k"), F.lit(-1).alias("sign")))
     moved = own.select(test.cast("int").alias("m"), base.cast("int").alias("b"), F.explode(moves).alias("x")).groupBy(F.col("x.k").alias("k")).agg(F.sum(F.col("m") * F.col("x.sign")).alias("m"), F.sum(F.col("b") * F.col("x.sign")).alias("b"))
     grid = table.sparkSession.range(0, n + 1).withColumnRenamed("id", "k")
     so_far = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # a row for each tick

@@ -3,7 +3,7 @@
 import pytest
 
 from tellspan import queries, scenarios
-from tellspan.operators import search, services
+from tellspan.operators import alerts, search, services
 from tellspan.plans import documents as D
 from tellspan.queries import DAY, NOW
 from tellspan.sources import adapters
@@ -94,3 +94,16 @@ def test_totals_are_exact_whatever_their_sign(spark):
 def test_filter_bar_has_no_page_limit(spark, make):
     made = make(events=_events(22_000, NOW - 6 * DAY, 5_000_000).replace("2 + i % 3 * 5", "2").replace("i % 50", "i % 60"))
     assert len(_same(spark, made, "filter_bar_search")) > 10_000
+
+
+@pytest.mark.parametrize("over", ["6h", "12h"])
+def test_rows_a_microsecond_beside_a_tick(spark, make, over):
+    hours = "SELECT k, d FROM range(0, 140) t(k), (VALUES (-1), (0), (1), (900), (-1700)) v(d)"
+    at = f"make_timestamp({NOW // 1000} - 432000000000 + (k - 12) * 3600000000 + d)"
+    made = make(events=f"SELECT row_number() OVER () AS event_id, {at} AS ts, k AS user_id, CASE WHEN k % 2 = 0 THEN 'error' ELSE 'view' END AS event_type, 1.0 AS value, '{{\"k\": 1}}' AS props FROM ({hours})")
+    sql = _SQL["alert_ticks"].replace(str(6 * D.HOUR), str(int(over[:-1]) * D.HOUR))
+    rule = alerts.rule({"name": "errors", "query": {"where": [{"field": "severity_number", "gte": 17}]}, "of": {}, "when": "ratio > 21%", "over": over, "for": "1h"})
+    got = alerts.ticks(adapters.logs(spark, made[1]), rule, NOW - 5 * DAY, NOW, D.HOUR)
+    assert sorted(map(tuple, got.collect())) == sorted(made[0].sql(sql).fetchall())
+    if over == "6h":
+        _same(spark, made, "alert_ticks")
