@@ -37,7 +37,7 @@ def _same(spark, made, name, sql=None):
 
 def _events(n, start, step_us, kind="purchase"):
     """``n`` events of one service, some at one time."""
-    return f"SELECT i AS event_id, make_timestamp({start // 1000} + i // 2 * {step_us}) AS ts, 2 + i % 3 * 5 AS user_id, '{kind}' AS event_type, 1.5 + i AS value, concat('{{\"k\": ', i % 50, '}}') AS props FROM range({n}) t(i)"
+    return f"SELECT i AS event_id, make_timestamp({start // 1000} + i // 2 * {step_us}) AS ts, 2 + i % 3 * 5 AS user_id, '{kind}' AS event_type, (1.5 + i)::DOUBLE AS value, concat('{{\"k\": ', i % 50, '}}') AS props FROM range({n}) t(i)"
 
 
 def test_all_pages_in_few_jobs(spark, make):
@@ -64,9 +64,9 @@ def orders(make):
     """Orders of one segment and priority, with few lines."""
     n = 150_300
     return make(
-        orders=f"SELECT i AS o_orderkey, i % 9 AS o_custkey, CASE WHEN i % 5 = 0 THEN 'P' ELSE 'F' END AS o_orderstatus, 10.5 + i AS o_totalprice, make_timestamp(800000000000000 + i * 1000000) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range({n}) t(i)",
+        orders=f"SELECT i AS o_orderkey, i % 9 AS o_custkey, CASE WHEN i % 5 = 0 THEN 'P' ELSE 'F' END AS o_orderstatus, (10.5 + i)::DOUBLE AS o_totalprice, make_timestamp(800000000000000 + i * 1000000) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range({n}) t(i)",
         customer="SELECT i AS c_custkey, 'SHOP' AS c_mktsegment FROM range(9) t(i)",
-        lineitem="SELECT i AS l_orderkey, i AS l_partkey, i % 4 AS l_suppkey, 1 AS l_linenumber, 5.0 + i AS l_quantity, 1.5 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, make_timestamp(800000000000000 + i * 1000000) AS l_shipdate FROM range(90) t(i)",
+        lineitem="SELECT i AS l_orderkey, i AS l_partkey, i % 4 AS l_suppkey, 1 AS l_linenumber, (5 + i)::DOUBLE AS l_quantity, 1.5 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'R' AS l_returnflag, 'O' AS l_linestatus, make_timestamp(800000000000000 + i * 1000000) AS l_shipdate FROM range(90) t(i)",
         supplier="SELECT i AS s_suppkey, (i % 2)::INTEGER AS s_nationkey FROM range(4) t(i)",
         nation="SELECT i::INTEGER AS n_nationkey, concat('N', i) AS n_name FROM range(2) t(i)",
     )
@@ -112,3 +112,7 @@ def test_rows_a_microsecond_beside_a_tick(spark, make, over):
 def test_series_have_no_point_limit_in_counts(spark, make):
     made = make(events=_events(100_500, START + DAY, 40_000_000).replace("2 + i % 3 * 5", "2 + i % 3 * 5 - CASE i % 1000 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END"))
     assert any("100298" in r for r in _same(spark, made, "series_capped"))
+
+
+def test_half_series_has_no_point_limit(spark, orders):
+    assert "100200" in _same(spark, orders, "series_half")[0]
