@@ -362,8 +362,8 @@ def stored_window(spark, sf_dir):
     logs = adapters.logs(spark, sf_dir)
     full = logs.select(*((F.col(f.name) if f.name in logs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOGS))
     table = storage.read(spark, _stored(spark, full.withColumn("flags", F.col("row")), "stored"), LOGS)
-    q = D.search({"from": NOW - 6 * DAY, "to": NOW - 5 * DAY, "limit": 10_000, "where": [{"field": "severity_number", "lte": 13}]}, NOW)
-    return search.search(table, q).select(F.col("flags").alias("row"), "ts_ns", "seq", F.col("p").alias("hour"))
+    q = D.search({"from": NOW - 6 * DAY, "to": NOW - 5 * DAY, "where": [{"field": "severity_number", "lte": 13}]}, NOW)
+    return search.matching(table, q).select(F.col("flags").alias("row"), "ts_ns", "seq", F.col("p").alias("hour"))
 
 
 def trace_chain(spark, sf_dir):

@@ -11,7 +11,7 @@ HOUR_NS = 3_600_000_000_000
 
 def stamped(records: DataFrame) -> DataFrame:
     """``records`` with ``p``, the hour of each one's own time. Late rows go to their hour; nothing is too late."""
-    return records.withColumn("p", F.floor(F.col("ts_ns") / HOUR_NS).cast("long") if "p" not in records.columns else F.col("p"))
+    return records.withColumn("p", F.expr(f"(ts_ns - pmod(ts_ns, {HOUR_NS}L)) div {HOUR_NS}L") if "p" not in records.columns else F.col("p"))
 
 
 def publish(records: DataFrame, path: str, seq: int, node: int = 0, expected_ids: int = 1_000_000) -> None:

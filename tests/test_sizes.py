@@ -6,7 +6,7 @@ from tellspan import queries, scenarios
 from tellspan.operators import alerts, search, services
 from tellspan.plans import documents as D
 from tellspan.queries import DAY, NOW, START
-from tellspan.sources import adapters
+from tellspan.sources import adapters, storage
 
 _Q, _SQL = queries.QUERIES | scenarios.QUERIES, queries.ORACLES | scenarios.ORACLES
 
@@ -116,3 +116,14 @@ def test_series_have_no_point_limit_in_counts(spark, make):
 
 def test_half_series_has_no_point_limit(spark, orders):
     assert "100200" in _same(spark, orders, "series_half")[0]
+
+
+def test_stored_window_has_no_page_limit(spark, make):
+    made = make(events=_events(11_000, NOW - 6 * DAY, 5_000_000))
+    assert len(_same(spark, made, "stored_window")) > 10_000
+
+
+def test_hours_of_times_a_nanosecond_before_them(spark):
+    hour = 1_706_000_000_000_000_000 // storage.HOUR_NS
+    df = spark.createDataFrame([(hour * storage.HOUR_NS + d,) for d in (-1, 0, 1)] + [(-1,)], "ts_ns long")
+    assert sorted(r["p"] for r in storage.stamped(df).collect()) == [-1, hour - 1, hour, hour]
