@@ -31,6 +31,9 @@ from .common import resident, small_batches, utf8
 _WS = r"\t-\r \x85\xa0  -     　"
 #: No match of the pattern crosses the border of such a chunk, so chunks can be looked up whole.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The public pattern. Chunks of Latin letters, with a space before them or not, are matched whole by it.
+_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ʯ]+").fullmatch
 
 
 _PENDING = 256  # bytes after which tokens that all hypotheses share are emitted
@@ -53,7 +56,7 @@ class Transducer:
         #: Token and whether longer entries begin so, of all that an entry can begin with: 2 * token + (0 or 1).
         self._known = {p: 2 * ranks.get(p, -1) + 1 for p in prefixes} | {t: 2 * i for t, i in ranks.items() if t not in prefixes}
         self._names, self._ids = [b""], {b"": 0}
-        self._go: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}  # by state << 8 | byte
+        self._go: dict[int, tuple[int, tuple[tuple[int, int], ...], int]] = {}  # by state << 8 | byte
         self._pair: dict[int, bool] = {}
         self._split: dict[int, tuple[bytes, ...]] = {}
         self._spines: dict[tuple[int, bool], tuple | None] = {}
@@ -124,9 +127,10 @@ class Transducer:
                         return False
         return True
 
-    def _build(self, at: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+    def _build(self, at: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...], int]:
         """One step of the subset construction: where the tokens still open after this byte leave the machine,
-        and (length, token) of those that end here.
+        (length, token) of those that end here, longest first, and the last of these, which needs no test:
+        one of them does end the encoding.
 
         Open tokens are all suffixes of the input that begin some entry. The longest determines the others, so it
         names the subset.
@@ -140,11 +144,13 @@ class Transducer:
                     ends.append((len(text) - k, code >> 1))
                 if code & 1 and not onward:
                     onward = text[k:]
+        if not ends:
+            raise ValueError(f"no entry ends with the byte {byte}")
         state = self._ids.get(onward)
         if state is None:
             state = self._ids[onward] = len(self._names)
             self._names.append(onward)
-        go = self._go[at << 8 | byte] = (state, tuple(ends))
+        go = self._go[at << 8 | byte] = (state, tuple(ends[:-1]), ends[-1][1])
         return go
 
     def _back(self, tokens: list[int], at: int) -> list[int]:
@@ -164,14 +170,13 @@ class Transducer:
         tokens = [-1]  # for each length, the last token of that many bytes' encoding
         at, machine, pairs = 0, self._go.get, self._pair.get
         for byte in piece:
-            go = machine(at << 8 | byte) or self._build(at, byte)
-            at = go[0]
-            for size, token in go[1]:
-                before = tokens[-size]
-                ok = pairs(before << 32 | token)
-                if ok or ok is None and self._follows(before, token):
-                    tokens.append(token)
+            at, ends, last = machine(at << 8 | byte) or self._build(at, byte)
+            for size, token in ends:
+                ok = pairs(tokens[-size] << 32 | token)
+                if ok or ok is None and self._follows(tokens[-size], token):
+                    last = token
                     break
+            tokens.append(last)
             if len(tokens) > limit:
                 tokens = self._flush(tokens, len(self._names[at]), done)
                 limit = len(tokens) + _PENDING
@@ -237,34 +242,37 @@ class Utf8Stream:
 class Codec(dict):
     """Whole texts to ids and back. As a mapping: a chunk of text to its ids as little-endian 32-bit integers.
 
-    ``most`` bounds the chunks remembered, and the words; long ones are not.
+    ``most`` bounds the chunks and words remembered, and as many that were used before them; long ones are not.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 150_000):
         super().__init__()
         ranks = load_ranks(path)
         self.most, self.machine = most, Transducer(ranks)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
+        #: Whether the pattern takes words whole, and matches each of its matches whole where it stands alone.
+        self.whole = pattern == _PLAIN
         table = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             table[i] = t
         self.token = table.__getitem__
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.machine.encode(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, chunk: str) -> bytes:
-        words, ids = self.words, []
-        for piece in self.find(chunk):
-            got = words.get(piece)
-            if got is None:
-                got = tuple(self.machine.encode(piece.encode()))
-                if len(piece) <= _SHORT:
-                    if len(words) >= self.most:
-                        words.clear()
-                    words[piece] = got
-            ids.extend(got)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(chunk)
+        if out is None:
+            pieces = (chunk,) if self.whole and _WORD(chunk) else self.find(chunk)
+            if len(pieces) > 1 and self.whole:
+                out = b"".join(map(self.__getitem__, pieces))
+            else:
+                out = b"".join(map(self._piece, pieces))
         if len(chunk) <= _SHORT:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out

@@ -62,3 +62,15 @@ def test_rows(spark):
     ids = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(docs, PATH, P.PATTERN).collect()}
     assert hashlib.sha256(np.array(ids[1], "<u4").tobytes()).hexdigest() == by[1]["ids_sha256"] and ids[3] == []
     assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_words_in_use_outlive_rare_ones(both):
+    _, theirs = both
+    own, seen = bpe.Codec(PATH, P.PATTERN, most=50), []
+    encode = own.machine.encode
+    own.machine.encode = lambda piece: seen.append(piece) or encode(piece)
+    rare = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600)]
+    for w in rare:
+        text = f"{w} étaient, {w} étaient's\r\n  thé %%{w}%%"
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
+    assert seen.count(" étaient".encode()) == 1 and len(own) + len(own.older) <= 100
