@@ -28,6 +28,7 @@ HEAD = SIDE * SIDE
 END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabulary; ids below HEAD are words, then classes of other words
 _BIG = 150_000  # counts that go to every task; the others are joined
 _ROWS = 1024  # whose scores are held at once
+_BLOCK = 1 << 14  # parameters that Adam takes at once, which stay in a core's own cache
 _END_HASH = 1  # stands for the end among word hashes
 
 
@@ -111,6 +112,11 @@ def class_of(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
     return np.where(ids < side * side, ids // side, ids - side * side + side)
 
 
+def _order(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of ``x``, whose values are ``most`` at most, in rising order; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(x.astype(np.uint16) if most < 1 << 16 else x, kind="stable")
+
+
 class Gru:
     """The network. Parameters are float32 arrays in ``p``."""
 
@@ -131,17 +137,22 @@ class Gru:
         }
 
     def step(self, g: np.ndarray, h: np.ndarray):
-        """(new state, r, z, n, a): one step for input projections ``g``."""
+        """(new state, r, z, n, a): one step for input projections ``g``. Lanes are columns here, so that gates are whole blocks."""
         k = self.hidden
-        a = h @ self.p["U"]
-        rz = g[:, : 2 * k] + a[:, : 2 * k]
+        a = self.p["U"].T @ h
+        rz = g[: 2 * k] + a[: 2 * k]
         np.negative(rz, out=rz)
         np.exp(rz, out=rz)
         rz += 1
         np.reciprocal(rz, out=rz)
-        r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * a[:, 2 * k :])
-        return n + z * (h - n), r, z, n, a
+        r, z = rz[:k], rz[k:]
+        n = r * a[2 * k :]
+        n += g[2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, r, z, n, a
 
     def _softmax(self, h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(exponentials, their sums) of scores; ``h`` ends with a column of ones, ``weights`` with a row of biases."""
@@ -167,7 +178,7 @@ class Gru:
             x, total = self._softmax(h[lo : lo + _ROWS], classes)
             out[lo : lo + _ROWS] = x[np.arange(len(x)), kinds[lo : lo + _ROWS]] / total
         np.log(out + 1e-30, out=out)
-        order = np.argsort(kinds, kind="stable")
+        order = _order(kinds, self.side + TAIL)
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
         order = order[: ends[-1]]
         h, own, got = h[order], ids[order] % self.side, np.empty(len(order), out.dtype)
@@ -183,15 +194,17 @@ class Gru:
         p, k = self.p, self.hidden
         T, B = inputs.shape
         kind = p["C"].dtype
-        words_in = p["E"][inputs.ravel()]
-        read = (words_in @ p["W"] + p["b"]).reshape(T, B, 3 * k)
-        going = (inputs != self.end)[:, :, None].astype(kind)
-        kept, before, states = [], np.empty((T, B, k), kind), np.ones((T, B, k + 1), kind)
+        words_in = p["E"][inputs]
+        going = (inputs != self.end).astype(kind)
+        kept, before, states = [], np.empty((T, k, B), kind), np.ones((T, B, k + 1), kind)
+        into, bias, h = np.ascontiguousarray(p["W"].T), p["b"][:, None], np.ascontiguousarray(h.T)
         for t in range(T):
-            before[t] = h * going[t]
-            h, r, z, n, a = self.step(read[t], before[t])
-            kept.append((r, z, n, a[:, 2 * k :]))
-            states[t, :, :k] = h
+            np.multiply(h, going[t], out=before[t])
+            read = into @ words_in[t].T
+            read += bias
+            h, r, z, n, a = self.step(read, before[t])
+            kept.append((r, z, n, a[2 * k :]))
+            states[t, :, :k] = h.T
         H = states.reshape(T * B, k + 1)
         ids = targets.ravel()
         kinds = class_of(ids, self.side)
@@ -209,47 +222,52 @@ class Gru:
             top += (H[part] * factor).T @ x
             np.multiply(x @ p["C"].T, factor, out=dH[part])
         grad = {"C": top[:k], "c": top[k]}
-        order = np.argsort(kinds, kind="stable")
+        order = _order(kinds, self.side + TAIL)
         ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
         order = order[: ends[-1]]
         own_h, own, down, inner = H[order], ids[order] % self.side, np.empty((len(order), k), kind), np.zeros_like(words)
+        totals, hits = np.empty(len(order), kind), np.empty(len(order), kind)
         for c in np.flatnonzero(np.diff(ends)):
             a, b = ends[c], ends[c + 1]
             y, total = self._softmax(own_h[a:b], words[c])
             hit = y[every[: b - a], own[a:b]]
-            loss += (np.log(total) - np.log(hit + 1e-30)).sum()
+            totals[a:b], hits[a:b] = total, hit
             y[every[: b - a], own[a:b]] = hit - total
             factor = (scale / total)[:, None]
             inner[c] = (own_h[a:b] * factor).T @ y
             np.multiply(y @ p["H"][c].T, factor, out=down[a:b])
+        loss += (np.log(totals) - np.log(hits + 1e-30)).sum()
         grad["H"], grad["d"] = inner[:, :k], inner[:, k]
         dH[order] += down
         dH = dH.reshape(T, B, k)
-        dh = np.zeros((B, k), kind)
-        gates, through = np.empty((T, B, 3 * k), kind), np.empty((T, B, 3 * k), kind)
-        back = np.ascontiguousarray(p["U"].T)
+        dh = np.zeros((k, B), kind)
+        gates, through, down = np.empty((3 * k, B), kind), np.empty((3 * k, B), kind), np.empty((T, B, words_in.shape[2]), kind)
+        dU, dW, db, ones = np.zeros((3 * k, k), kind), np.zeros_like(into), np.zeros(3 * k, kind), np.ones(B, kind)
         for t in range(T - 1, -1, -1):
             r, z, n, a = kept[t]
-            dh += dH[t]
+            dh += dH[t].T
             rest = dh * (1 - z)
-            dn = rest * (1 - n * n)
-            g, da = gates[t], through[t]
-            np.multiply(dn * a, r * (1 - r), out=g[:, :k])
-            np.multiply(rest, (before[t] - n) * z, out=g[:, k : 2 * k])
-            g[:, 2 * k :] = dn
-            da[:, : 2 * k] = g[:, : 2 * k]
-            np.multiply(dn, r, out=da[:, 2 * k :])
-            dh = (dh * z + da @ back) * going[t]
-        dU = before.reshape(T * B, k).T @ through.reshape(T * B, 3 * k)
-        gates = gates.reshape(T * B, 3 * k)
-        down = gates @ p["W"].T
-        order = np.argsort(inputs.ravel(), kind="stable")
+            dn = gates[2 * k :]
+            np.multiply(rest, 1 - n * n, out=dn)
+            np.multiply(dn * a, r * (1 - r), out=gates[:k])
+            np.multiply(rest, (before[t] - n) * z, out=gates[k : 2 * k])
+            through[: 2 * k] = gates[: 2 * k]
+            np.multiply(dn, r, out=through[2 * k :])
+            dh *= z
+            dh += p["U"] @ through
+            dh *= going[t]
+            dU += through @ before[t].T
+            dW += gates @ words_in[t]
+            db += gates @ ones
+            np.matmul(gates.T, into, out=down[t])
+        down = down.reshape(T * B, -1)
+        order = _order(inputs.ravel(), self.end)
         read = inputs.ravel()[order]
         heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
         dE = np.zeros_like(p["E"])
         dE[read[heads]] = np.add.reduceat(down[order], heads)
-        grad |= {"U": dU, "E": dE, "W": words_in.T @ gates, "b": np.ones(T * B, kind) @ gates}
-        return grad, h, float(loss) / len(ids)
+        grad |= {"U": dU.T, "E": dE, "W": dW.T, "b": db}
+        return grad, h.T, float(loss) / len(ids)
 
     def fit(self, ids: np.ndarray, lanes: int = 512, length: int = 4096, window: int = 16, rate: float = 0.01) -> None:
         """One pass over a flat row of ids, cut into lanes, fewer if they would be shorter than ``length``. Adam, with gradients clipped."""
@@ -267,19 +285,23 @@ class Gru:
             grad, h, _ = self.gradients(inputs[lo : lo + window], grid[lo : lo + window], h)
             norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
             step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i) / max(1.0, i / 100) ** 0.5
-            for k, g in grad.items():
-                g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                m[k] *= np.float32(0.9)
-                m[k] += np.float32(0.1) * g
-                v[k] *= np.float32(0.999)
-                g *= g
-                g *= np.float32(0.001)
-                v[k] += g
-                np.sqrt(v[k], out=g)
-                g += np.float32(1e-8)
-                np.divide(m[k], g, out=g)
-                g *= np.float32(step)
-                self.p[k] -= g
+            clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            for k, whole in grad.items():
+                rows = max(1, _BLOCK * len(whole) // whole.size)
+                for a in range(0, len(whole), rows):
+                    part = slice(a, a + rows)
+                    g, first, second, own = whole[part] * clip, m[k][part], v[k][part], self.p[k][part]
+                    first *= np.float32(0.9)
+                    first += np.float32(0.1) * g
+                    second *= np.float32(0.999)
+                    g *= g
+                    g *= np.float32(0.001)
+                    second += g
+                    np.sqrt(second, out=g)
+                    g += np.float32(1e-8)
+                    np.divide(first, g, out=g)
+                    g *= np.float32(step)
+                    own -= g
 
     def score(self, ids: np.ndarray, ends: np.ndarray, lanes: int = 512, window: int = 32) -> np.ndarray:
         """Sum of natural logs for each text; ``ends``: where each one's ids (its end included) stop.
@@ -303,9 +325,9 @@ class Gru:
             for d in own:
                 place[at : at + sizes[d], i] = np.arange(starts[d], ends[d])
                 at += sizes[d]
-        table = self.p["E"] @ self.p["W"] + self.p["b"]
+        table = np.ascontiguousarray((self.p["E"] @ self.p["W"] + self.p["b"]).T)
         out = np.zeros(len(ids), np.float32)
-        h = np.zeros((lanes, self.hidden), np.float32)
+        h = np.zeros((self.hidden, lanes), np.float32)
         last = np.full(lanes, self.end)
         by_load = np.argsort([-n for n, _ in sorted(load, key=lambda x: x[1])], kind="stable")  # longest lanes first
         place = place[:, by_load]
@@ -317,12 +339,12 @@ class Gru:
 
         counts = (place >= 0).sum(1)  # lanes that are live at each step: the first ones
         for step, live in enumerate(counts.tolist()):
-            h, last, at = h[:live], last[:live], place[step, :live]
+            h, last, at = h[:, :live], last[:live], place[step, :live]
             fresh = last == self.end
             if fresh.any():
-                h = h * ~fresh[:, None]
-            h = self.step(table[last], h)[0]
-            states[held : held + live], wanted[held : held + live] = h, at
+                h = h * ~fresh
+            h = self.step(table.take(last, axis=1), h)[0]
+            states[held : held + live], wanted[held : held + live] = h.T, at
             held += live
             last = ids[at]
             if held >= most:
