@@ -27,7 +27,8 @@ SIDE, TAIL = 32, 32  # least number of classes of frequent words, and of words i
 HEAD = SIDE * SIDE
 END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabulary; ids below HEAD are words, then classes of other words
 _BIG = 150_000  # counts that go to every task; the others are joined
-_ROWS = 1024  # whose scores are held at once
+_ROWS = 256  # whose scores are held at once
+_AHEAD = 1024  # inputs that are prepared at once
 _BLOCK = 1 << 14  # parameters that Adam takes at once, which stay in a core's own cache
 _END_HASH = 1  # stands for the end among word hashes
 
@@ -325,10 +326,9 @@ class Gru:
             for d in own:
                 place[at : at + sizes[d], i] = np.arange(starts[d], ends[d])
                 at += sizes[d]
-        table = np.ascontiguousarray((self.p["E"] @ self.p["W"] + self.p["b"]).T)
+        into, bias = np.ascontiguousarray(self.p["W"].T), self.p["b"][:, None]
         out = np.zeros(len(ids), np.float32)
         h = np.zeros((self.hidden, lanes), np.float32)
-        last = np.full(lanes, self.end)
         by_load = np.argsort([-n for n, _ in sorted(load, key=lambda x: x[1])], kind="stable")  # longest lanes first
         place = place[:, by_load]
         states, wanted, held = np.empty((most + lanes, self.hidden), np.float32), np.empty(most + lanes, np.int64), 0
@@ -337,19 +337,30 @@ class Gru:
             at = wanted[:held]
             out[at] = self.log_likelihood(states[:held], ids[at])
 
-        counts = (place >= 0).sum(1)  # lanes that are live at each step: the first ones
-        for step, live in enumerate(counts.tolist()):
-            h, last, at = h[:, :live], last[:live], place[step, :live]
-            fresh = last == self.end
-            if fresh.any():
-                h = h * ~fresh
-            h = self.step(table.take(last, axis=1), h)[0]
-            states[held : held + live], wanted[held : held + live] = h.T, at
-            held += live
-            last = ids[at]
-            if held >= most:
-                settle()
-                held = 0
+        counts = (place >= 0).sum(1).tolist()  # lanes that are live at each step: the first ones
+        lo = 0
+        while lo < steps:  # what is read is known before, so some steps are prepared at once, many where few lanes are left
+            live = counts[lo]
+            hi = min(steps, lo + max(1, _AHEAD // live))
+            before = np.full((hi - lo, live), self.end)
+            before[lo == 0 :] = ids[place[max(lo - 1, 0) : hi - 1, :live]]
+            going = before != self.end
+            kept = going.all(1).tolist()
+            read = into @ self.p["E"][before.ravel()].T
+            read += bias
+            for step in range(lo, hi):
+                n, at = counts[step], (step - lo) * live
+                if n < h.shape[1]:
+                    h = h[:, :n]
+                if not kept[step - lo]:
+                    h = h * going[step - lo, :n]
+                h = self.step(read[:, at : at + n], h)[0]
+                states[held : held + n], wanted[held : held + n] = h.T, place[step, :n]
+                held += n
+                if held >= most:
+                    settle()
+                    held = 0
+            lo = hi
         if held:
             settle()
         return np.add.reduceat(out.astype(np.float64), starts) if len(starts) else np.zeros(0)

@@ -112,3 +112,16 @@ def test_the_vocabulary_grows_with_the_corpus():
     net = gru.Gru(side=40)
     h, every = np.zeros((1, net.hidden), np.float32), np.arange(net.end + 1)
     assert net.end == 1632 and abs(np.exp(net.log_likelihood(np.repeat(h, len(every), 0), every)).sum() - 1) < 1e-4
+
+
+def test_scores_don_t_depend_on_how_far_inputs_are_prepared(monkeypatch):
+    net, rng = gru.Gru(), np.random.default_rng(4)
+    sizes = [1, 300, 2, 2, 45, 1, 80]
+    ids = np.concatenate([np.append(rng.integers(0, gru.END, n - 1), gru.END) for n in sizes])
+    got = []
+    for ahead, rows in ((1, 1024), (7, 3), (1024, 256)):
+        monkeypatch.setattr(gru, "_AHEAD", ahead)
+        monkeypatch.setattr(gru, "_ROWS", rows)
+        got.append(net.score(ids, np.cumsum(sizes), lanes=3))
+    alone = [net.score(ids[e - n : e], np.array([n]))[0] for n, e in zip(sizes, np.cumsum(sizes))]
+    assert np.allclose(got, [alone] * 3, atol=1e-3)
