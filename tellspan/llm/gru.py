@@ -28,7 +28,7 @@ HEAD = SIDE * SIDE
 END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabulary; ids below HEAD are words, then classes of other words
 _BIG = 150_000  # counts that go to every task; the others are joined
 _ROWS = 256  # whose scores are held at once
-_AHEAD = 1024  # inputs that are prepared at once
+_AHEAD = 512  # inputs that are prepared at once
 _BLOCK = 1 << 14  # parameters that Adam takes at once, which stay in a core's own cache
 _END_HASH = 1  # stands for the end among word hashes
 
@@ -41,29 +41,40 @@ def _first_letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return (a * 7919 + b * 104_729) % 65_537 % TAIL
 
 
-def count_words(docs: DataFrame, window: int = 1 << 22) -> DataFrame:
-    """(h, k, c): of each word its hash, class by letters, and count; ends are words of class -1."""
+def _equal(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): places in rising order of values, and where in it each value begins."""
+    order = np.argsort(h)
+    sorted_h = h[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), sorted_h[1:] != sorted_h[:-1]]))
+
+
+def count_words(docs: DataFrame, window: int = 1 << 21) -> DataFrame:
+    """(h, k, c): of each word its hash, class by letters, and count; ends are words of class -1. ``window``: words that are held before they are counted together."""
 
     def run(batches):
         release()
-        held, kinds, size, n_docs = [], [], 0, 0
+        held, kinds, counts, size, n_docs = [], [], [], 0, 0
 
         def flush():
-            h, at, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_index=True, return_counts=True)
-            k = np.concatenate([np.zeros(0, np.int64), *kinds])[at]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), _END_HASH)), pa.array(np.append(k, -1).astype(np.int32)), pa.array(np.append(c, n_docs).astype(np.int64))], ["h", "k", "c"])
+            h, k, c = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.uint64, held), (np.int32, kinds), (np.int64, counts)))
+            order, heads = _equal(h)
+            at, c = order[heads], np.add.reduceat(c[order], heads) if len(h) else c
+            return pa.RecordBatch.from_arrays([pa.array(np.append(h[at].view(np.int64), _END_HASH)), pa.array(np.append(k[at], -1).astype(np.int32)), pa.array(np.append(c, n_docs))], ["h", "k", "c"])
 
         for batch in batches:
             for part in pieces(batch, "t"):
                 data, offsets = flat_bytes(part.column("t"))
                 h, s, e, _ = hashed_words(data, offsets, True)
-                held.append(h)
-                kinds.append(_first_letters(data, s, e))
-                size += len(h)
+                order, heads = _equal(h)
+                at = order[heads]
+                held.append(h[at])
+                kinds.append(_first_letters(data, s[at], e[at]).astype(np.int32))
+                counts.append(np.diff(np.append(heads, len(h))))
+                size += len(at)
                 n_docs += part.num_rows
                 if size > window:
                     yield flush()
-                    held, kinds, size, n_docs = [], [], 0, 0
+                    held, kinds, counts, size, n_docs = [], [], [], 0, 0
         if n_docs:
             yield flush()
 
@@ -137,137 +148,184 @@ class Gru:
             "d": np.zeros((side, side), np.float32),
         }
 
-    def step(self, g: np.ndarray, h: np.ndarray):
-        """(new state, r, z, n, a): one step for input projections ``g``. Lanes are columns here, so that gates are whole blocks."""
+    def _gated(self, weights: np.ndarray) -> np.ndarray:
+        """``weights``, transposed, whose rows for the gates change their signs, as ``step`` takes them."""
+        out = np.ascontiguousarray(weights.T)
+        np.negative(out[: 2 * self.hidden], out=out[: 2 * self.hidden])
+        return out
+
+    def step(self, g: np.ndarray, h: np.ndarray, across: np.ndarray):
+        """(new state, r, z, n, a): one step for input projections ``g``, which is used up. Lanes are columns here, so that gates are whole
+        blocks; in ``g`` and ``across``, the states' weights, gates have the other sign (see ``_gated``)."""
         k = self.hidden
-        a = self.p["U"].T @ h
-        rz = g[: 2 * k] + a[: 2 * k]
-        np.negative(rz, out=rz)
+        a = across @ h
+        rz = g[: 2 * k]
+        rz += a[: 2 * k]
         np.exp(rz, out=rz)
         rz += 1
         np.reciprocal(rz, out=rz)
         r, z = rz[:k], rz[k:]
-        n = r * a[2 * k :]
-        n += g[2 * k :]
+        n = g[2 * k :]
+        n += r * a[2 * k :]
         np.tanh(n, out=n)
         new = h - n
         new *= z
         new += n
-        return new, r, z, n, a
-
-    def _softmax(self, h: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(exponentials, their sums) of scores; ``h`` ends with a column of ones, ``weights`` with a row of biases."""
-        x = h @ weights
-        np.exp(x, out=x)
-        total = x @ np.ones(x.shape[1], x.dtype)
-        if not np.isfinite(total.sum()):  # states are within (-1, 1), so scores stay small as a rule
-            x = np.exp(np.minimum(h @ weights, 60))
-            total = x.sum(1)
-        return x, total
+        return new, r, z, n, a[2 * k :]
 
     def _output(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights of classes, and of words in each, with a last row of biases."""
         return np.concatenate([self.p["C"], self.p["c"][None]]), np.concatenate([self.p["H"], self.p["d"][:, None]], 1)
 
-    def log_likelihood(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log probability of the next ids' classes, and of frequent words in theirs."""
+    def _exponentials(self, x: np.ndarray, most: float | None, total: np.ndarray) -> None:
+        """Scores to their exponentials, in place, and to ``total`` the sums of rows. ``most``: bound of scores, if they need one."""
+        if most is not None:
+            np.minimum(x, most, out=x)
+        np.exp(x, out=x)
+        np.matmul(x, np.ones(x.shape[1], x.dtype), out=total)
+
+    def _by_class(self, kinds: np.ndarray):
+        """(order, blocks): places of frequent words by class, and blocks (from, to, spans) of them, spans being (class, from, to).
+
+        Most classes have few words at a time, so a block holds words of many."""
+        order = _order(kinds, self.side + TAIL)
+        own = kinds[order]
+        edges = np.searchsorted(own, np.arange(self.side + 1)).tolist()
+        order = order[: edges[-1]]
+        blocks = []
+        for lo in range(0, len(order), _ROWS):
+            hi = min(lo + _ROWS, len(order))
+            blocks.append((lo, hi, [(c, max(edges[c], lo), min(edges[c + 1], hi)) for c in range(own[lo], own[hi - 1] + 1) if edges[c] < edges[c + 1]]))
+        return order, blocks
+
+    def log_likelihood(self, h: np.ndarray, ids: np.ndarray, most: float | None = None) -> np.ndarray:
+        """Natural log probability of the next ids' classes, and of frequent words in theirs. ``h`` may end with a column of ones."""
         classes, words = self._output()
-        h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
-        kinds = class_of(ids, self.side)
-        out = np.empty(len(ids), h.dtype)
+        if h.shape[1] == self.hidden:
+            h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+        states, kinds = h, class_of(ids, self.side)
+        sums, out = np.empty(len(ids), h.dtype), np.empty(len(ids), h.dtype)
+        wide, cells = np.empty((_ROWS, classes.shape[1]), h.dtype), np.arange(len(ids)) % _ROWS * classes.shape[1] + kinds
         for lo in range(0, len(ids), _ROWS):
-            x, total = self._softmax(h[lo : lo + _ROWS], classes)
-            out[lo : lo + _ROWS] = x[np.arange(len(x)), kinds[lo : lo + _ROWS]] / total
+            part = slice(lo, min(lo + _ROWS, len(ids)))
+            x = wide[: part.stop - lo]
+            np.matmul(h[part], classes, out=x)
+            self._exponentials(x, most, sums[part])
+            np.take(x.reshape(-1), cells[part], out=out[part])
+        out /= sums
         np.log(out + 1e-30, out=out)
-        order = _order(kinds, self.side + TAIL)
-        ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
-        order = order[: ends[-1]]
-        h, own, got = h[order], ids[order] % self.side, np.empty(len(order), out.dtype)
-        for k in np.flatnonzero(np.diff(ends)):
-            a, b = ends[k], ends[k + 1]
-            x, total = self._softmax(h[a:b], words[k])
-            got[a:b] = x[np.arange(b - a), own[a:b]] / total
+        order, blocks = self._by_class(kinds)
+        h, own_sums, got = h[order], np.empty(len(order), h.dtype), np.empty(len(order), h.dtype)
+        wide, cells = np.empty((_ROWS, self.side), h.dtype), np.arange(len(order)) % _ROWS * self.side + ids[order] % self.side
+        for lo, hi, spans in blocks:
+            x = wide[: hi - lo]
+            for c, a, b in spans:
+                np.matmul(h[a:b], words[c], out=x[a - lo : b - lo])
+            self._exponentials(x, most, own_sums[lo:hi])
+            np.take(x.reshape(-1), cells[lo:hi], out=got[lo:hi])
+        if most is None and not np.isfinite(sums.sum(dtype=np.float64) + own_sums.sum(dtype=np.float64)):  # states are within (-1, 1), so scores stay small as a rule
+            return self.log_likelihood(states, ids, 60)
+        got /= own_sums
         out[order] += np.log(got + 1e-30)
         return out
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
-        """(gradients, last state, loss) of a window [T, B], the state before it taken as given."""
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, most: float | None = None):
+        """(gradients, last state, loss) of a window [T, B], the state before it taken as given. ``most``: bound of scores, if they need one."""
         p, k = self.p, self.hidden
         T, B = inputs.shape
         kind = p["C"].dtype
-        words_in = p["E"][inputs]
-        going = (inputs != self.end).astype(kind)
-        kept, before, states = [], np.empty((T, k, B), kind), np.ones((T, B, k + 1), kind)
-        into, bias, h = np.ascontiguousarray(p["W"].T), p["b"][:, None], np.ascontiguousarray(h.T)
+        embed = p["E"].shape[1]
+        words_in = np.ones((T, B, embed + 1), kind)
+        words_in[:, :, :embed] = p["E"][inputs]
+        new_text = [np.flatnonzero(x) for x in inputs == self.end]
+        kept, states = [], np.ones((T, B, k + 1), kind)
+        across, into = self._gated(p["U"]), self._gated(np.concatenate([p["W"], p["b"][None]]))
+        h = np.array(h.T, order="C")
         for t in range(T):
-            np.multiply(h, going[t], out=before[t])
-            read = into @ words_in[t].T
-            read += bias
-            h, r, z, n, a = self.step(read, before[t])
-            kept.append((r, z, n, a[2 * k :]))
-            states[t, :, :k] = h.T
+            h[:, new_text[t]] = 0
+            new, r, z, n, a = self.step(into @ words_in[t].T, h, across)
+            kept.append((h, r, z, n, a))
+            states[t, :, :k] = new.T
+            h = new
         H = states.reshape(T * B, k + 1)
         ids = targets.ravel()
         kinds = class_of(ids, self.side)
-        scale, every = kind.type(1 / len(ids)), np.arange(len(ids))
+        scale = kind.type(1 / len(ids))
         classes, words = self._output()
         # gradients of scores are (x - total at the target) * scale / total; the factor goes to the narrow side of each product
-        loss, top, dH = 0.0, np.zeros_like(classes), np.empty((T * B, k), kind)
-        for lo in range(0, T * B, _ROWS):
-            part = slice(lo, lo + _ROWS)
-            x, total = self._softmax(H[part], classes)
-            hit = x[every[: len(x)], kinds[part]]
-            loss += (np.log(total) - np.log(hit + 1e-30)).sum()
-            x[every[: len(x)], kinds[part]] = hit - total
-            factor = (scale / total)[:, None]
-            top += (H[part] * factor).T @ x
-            np.multiply(x @ p["C"].T, factor, out=dH[part])
+        sums, hits, top, dH = np.empty(len(ids), kind), np.empty(len(ids), kind), np.zeros_like(classes), np.empty((len(ids), k), kind)
+        wide, back = np.empty((_ROWS, classes.shape[1]), kind), np.ascontiguousarray(p["C"].T)
+        cells = np.arange(len(ids)) % _ROWS * classes.shape[1] + kinds
+        for lo in range(0, len(ids), _ROWS):
+            part = slice(lo, min(lo + _ROWS, len(ids)))
+            rows, at, total, x = H[part], cells[part], sums[part], wide[: part.stop - lo]
+            np.matmul(rows, classes, out=x)
+            self._exponentials(x, most, total)
+            flat = x.reshape(-1)
+            hits[part] = hit = flat[at]
+            flat[at] = hit - total
+            top += (rows * (scale / total)[:, None]).T @ x
+            np.matmul(x, back, out=dH[part])
+        dH *= (scale / sums)[:, None]
         grad = {"C": top[:k], "c": top[k]}
-        order = _order(kinds, self.side + TAIL)
-        ends = np.searchsorted(kinds[order], np.arange(self.side + 1))
-        order = order[: ends[-1]]
-        own_h, own, down, inner = H[order], ids[order] % self.side, np.empty((len(order), k), kind), np.zeros_like(words)
-        totals, hits = np.empty(len(order), kind), np.empty(len(order), kind)
-        for c in np.flatnonzero(np.diff(ends)):
-            a, b = ends[c], ends[c + 1]
-            y, total = self._softmax(own_h[a:b], words[c])
-            hit = y[every[: b - a], own[a:b]]
-            totals[a:b], hits[a:b] = total, hit
-            y[every[: b - a], own[a:b]] = hit - total
-            factor = (scale / total)[:, None]
-            inner[c] = (own_h[a:b] * factor).T @ y
-            np.multiply(y @ p["H"][c].T, factor, out=down[a:b])
-        loss += (np.log(totals) - np.log(hits + 1e-30)).sum()
+        order, blocks = self._by_class(kinds)
+        own_h, down, inner = H[order], np.empty((len(order), k), kind), np.zeros_like(words)
+        own_sums, own_hits = np.empty(len(order), kind), np.empty(len(order), kind)
+        wide, back = np.empty((_ROWS, self.side), kind), np.ascontiguousarray(p["H"].transpose(0, 2, 1))
+        cells = np.arange(len(order)) % _ROWS * self.side + ids[order] % self.side
+        for lo, hi, spans in blocks:
+            rows, at, total, x = own_h[lo:hi], cells[lo:hi], own_sums[lo:hi], wide[: hi - lo]
+            for c, a, b in spans:
+                np.matmul(own_h[a:b], words[c], out=x[a - lo : b - lo])
+            self._exponentials(x, most, total)
+            flat = x.reshape(-1)
+            own_hits[lo:hi] = hit = flat[at]
+            flat[at] = hit - total
+            rows = (rows * (scale / total)[:, None]).T
+            for c, a, b in spans:
+                y = x[a - lo : b - lo]
+                inner[c] += rows[:, a - lo : b - lo] @ y
+                np.matmul(y, back[c], out=down[a:b])
+        if most is None and not np.isfinite(sums.sum(dtype=np.float64) + own_sums.sum(dtype=np.float64)):  # states are within (-1, 1), so scores stay small as a rule
+            return self.gradients(inputs, targets, kept[0][0].T, 60)
+        loss = (np.log(sums) - np.log(hits + 1e-30)).sum() + (np.log(own_sums) - np.log(own_hits + 1e-30)).sum()
         grad["H"], grad["d"] = inner[:, :k], inner[:, k]
+        down *= (scale / own_sums)[:, None]
         dH[order] += down
-        dH = dH.reshape(T, B, k)
+        dH = np.ascontiguousarray(dH.reshape(T, B, k).transpose(0, 2, 1))
         dh = np.zeros((k, B), kind)
-        gates, through, down = np.empty((3 * k, B), kind), np.empty((3 * k, B), kind), np.empty((T, B, words_in.shape[2]), kind)
-        dU, dW, db, ones = np.zeros((3 * k, k), kind), np.zeros_like(into), np.zeros(3 * k, kind), np.ones(B, kind)
+        # gradients of the products of states for n, of both for r and z, of the products of inputs for n
+        gates, down, turn = np.empty((4 * k, B), kind), np.empty((T, B, embed), kind), np.empty((k, B), kind)
+        through, reads, dn = gates[: 3 * k], gates[k:], gates[3 * k :]
+        dU, dW, U, W = np.zeros((3 * k, k), kind), np.zeros_like(into), np.roll(p["U"], k, 1), np.ascontiguousarray(p["W"].T)
         for t in range(T - 1, -1, -1):
-            r, z, n, a = kept[t]
-            dh += dH[t].T
-            rest = dh * (1 - z)
-            dn = gates[2 * k :]
-            np.multiply(rest, 1 - n * n, out=dn)
-            np.multiply(dn * a, r * (1 - r), out=gates[:k])
-            np.multiply(rest, (before[t] - n) * z, out=gates[k : 2 * k])
-            through[: 2 * k] = gates[: 2 * k]
-            np.multiply(dn, r, out=through[2 * k :])
+            before, r, z, n, a = kept[t]
+            dh += dH[t]
+            rest = np.subtract(1, z)
+            rest *= dh
+            np.multiply(n, n, out=turn)
+            np.subtract(1, turn, out=turn)
+            np.multiply(rest, turn, out=dn)
+            np.multiply(dn, r, out=gates[:k])
+            np.subtract(1, r, out=turn)
+            turn *= a
+            np.multiply(turn, gates[:k], out=gates[k : 2 * k])
+            np.subtract(before, n, out=turn)
+            turn *= z
+            np.multiply(turn, rest, out=gates[2 * k : 3 * k])
             dh *= z
-            dh += p["U"] @ through
-            dh *= going[t]
-            dU += through @ before[t].T
-            dW += gates @ words_in[t]
-            db += gates @ ones
-            np.matmul(gates.T, into, out=down[t])
+            dh += U @ through
+            dh[:, new_text[t]] = 0
+            dU += through @ before.T
+            dW += reads @ words_in[t]
+            np.matmul(reads.T, W, out=down[t])
         down = down.reshape(T * B, -1)
         order = _order(inputs.ravel(), self.end)
         read = inputs.ravel()[order]
         heads = np.flatnonzero(np.concatenate([[True], read[1:] != read[:-1]]))
         dE = np.zeros_like(p["E"])
         dE[read[heads]] = np.add.reduceat(down[order], heads)
-        grad |= {"U": dU.T, "E": dE, "W": dW.T, "b": db}
+        grad |= {"U": np.roll(dU, -k, 0).T, "E": dE, "W": dW[:, :embed].T, "b": dW[:, embed]}
         return grad, h.T, float(loss) / len(ids)
 
     def fit(self, ids: np.ndarray, lanes: int = 512, length: int = 4096, window: int = 16, rate: float = 0.01) -> None:
@@ -284,24 +342,29 @@ class Gru:
         h = np.zeros((lanes, self.hidden), np.float32)
         for i, lo in enumerate(range(0, n, window), 1):
             grad, h, _ = self.gradients(inputs[lo : lo + window], grid[lo : lo + window], h)
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+            # a group's weights stand apart from their biases, so those of words in classes aren't in one block
+            flat = [g.reshape(len(g), -1) for g in grad.values()]
+            norm = np.sqrt(sum(float(np.einsum("ij,ij->", g, g)) for g in flat))
             step = rate * np.sqrt(1 - 0.999**i) / (1 - 0.9**i) / max(1.0, i / 100) ** 0.5
-            clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            clip = min(1.0, 1.0 / (norm + 1e-9))
+            # sums of gradients are kept 10 times, those of squares 1000 times as large as their means
+            step, least = np.float32(step * 0.1 / 0.001**0.5), np.float32(1e-8 / 0.001**0.5)
             for k, whole in grad.items():
+                if clip < 1:
+                    whole *= np.float32(clip)
                 rows = max(1, _BLOCK * len(whole) // whole.size)
                 for a in range(0, len(whole), rows):
                     part = slice(a, a + rows)
-                    g, first, second, own = whole[part] * clip, m[k][part], v[k][part], self.p[k][part]
+                    g, first, second, own = whole[part], m[k][part], v[k][part], self.p[k][part]
                     first *= np.float32(0.9)
-                    first += np.float32(0.1) * g
+                    first += g
+                    g = g * g
                     second *= np.float32(0.999)
-                    g *= g
-                    g *= np.float32(0.001)
                     second += g
                     np.sqrt(second, out=g)
-                    g += np.float32(1e-8)
+                    g += least
                     np.divide(first, g, out=g)
-                    g *= np.float32(step)
+                    g *= step
                     own -= g
 
     def score(self, ids: np.ndarray, ends: np.ndarray, lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -310,8 +373,9 @@ class Gru:
         Texts are dealt to lanes, longest first, and follow each other there; a new text starts from the zero state.
         States of ``window`` full steps are compared with their words at once.
         """
-        starts = np.concatenate([[0], ends[:-1]])
-        sizes = ends - starts
+        if not len(ends):
+            return np.zeros(0)
+        sizes = np.diff(ends, prepend=0)
         most, lanes = window * lanes, max(1, min(lanes, len(sizes)))
         load = [(0, i) for i in range(lanes)]
         rows: list[list[int]] = [[] for _ in range(lanes)]
@@ -319,43 +383,42 @@ class Gru:
             n, i = load[0]
             rows[i].append(d)
             heapq.heapreplace(load, (n + int(sizes[d]), i))
-        steps = max(n for n, _ in load)
-        place = np.full((steps, lanes), -1, np.int64)
-        for i, own in enumerate(rows):
-            at = 0
-            for d in own:
-                place[at : at + sizes[d], i] = np.arange(starts[d], ends[d])
-                at += sizes[d]
-        into, bias = np.ascontiguousarray(self.p["W"].T), self.p["b"][:, None]
+        load.sort(key=lambda x: -x[0])  # longest lanes first
+        texts = np.concatenate([rows[i] for _, i in load])
+        long = np.array([n for n, _ in load])
+        # ids lane by lane: those of a step stand as far from the first ones of their lanes, and before each one stands what is read for it
+        heads, stops = np.cumsum(long) - long, np.cumsum(sizes[texts])
+        ids = ids[np.arange(len(ids)) + np.repeat((ends - sizes)[texts] - (stops - sizes[texts]), sizes[texts])]
+        last = np.concatenate([[self.end], ids[:-1]])
+        steps = int(long[0])
+        across, into = self._gated(self.p["U"]), self._gated(np.concatenate([self.p["W"], self.p["b"][None]]))
+        words_in = np.concatenate([self.p["E"], np.ones((self.end + 1, 1), np.float32)], 1)
         out = np.zeros(len(ids), np.float32)
         h = np.zeros((self.hidden, lanes), np.float32)
-        by_load = np.argsort([-n for n, _ in sorted(load, key=lambda x: x[1])], kind="stable")  # longest lanes first
-        place = place[:, by_load]
-        states, wanted, held = np.empty((most + lanes, self.hidden), np.float32), np.empty(most + lanes, np.int64), 0
+        states, wanted, held = np.ones((most + lanes, self.hidden + 1), np.float32), np.empty(most + lanes, np.int64), 0
 
         def settle():  # where few lanes are left, a step gives few rows: they are kept until there are many
             at = wanted[:held]
             out[at] = self.log_likelihood(states[:held], ids[at])
 
-        counts = (place >= 0).sum(1).tolist()  # lanes that are live at each step: the first ones
+        counts = (lanes - np.searchsorted(long[::-1], np.arange(steps), "right")).tolist()  # lanes that are live at each step: the first ones
         lo = 0
         while lo < steps:  # what is read is known before, so some steps are prepared at once, many where few lanes are left
             live = counts[lo]
             hi = min(steps, lo + max(1, _AHEAD // live))
-            before = np.full((hi - lo, live), self.end)
-            before[lo == 0 :] = ids[place[max(lo - 1, 0) : hi - 1, :live]]
-            going = before != self.end
+            place = np.arange(lo, hi)[:, None] + heads[:live]
+            before = last[np.minimum(place, len(ids) - 1).ravel()]  # lanes that end meanwhile are left out below
+            going = (before != self.end).reshape(place.shape)
             kept = going.all(1).tolist()
-            read = into @ self.p["E"][before.ravel()].T
-            read += bias
+            read = into @ words_in[before].T
             for step in range(lo, hi):
                 n, at = counts[step], (step - lo) * live
                 if n < h.shape[1]:
                     h = h[:, :n]
                 if not kept[step - lo]:
                     h = h * going[step - lo, :n]
-                h = self.step(read[:, at : at + n], h)[0]
-                states[held : held + n], wanted[held : held + n] = h.T, place[step, :n]
+                h = self.step(read[:, at : at + n], h, across)[0]
+                states[held : held + n, : self.hidden], wanted[held : held + n] = h.T, place[step - lo, :n]
                 held += n
                 if held >= most:
                     settle()
@@ -363,7 +426,9 @@ class Gru:
             lo = hi
         if held:
             settle()
-        return np.add.reduceat(out.astype(np.float64), starts) if len(starts) else np.zeros(0)
+        sums = np.empty(len(ends))
+        sums[texts] = np.add.reduceat(out.astype(np.float64), stops - sizes[texts])
+        return sums
 
 
 def numbered(docs: DataFrame, vocabulary, doc_type: str) -> DataFrame:

@@ -125,3 +125,50 @@ def test_scores_don_t_depend_on_how_far_inputs_are_prepared(monkeypatch):
         got.append(net.score(ids, np.cumsum(sizes), lanes=3))
     alone = [net.score(ids[e - n : e], np.array([n]))[0] for n, e in zip(sizes, np.cumsum(sizes))]
     assert np.allclose(got, [alone] * 3, atol=1e-3)
+
+
+def test_words_of_many_classes_share_a_block(monkeypatch):
+    net, rng = gru.Gru(), np.random.default_rng(6)
+    ids = rng.permutation(np.arange(0, gru.HEAD, 8))[:, None]
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: (calls.append(a[0].shape), exp(*a, **k))[1])
+    grad, _, loss = net.gradients(np.full_like(ids, gru.END), ids, np.zeros((1, net.hidden), np.float32))
+    # 128 words of 32 classes: each step's gates, then one block of classes and one of words
+    assert len(calls) == len(ids) + 2
+    calls.clear()
+    one = net.step(net._gated(np.concatenate([net.p["W"], net.p["b"][None]])) @ np.append(net.p["E"][gru.END], np.float32(1))[:, None], np.zeros((net.hidden, 1), np.float32), net._gated(net.p["U"]))[0]
+    calls.clear()
+    got = net.log_likelihood(np.repeat(one.T, len(ids), 0), ids.ravel())
+    assert len(calls) == 2 and abs(got.mean() + loss) < 1e-4
+
+
+def test_one_long_text_among_many_takes_no_table_of_steps_and_lanes():
+    import tracemalloc
+
+    net, sizes = gru.Gru(), [20_000] + [2] * 600
+    ids = np.concatenate([np.append(np.full(n - 1, 7), gru.END) for n in sizes])
+    tracemalloc.start()
+    got = net.score(ids, np.cumsum(sizes))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * 512 and np.allclose(got[1:], got[1], atol=1e-3)
+
+
+def test_scores_too_large_for_exponentials_are_bounded():
+    net = gru.Gru()
+    net.p = {k: v * np.float32(3000) if k in "CH" else v for k, v in net.p.items()}
+    ids = np.arange(0, gru.END, 3)[:, None]
+    with np.errstate(all="ignore"):
+        grad, _, loss = net.gradients(np.full_like(ids, 9), ids, np.full((1, net.hidden), 0.9, np.float32))
+        got = net.log_likelihood(np.full((len(ids), net.hidden), 0.9, np.float32), ids.ravel())
+    assert np.isfinite(loss) and np.isfinite(got).all() and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_counts_are_the_same_however_many_words_are_held(spark):
+    texts = [" ".join(f"W{i * k % 37}" for k in range(i % 50)) for i in range(90)] + ["", None, "x " * 500]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], SCHEMA).select(gru.utf8("text").alias("t")).coalesce(2)
+    count = lambda n: {r["h"]: (r["k"], r["c"]) for r in gru.count_words(docs, n).collect()}
+    got = count(1 << 21)
+    assert got == count(3) and len(got) == 39 and got[gru._END_HASH] == (-1, len(texts))
+    want = collections.Counter(w for t in texts for w in (t or "").lower().split())
+    assert sorted(c for k, c in got.values() if k >= 0) == sorted(want.values())
