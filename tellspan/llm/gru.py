@@ -29,6 +29,7 @@ END = HEAD + TAIL  # id of a text's end and of its start, in the least vocabular
 _BIG = 150_000  # counts that go to every task; the others are joined
 _ROWS = 256  # whose scores are held at once
 _AHEAD = 512  # inputs that are prepared at once
+_PIECE = 1 << 18  # bytes of texts whose words are hashed at once
 _BLOCK = 1 << 14  # parameters that Adam takes at once, which stay in a core's own cache
 _END_HASH = 1  # stands for the end among word hashes
 
@@ -48,21 +49,33 @@ def _equal(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), sorted_h[1:] != sorted_h[:-1]]))
 
 
+def _added(h: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same words by rising hash, each once, with its counts added up."""
+    order, heads = _equal(h)
+    at = order[heads]
+    return h[at], k[at], np.add.reduceat(c[order], heads) if len(h) else c
+
+
 def count_words(docs: DataFrame, window: int = 1 << 21) -> DataFrame:
-    """(h, k, c): of each word its hash, class by letters, and count; ends are words of class -1. ``window``: words that are held before they are counted together."""
+    """(h, k, c): of each word its hash, class by letters, and count; ends are words of class -1. ``window``: words that are held before they are counted together.
+
+    Tasks send their counts packed, a row for each of as many ranges of hashes as there are shuffle partitions; hashes are evenly spread."""
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         release()
         held, kinds, counts, size, n_docs = [], [], [], 0, 0
 
         def flush():
-            h, k, c = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.uint64, held), (np.int32, kinds), (np.int64, counts)))
-            order, heads = _equal(h)
-            at, c = order[heads], np.add.reduceat(c[order], heads) if len(h) else c
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h[at].view(np.int64), _END_HASH)), pa.array(np.append(k[at], -1).astype(np.int32)), pa.array(np.append(c, n_docs))], ["h", "k", "c"])
+            given = (np.concatenate([np.array([x], kind), *xs]) for x, kind, xs in ((_END_HASH, np.uint64, held), (-1, np.int32, kinds), (n_docs, np.int64, counts)))
+            columns = _added(*given)
+            edges = np.searchsorted((columns[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            packed = [pa.Array.from_buffers(pa.large_binary(), ranges, [None, pa.py_buffer((edges * x.itemsize).astype(np.int64)), pa.py_buffer(x)]) for x in columns]
+            filled = pa.array(np.diff(edges) > 0)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), *(x.cast(pa.binary()) for x in packed)], ["part", "h", "k", "c"]).filter(filled)
 
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", _PIECE):
                 data, offsets = flat_bytes(part.column("t"))
                 h, s, e, _ = hashed_words(data, offsets, True)
                 order, heads = _equal(h)
@@ -78,7 +91,12 @@ def count_words(docs: DataFrame, window: int = 1 << 21) -> DataFrame:
         if n_docs:
             yield flush()
 
-    return docs.select("t").mapInArrow(run, "h bigint, k int, c bigint").groupBy("h").agg(F.first("k").alias("k"), F.sum("c").alias("c"))
+    def merge(table):
+        h, k, c = _added(*(flat_bytes(table.column(name))[0].view(kind) for name, kind in (("h", np.uint64), ("k", np.int32), ("c", np.int64))))
+        return pa.table({"h": pa.array(h.view(np.int64)), "k": pa.array(k), "c": pa.array(c)})
+
+    packed = docs.select("t").mapInArrow(run, "part int, h binary, k binary, c binary")
+    return packed.groupBy("part").applyInArrow(merge, "h bigint, k int, c bigint")
 
 
 def side_for(tokens: int) -> int:
@@ -445,7 +463,7 @@ def numbered(docs: DataFrame, vocabulary, doc_type: str) -> DataFrame:
         end_log = np.log10(own.ends + 1.0)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in pieces(batch, "t"):
+            for part in pieces(batch, "t", _PIECE):
                 rows = part.num_rows
                 data, offsets = flat_bytes(part.column("t"))
                 h, s, e, first = hashed_words(data, offsets, True)
@@ -598,8 +616,9 @@ def score_documents(documents: DataFrame, held_out: Column, id_col: str = "doc_i
     taken = part.select(*own, "ids")
     scored = scratch.put(taken.mapInArrow(run, f"row bigint, doc {kind}, held boolean, n bigint, known bigint, base double, extra double, neural double"), "scored")
     scratch.settle()
-    words = part.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("m"))
-    rest = words.join(counts.select("h", "c"), "h").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("m").alias("seen"))
+    # counts are hashed, evenly dealt as they are, and words stream past them, so a word that fills a text costs no more than others
+    words = part.select("row", F.explode("rare").alias("h"))
+    rest = words.join(counts.select("h", "c").hint("shuffle_hash"), "h").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("more"), F.count("*").alias("seen"))
     out = scored.join(rest, "row", "left")
     n_all, v_all = vocabulary.tokens, vocabulary.distinct
     more = F.coalesce("more", F.lit(0.0))

@@ -172,3 +172,32 @@ def test_counts_are_the_same_however_many_words_are_held(spark):
     assert got == count(3) and len(got) == 39 and got[gru._END_HASH] == (-1, len(texts))
     want = collections.Counter(w for t in texts for w in (t or "").lower().split())
     assert sorted(c for k, c in got.values() if k >= 0) == sorted(want.values())
+
+
+def test_counts_are_sent_packed_by_ranges_of_hashes(spark, monkeypatch):
+    texts = [" ".join(f"w{i * k}" for k in range(40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], SCHEMA).select(gru.utf8("text").alias("t")).repartition(3)
+    want = collections.Counter(w for t in texts for w in t.split())
+    old, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 7, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            counts = gru.count_words(docs)
+            assert "Aggregate" not in counts._jdf.queryExecution().toString()
+            rows = counts.collect()
+            assert len(rows) == len({r["h"] for r in rows}) == len(want) + 1 and sum(r["c"] for r in rows) == 60 * 41
+            got.append({r["h"]: (r["k"], r["c"]) for r in rows})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] == got[2] and got[0][gru._END_HASH] == (-1, 60)
+
+
+def test_a_rare_word_that_fills_a_text_counts_each_time(spark, monkeypatch):
+    monkeypatch.setattr(gru, "_BIG", 1)
+    monkeypatch.setattr(gru, "SIDE", 1)
+    rows = [(1, "a a a b", 1), (2, "b " * 5000, 1), (3, "c " * 7000 + "never", 1), (4, "c", 1)]
+    got = {r["doc_id"]: r for r in gru.score_documents(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") == 3).collect()}
+    n, v = 4 + 5000 + 1 + 3, 4
+    base = lambda *counts: sum(m * math.log10((c + 1) / (n + v + 1)) for c, m in counts)
+    assert got[3]["n_known"] == 7001 and got[2]["n_known"] == 5001 and got[2]["train_tokens"] == n
+    assert abs(got[3]["base_score"] - base((1, 7000), (0, 1), (3, 1))) < 1e-6 and abs(got[2]["base_score"] - base((5001, 5000), (3, 1))) < 1e-6
