@@ -289,7 +289,7 @@ class Gru:
         order, blocks = self._by_class(kinds)
         own_h, down, inner = H[order], np.empty((len(order), k), kind), np.zeros_like(words)
         own_sums, own_hits = np.empty(len(order), kind), np.empty(len(order), kind)
-        wide, back = np.empty((_ROWS, self.side), kind), np.ascontiguousarray(p["H"].transpose(0, 2, 1))
+        wide, back = np.empty((_ROWS, self.side), kind), p["H"].transpose(0, 2, 1)
         cells = np.arange(len(order)) % _ROWS * self.side + ids[order] % self.side
         for lo, hi, spans in blocks:
             rows, at, total, x = own_h[lo:hi], cells[lo:hi], own_sums[lo:hi], wide[: hi - lo]
