@@ -8,7 +8,8 @@ The transducer is its subset construction, built state by state as input asks fo
 the set of tokens still open, a transition names the tokens that end, and the compiled merges
 (lives of the symbols at a token's borders) tell which of these follows what stands before it.
 Hypotheses differ only from where the longest open token began, so all before that which they
-share is settled: no more is held back than the longest vocabulary entry reaches.
+share is settled: no more is held back than the longest vocabulary entry reaches. Short pieces of
+many texts are read together, a byte of each at a time, with the steps and the pairs in arrays.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import gc
 import hashlib
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,21 @@ from .common import resident, small_batches, utf8
 
 #: Unicode White_Space, as the pattern's \s has it.
 _WS = r"\t-\r \x85\xa0  -     　"
+_LATIN = "A-Za-zÀ-ÖØ-öø-ʯ"
 #: No match of the pattern crosses the border of such a chunk, so chunks can be looked up whole.
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_UNSPACED = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Nor, with the public pattern, of these: Latin letters that a chunk begins with end it before any other character of ASCII.
+_CHUNK = re.compile(f" ?(?:[{_LATIN}]++(?:[^\\x00-\\x7f{_WS}][^{_WS}]*+)?|[^{_WS}]++)|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The public pattern. Chunks of Latin letters, with a space before them or not, are matched whole by it.
 _PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ʯ]+").fullmatch
+_WORD = re.compile(f" ?[{_LATIN}]+").fullmatch
 
 
 _PENDING = 256  # bytes after which tokens that all hypotheses share are emitted
 _SHORT = 64  # characters up to which a chunk or a word is remembered
+_TOGETHER = 1 << 20  # characters of texts whose new words are encoded together
+_MANY = 1 << 18  # chunks of a text that are looked up together
+_LANES = 1 << 15  # pieces that take their steps together
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,8 +53,61 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Lookup:
+    """Keys from 0 on to numbers of 32 bits from 0 on, many at a time: open addressing in two arrays, half full at most."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        at = self._slots(keys)
+        held = self.keys[at]
+        same = held == keys
+        out = np.where(same, self.values[at], np.int32(-1))
+        rest = np.flatnonzero(~same & (held >= 0))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & len(self.keys) - 1
+            held = self.keys[at]
+            same = held == keys[rest]
+            out[rest[same]] = self.values[at[same]]
+            on = ~same & (held >= 0)
+            rest, at = rest[on], at[on]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys must be distinct and not held."""
+        self.used += len(keys)
+        if 2 * self.used > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.__init__(max(self.bits, int(2 * len(keys)).bit_length()))
+            self.used = len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of keys that meet in a slot, one stays
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], at[~mine] + 1 & len(self.keys) - 1
+
+
+def _extended(array: np.ndarray, used: int, rows: list) -> np.ndarray:
+    """``array`` with ``rows`` after its first ``used`` ones, made twice as long where they don't fit."""
+    if used + len(rows) > len(array):
+        array = np.concatenate([array, np.zeros((max(len(array), len(rows)), *array.shape[1:]), array.dtype)])
+    if rows:
+        array[used : used + len(rows)] = rows
+    return array
+
+
 class Transducer:
-    """Encodes the bytes of one pre-token. ``most`` bounds the pairs remembered; states are at most the vocabulary's prefixes."""
+    """Encodes the bytes of one pre-token, or of many together. ``most`` bounds the pairs remembered; states are at most the vocabulary's prefixes."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks, self.most = ranks, most
@@ -60,6 +121,11 @@ class Transducer:
         self._pair: dict[int, bool] = {}
         self._split: dict[int, tuple[bytes, ...]] = {}
         self._spines: dict[tuple[int, bool], tuple | None] = {}
+        #: The same steps and pairs in arrays: rows of (state, last token, first end, after the last end), ends as (length, token).
+        self._step_of, self._pair_of = Lookup(), Lookup()
+        self._steps, self._ends, self._n_ends = np.zeros((256, 4), np.int32), np.zeros((256, 2), np.int32), 0
+        self._lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self._lengths[list(self._size)] = list(self._size.values())
         #: Every entry ranks after some pair of entries that it consists of, so merges run in the order of ranks.
         self.proper = all(len(t) == 1 or any(ranks.get(t[:k], i) < i and ranks.get(t[k:], i) < i for k in range(1, len(t))) for t, i in ranks.items())
 
@@ -183,6 +249,89 @@ class Transducer:
         done.extend(reversed(self._back(tokens, len(tokens) - 1)))
         return done
 
+    def _step_rows(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers in ``_steps`` of state << 8 | byte."""
+        found = self._step_of.get(keys)
+        if (found < 0).any():
+            new, used, steps, ends = np.unique(keys[found < 0]), self._step_of.used, [], []
+            for key in new.tolist():
+                to, some, last = self._go.get(key) or self._build(key >> 8, key & 255)
+                lo = self._n_ends + len(ends)
+                steps.append((to, last, lo, lo + len(some)))
+                ends.extend(some)
+            self._steps, self._ends = _extended(self._steps, used, steps), _extended(self._ends, self._n_ends, ends)
+            self._n_ends += len(ends)
+            self._step_of.put(new, np.arange(used, used + len(new), dtype=np.int32))
+            found = self._step_of.get(keys)
+        return found
+
+    def _follow_rows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_follows`` of each pair."""
+        keys = a.astype(np.int64) + 1 << 32 | b
+        ok = self._pair_of.get(keys)
+        unknown = np.flatnonzero(ok < 0)
+        if len(unknown):
+            new, which = np.unique(keys[unknown], return_inverse=True)
+            decided = np.array([self._decide((key >> 32) - 1, key & 0xFFFFFFFF) for key in new.tolist()], np.int32)
+            ok[unknown] = decided[which]
+            if self._pair_of.used > self.most:
+                self._pair_of = Lookup()
+            else:
+                self._pair_of.put(new, decided)
+        return ok > 0
+
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The encoding of each piece, as little-endian 32-bit integers: ``encode``, with a step of all pieces at a time.
+
+        Nothing is emitted before a piece ends, so pieces should be short."""
+        out: list[bytes] = []
+        for lo in range(0, len(pieces), _LANES):
+            out.extend(self._encode_lanes(pieces[lo : lo + _LANES]))
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = struct.pack("<I", whole)
+        return out
+
+    def _encode_lanes(self, pieces: list[bytes]) -> Iterator[bytes]:
+        n = len(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, n)
+        order = np.argsort(-sizes, kind="stable")  # those that still run stand in front
+        starts, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        tokens = np.full((int(sizes[0]) + 1, n), -1, np.int32)  # as in encode, a column for each piece
+        flat, state = tokens.reshape(-1), np.zeros(n, np.int64)
+        for k in range(int(sizes[0])):
+            m = int(np.searchsorted(-sizes, -k))
+            numbers = self._step_rows(state[:m] << 8 | data[starts[:m] + k])
+            steps = self._steps[numbers]
+            state[:m] = steps[:, 0]
+            last = tokens[k + 1, :m]
+            last[:] = steps[:, 1]
+            rows = np.flatnonzero(steps[:, 3] > steps[:, 2])
+            at, until = steps[rows, 2], steps[rows, 3]
+            while len(rows):
+                ends = self._ends[at]
+                ok = self._follow_rows(flat[(k + 1 - ends[:, 0].astype(np.int64)) * n + rows], ends[:, 1])
+                last[rows[ok]] = ends[ok, 1]
+                at = at + 1
+                on = ~ok & (at < until)
+                rows, at, until = rows[on], at[on], until[on]
+        back, counts, rows, at = [], np.zeros(n, np.int64), np.flatnonzero(sizes), sizes[sizes > 0]
+        while len(rows):
+            ids = flat[at * n + rows]
+            back.append((rows, ids))
+            counts[rows] += 1
+            at = at - self._lengths[ids]
+            rows, at = rows[at > 0], at[at > 0]
+        ends = np.cumsum(counts)
+        encoded = np.empty(int(ends[-1]), "<u4")
+        for i, (rows, ids) in enumerate(back):
+            encoded[ends[rows] - 1 - i] = ids
+        whole, bounds = encoded.tobytes(), np.empty((n, 2), np.int64)
+        bounds[order, 0], bounds[order, 1] = 4 * (ends - counts), 4 * ends
+        return (whole[lo:hi] for lo, hi in bounds.tolist())
+
     def _flush(self, tokens: list[int], opened: int, done: list[int]) -> list[int]:
         """Emit what all hypotheses share: those that begin where a token still open began, or later."""
         end = len(tokens) - 1
@@ -242,7 +391,8 @@ class Utf8Stream:
 class Codec(dict):
     """Whole texts to ids and back. As a mapping: a chunk of text to its ids as little-endian 32-bit integers.
 
-    ``most`` bounds the chunks and words remembered, and as many that were used before them; long ones are not.
+    ``most`` bounds the chunks and words remembered, and as many that were used before them; long ones are not. Those
+    that are looked up together (``_TOGETHER``, ``_MANY``) are held until then, even if they are more.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 150_000):
@@ -253,6 +403,7 @@ class Codec(dict):
         self.find = regex.compile(pattern).findall
         #: Whether the pattern takes words whole, and matches each of its matches whole where it stands alone.
         self.whole = pattern == _PLAIN
+        self.chunks = (_CHUNK if self.whole else _UNSPACED).findall
         table = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             table[i] = t
@@ -277,8 +428,50 @@ class Codec(dict):
             self[chunk] = out
         return out
 
+    def _learn(self, chunks: set[str]) -> None:
+        """Remember the short ones of these chunks; their pieces that are new are encoded together."""
+        new = [c for c in chunks if c not in self and len(c) <= _SHORT]
+        if len(self) + len(new) > self.most:
+            self.older = dict(self)
+            self.clear()
+            new = [c for c in chunks if len(c) <= _SHORT]
+        known = list(map(self.older.get, new))
+        self.update((c, out) for c, out in zip(new, known) if out is not None)
+        new = [c for c, out in zip(new, known) if out is None]
+        pieces = dict.fromkeys(filter(_WORD, new))
+        others = [c for c in new if c not in pieces]
+        parts = list(map(self.find, others))
+        pieces.update(dict.fromkeys(p for part in parts for p in part if p not in self))
+        self.update(zip(pieces, self.machine.encode_many([p.encode() for p in pieces])))
+        self.update([(c, b"".join(map(self.__getitem__, part))) for c, part in zip(others, parts) if len(part) > 1])
+
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        return b"".join(map(self.__getitem__, self.chunks(text)))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``encode`` of each text, in order. New words are met by about a million characters of texts at a time."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > _TOGETHER:
+                yield from self._encode_held(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        yield from self._encode_held(held)
+
+    def _encode_held(self, texts: list[str]) -> Iterator[bytes]:
+        found = list(map(self.chunks, texts))
+        if self.whole:
+            self._learn(set().union(*(chunks[:_MANY] for chunks in found)))
+        for chunks in found:
+            out = [b"".join(map(self.__getitem__, chunks[:_MANY]))]
+            for lo in range(_MANY, len(chunks), _MANY):
+                part = chunks[lo : lo + _MANY]
+                if self.whole:
+                    self._learn(set(part))
+                out.append(b"".join(map(self.__getitem__, part)))
+            yield b"".join(out)
 
     def decode(self, ids: np.ndarray, step: int = 8192):
         """The text in parts, as it would be read from a stream of ids."""
@@ -312,7 +505,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids = [np.frombuffer(own.encode(t.decode()), "<u4").astype(np.int32) for t in part.column(1).to_pylist()]
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in own.encode_all(t.decode() for t in part.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
@@ -335,8 +528,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         sha = hashlib.sha256
         for batch in batches:
             counts, first, second = [], [], []
-            for t in batch.column(1):
-                ids = own.encode(t.as_py().decode())
+            for ids in own.encode_all(t.as_py().decode() for t in batch.column(1)):
                 counts.append(len(ids) // 4)
                 first.append(sha(ids).hexdigest())
                 digest = sha()

@@ -74,3 +74,40 @@ def test_words_in_use_outlive_rare_ones(both):
         text = f"{w} étaient, {w} étaient's\r\n  thé %%{w}%%"
         assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
     assert seen.count(" étaient".encode()) == 1 and len(own) + len(own.older) <= 100
+
+
+def test_new_words_of_many_texts_are_encoded_together(both, monkeypatch):
+    _, theirs = both
+    own, seen = bpe.Codec(PATH, P.PATTERN, most=400), []
+    encode = own.machine.encode
+    own.machine.encode = lambda piece: seen.append(piece) or encode(piece)
+    rnd = random.Random(6)
+    alphabet = " \n\t\x1c\x85\xa0 'sldaábñ漢字🙂éàAEITn.,;0123٣_-= ing thé́д"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(900)]
+    texts += ["", " ", "a" * 9000, "can't I'LL we've 'sabc 'd漢", "naïve, café—déjà (vu) abc漢字.", "a漢's b́c x\x1cy"]
+    got = list(own.encode_all(texts[:60]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == list(map(theirs.encode_ordinary, texts[:60])) and not seen
+    for together, many, lanes in ((1, 3, 2), (500, 1 << 18, 7), (1 << 20, 50, 1 << 15)):
+        monkeypatch.setattr(bpe, "_TOGETHER", together)
+        monkeypatch.setattr(bpe, "_MANY", many)
+        monkeypatch.setattr(bpe, "_LANES", lanes)
+        for t, ids in zip(texts, own.encode_all(iter(texts)), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(t)
+
+
+def test_pieces_taken_together_are_encoded_as_alone():
+    rnd = random.Random(8)
+    ranks = {bytes([i]): i + 10 for i in range(256)} | {b"ab": 3, b"bc": 1, b"abc": 0, b"cd": 2, b"abcd": 5}
+    for machine in (bpe.Transducer(ranks, most=20), bpe.Transducer(bpe.load_ranks(PATH), most=300)):
+        pieces = [bytes(rnd.choice(b"abcd\xc3\xa9") for _ in range(rnd.randrange(30))) for _ in range(500)]
+        for part in (pieces, pieces[:1], [b""], []):
+            got = [np.frombuffer(x, "<u4").tolist() for x in machine.encode_many(part)]
+            assert got == [machine.encode(p) if p else [] for p in part]
+
+
+def test_lookup_holds_what_meets_in_a_slot():
+    table, keys = bpe.Lookup(2), np.random.default_rng(3).permutation(20_000).astype(np.int64) * 65_536
+    for lo in range(0, 10_000, 77):
+        part = keys[lo : min(lo + 77, 10_000)]
+        table.put(part, np.arange(lo, lo + len(part), dtype=np.int32))
+    assert table.get(keys).tolist() == [*range(10_000), *[-1] * 10_000] and table.used == 10_000
